@@ -130,34 +130,54 @@ def packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(x, pa.binary()) for x in columns[1:]]], names=names)
 
 
-def repeated(asked: DataFrame) -> DataFrame:
-    """(ref, places): per document the places whose keys occur more than once over all documents."""
-    def run(table: pa.Table) -> pa.Table:
-        def joined(name: str, kind: type) -> np.ndarray:
-            return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
+def packed_column(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
+
+
+def heads(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values of a sorted array begins, and its end."""
+    return np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, int), len(x))
 
-        keys, refs, places = joined("keys", bh.U), joined("refs", bh.U), joined("places", np.int32)
+
+def repeated(asked: DataFrame, buckets: int) -> DataFrame:
+    """(ref, places): per document the places whose keys occur more than once over all documents."""
+    def find(table: pa.Table) -> pa.Table:
+        keys, refs, places = (packed_column(table, n, k) for n, k in (("keys", bh.U), ("refs", bh.U), ("places", np.int32)))
         if len(keys):
             _, name, count = np.unique(keys, return_inverse=True, return_counts=True)
-            hit = (count[name] > 1) & ~joined("many", bool)
+            hit = (count[name] > 1) & ~packed_column(table, "many", bool)
             refs, places = refs[hit], places[hit]
-        refs, places = np.concatenate([refs, joined("known_refs", bh.U)]), np.concatenate([places, joined("known_places", np.int32)])
+        refs, places = np.concatenate([refs, packed_column(table, "known_refs", bh.U)]), np.concatenate([places, packed_column(table, "known_places", np.int32)])
+        home = (bh.mix(refs) % bh.U(buckets)).astype(np.int32)
+        order = np.argsort(home, kind="stable")
+        home, refs, places = home[order], refs[order], places[order]
+        cuts = heads(home)
+        parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+        return pa.table({
+            "home": pa.array(home[cuts[:-1]]), "refs": pa.array([refs[x:y].tobytes() for x, y in parts], pa.binary()),
+            "places": pa.array([places[x:y].tobytes() for x, y in parts], pa.binary()),
+        })
+
+    def gather(table: pa.Table) -> pa.Table:
+        refs, places = packed_column(table, "refs", bh.U), packed_column(table, "places", np.int32)
         order = np.argsort(refs, kind="stable")
         refs, places = refs[order], places[order]
-        heads = np.flatnonzero(np.append(True, refs[1:] != refs[:-1])) if len(refs) else np.zeros(0, int)
-        cuts = np.append(heads, len(refs))
-        return pa.table({"ref": pa.array(refs[heads].view(np.int64)), "places": pa.array([places[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+        cuts = heads(refs)
+        return pa.table({
+            "ref": pa.array(refs[cuts[:-1]].view(np.int64)),
+            "places": pa.array([places[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+        })
 
-    found = asked.groupBy("bucket").applyInArrow(run, "ref long, places binary")
-    return found.groupBy("ref").agg(F.collect_list("places").alias("places"))
+    found = asked.groupBy("bucket").applyInArrow(find, "home int, refs binary, places binary")
+    return found.groupBy("home").applyInArrow(gather, "ref long, places binary")
 
 
 def flags(column: pa.Array, first: np.ndarray) -> np.ndarray:
-    """One boolean per word from each row's list of packed places."""
+    """One boolean per word from each row's packed places."""
     out = np.zeros(first[-1], bool)
     for start, found in zip(first[:-1], column, strict=True):
-        for part in found.as_py() or ():
-            out[start + np.frombuffer(part, np.int32)] = True
+        if found.is_valid:
+            out[start + np.frombuffer(found.as_buffer(), np.int32)] = True
     return out
 
 
@@ -196,9 +216,9 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int) ->
                 own = np.searchsorted(w.first, i, "right") - 1
                 yield packed(list(pack(bh.windows(h, window)[i], refs_of(batch)[own], i - w.first[own], buckets)))
 
-    shared = repeated(rows.select("ref", "text").mapInArrow(ask_anchors, ASK))
+    shared = repeated(rows.select("ref", "text").mapInArrow(ask_anchors, ASK), buckets)
     marked = rows.join(shared.hint("shuffle_hash"), "ref", "left")
-    return rows, repeated(marked.mapInArrow(ask_windows, ASK))
+    return rows, repeated(marked.mapInArrow(ask_windows, ASK), buckets)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
