@@ -189,7 +189,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int) ->
     """(documents with their `ref`, (ref, places) of the starts of repeated windows)."""
     if window < 2 * EDGE + 2 * LONGEST:
         raise ValueError(f"a window has at least {2 * EDGE + 2 * LONGEST} words")
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("ref"), F.col(text_col).alias("text"))
     around = 2 * EDGE + LONGEST  # words, from EDGE before an anchor on, that all of its windows hold
 
