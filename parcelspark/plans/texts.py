@@ -1 +1,119 @@
+"""Descriptions, names, leads and pages: the text functions on the fixture."""
+
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import details as d
+from ..functions import text as t
+from ..operators import filters
+from ..sources import fixture as fx
+from ..sources.fixture import LISTINGS_SQL
+from .registry import query
+
+#: A description with every label, its values from the listing's own columns.
+DETAIL_TEXT = (
+    "concat('Floor ', cast(l_linenumber + 4 as string), ' Bedroom ', cast(l_linenumber as string), ' Size 40 SqM Pets ', case when l_linenumber % 2 = 0 then 'Not Allowed' else 'All Kind of Pets Allowed' end,"
+    " ' ', case when quota = 'thai' then 'Thai Quota' when quota = 'foreigner' then 'Foreign Quota' else 'Ownership open' end, ' Furniture A fully-furnished property has all items. ',"
+    " case when l_linenumber % 3 = 0 then 'Unfurnished' else 'Partially Furnished' end, ' View(s) City View, ', case when l_linenumber % 2 = 0 then 'Blocked View' else 'Sky View' end, ' Unit Type N/A Building ',"
+    " cast(l_linenumber as string), ' CAM Fee The fee has to be paid by owners. ฿', cast(l_linenumber * 10 + 20 as string), '/sqm Listed By Private Owner Electricity Price ฿', cast(l_linenumber + 1 as string), '/kWh Water Price Government Rate',"
+    " ' Unit ID U', cast(10000 + l_linenumber as string), ' Min. Rental Duration ', cast(l_linenumber as string), case when l_linenumber % 2 = 0 then ' Year' else ' Month' end,"
+    " ' Developer: Blue Sky Homes Construction: Completed (Apr ', cast(1990 + l_linenumber as string), ') Nearest Landmark: Grand Park - 1.5 Km')"
+)
+
+
+@query("detail_fields", f"""with {LISTINGS_SQL} select id, l_linenumber + 4 as floor, case when (l_linenumber * 10 + 20) * area_sqm between 1e-9 and 499999.99 then (l_linenumber * 10 + 20) * area_sqm end as common_fee,
+    case when l_linenumber % 3 = 0 then 'unfurnished' else 'partly furnished' end as furnished, case when l_linenumber % 2 = 0 then 'City View,Blocked View' else 'City View,Sky View' end as views,
+    case when l_linenumber % 2 = 0 then 1 else 2 end as views_count, cast(l_linenumber as varchar) as tower, case when l_linenumber + 1 >= 3 then cast(l_linenumber + 1 as double) end as electricity,
+    case when l_linenumber + 1 >= 3 then 'private' else 'government' end as tariff_regime, quota, l_linenumber % 2 = 1 as pets, 'private owner' as listed_by, 1990 + l_linenumber as year_built, true as delivered,
+    'Blue Sky Homes' as developer, case when l_linenumber % 2 = 0 then l_linenumber * 12 else l_linenumber end as lease_months, 'Grand Park' as landmark, 1.5 as landmark_km, 'U' || cast(10000 + l_linenumber as varchar) as unit_id from listings""")
+def detail_fields(spark, sf):
+    rows = d.with_text(fx.listings(spark, sf).withColumn("description", F.expr(DETAIL_TEXT)), "description")
+    c = d.details(F.col(d.TEXT), F.col("area_sqm"), 2001)
+    out = rows.select("id", *[v.alias(k) for k, v in c.items() if k not in ("views", "landmark", "owner", "water")], F.array_join(c["views"], ",").alias("views"), c["landmark"].alias("lm"))
+    return out.select(*[x for x in out.columns if x != "lm"], F.col("lm.name").alias("landmark"), F.col("lm.km").alias("landmark_km"))
+
+
+@query("lead_ids", "select c_custkey, substr(sha1(concat_ws('|', cast(c_custkey as varchar), c_name, substr(c_mktsegment, 1, 200))), 1, 16) as lead_id from customer")
+def lead_ids(spark, sf):
+    return fx.table(spark, sf, "customer").select("c_custkey", t.lead_id(F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")).alias("lead_id"))
+
+
+INTEREST = "case when seller_type = 'owner' and quota = 'foreigner' then 'priority' when seller_type = 'owner' then 'direct owner' when quota = 'foreigner' then 'foreign quota' else 'standard' end"
+
+
+@query("lead_opportunities", f"with {fx.LEADS_SQL} select id, deviation_pct, {INTEREST} as interest from leads where condo_name is not null and deviation_pct < -15 and area_sqm > 0")
+def lead_opportunities(spark, sf):
+    rows = fx.leads(spark, sf).where("condo_name is not null and deviation_pct < -15 and area_sqm > 0")
+    owner, foreign = F.col("seller_type") == "owner", F.col("quota") == "foreigner"
+    interest = F.when(owner & foreign, "priority").when(owner, "direct owner").when(foreign, "foreign quota").otherwise("standard")
+    return rows.orderBy(owner.desc(), foreign.desc(), "deviation_pct", "id").select("id", "deviation_pct", interest.alias("interest"))
+
+
+SQL_STRIP = r"regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+SQL_PLAIN = f"trim(regexp_replace(replace(replace(replace(replace(replace(replace({SQL_STRIP}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '[ \\t\\n\\v\\f\\r]+', ' ', 'g'), ' ')"
+
+
+@query("page_texts", f"select page_id, length({SQL_PLAIN}) as n, md5({SQL_PLAIN}) as digest from pages")
+def page_texts(spark, sf):
+    plain = t.strip_html(F.col("html"))
+    return fx.table(spark, sf, "pages").select("page_id", F.length(plain).cast("long").alias("n"), F.md5(plain).alias("digest"))
+
+
+@query("page_links", r"""select page_id, len(list_distinct(regexp_extract_all(html, 'href="?([^"\s>]+)', 1))) as links, len(regexp_extract_all(html, '<p>')) as paragraphs from pages""")
+def page_links(spark, sf):
+    html = F.col("html")
+    links = F.size(F.array_distinct(F.regexp_extract_all(html, F.lit(r'href="?([^"\s>]+)'), F.lit(1))))
+    return fx.table(spark, sf, "pages").select("page_id", links.cast("long").alias("links"), F.regexp_count(html, F.lit("<p>")).cast("long").alias("paragraphs"))
+
+
+@query("page_titles", "select page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) as lang from pages")
+def page_titles(spark, sf):
+    html = F.col("html")
+    return fx.table(spark, sf, "pages").select("page_id", F.regexp_extract(html, "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract(html, '<html lang="([a-z]+)"', 1).alias("lang"))
+
+
+@query("amenity_scan", "select doc_id, concat_ws(',', case when contains(lower(text), 'pool') then 'pool' end, case when contains(lower(text), 'the') then 'the' end, case when contains(lower(text), 'que') then 'que' end) as found from documents")
+def amenity_scan(spark, sf):
+    low = F.lower("text")
+    hits = F.filter(F.array(F.lit("pool"), F.lit("the"), F.lit("que")), lambda a: F.contains(low, a))
+    return fx.table(spark, sf, "documents").select("doc_id", F.array_join(hits, ",").alias("found"))
+
+
+@query("document_search", "select doc_id from documents where contains(lower(concat_ws(' ', text, lang)), 'the') and contains(lower(concat_ws(' ', text, lang)), 'de')")
+def document_search(spark, sf):
+    return filters.search(fx.table(spark, sf, "documents"), "The de", ("text", "lang")).select("doc_id")
+
+
+@query("prose_counts")
+def prose_counts(spark, sf):
+    """Floors and units named in prose: one number, 'ambiguous' for several, null for none (look-behind patterns)."""
+    rows = fx.listings(spark, sf).select("id", F.expr("concat('A tower of ', cast(l_linenumber + 20 as string), ' storeys, in all ', cast(l_partkey % 900 + 50 as string), ' units', case when l_linenumber = 2 then ' (or 77 units)' else '' end)").alias("prose"))
+    return rows.select("id", t.unique_or_ambiguous(F.col("prose"), r"(\d+) storeys", 2, 90).alias("floors"), t.unique_or_ambiguous(F.col("prose"), r"(\d+) units", 10, 5000).alias("units"))
+
+
+@query("clean_descriptions")
+def clean_descriptions(spark, sf):
+    """Descriptions from pages, cut where program code begins."""
+    return fx.table(spark, sf, "pages").select("page_id", t.clean_description(F.col("html")).alias("description"))
+
+
+@query("extractor_scores", """select quality, count(*) as n, count(*) filter (toxic = quality) as agreed, count(*) filter (toxic = 0) as silent from labels group by 1""")
+def extractor_scores(spark, sf):
+    rows = fx.table(spark, sf, "labels")
+    of = lambda c: F.count(F.when(c, 1))
+    return rows.groupBy("quality").agg(F.count("*").alias("n"), of(F.col("toxic") == F.col("quality")).alias("agreed"), of(F.col("toxic") == 0).alias("silent"))
+
+
+@query("host_shares", "select regexp_extract(url, '^https?://([^/?#]+)', 1) as host, count(*) as n, floor(count(*) / sum(count(*)) over () * 1e4 + 0.5) / 100 as pct from pages group by 1")
+def host_shares(spark, sf):
+    from ..functions.stats import half_up
+
+    per = fx.table(spark, sf, "pages").groupBy(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host")).agg(F.count("*").alias("n"))
+    total = per.agg(F.sum("n").alias("__t"))
+    return per.join(F.broadcast(total)).select("host", "n", half_up(F.col("n") / F.col("__t") * 100, 2).alias("pct"))
+
+
+@query("balanced_sample")
+def balanced_sample(spark, sf):
+    return filters.sample_balanced(fx.table(spark, sf, "labels"), "quality", "doc_id", 20)

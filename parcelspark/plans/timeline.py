@@ -1 +1,114 @@
+"""Listings over scans, change logs and streams on the fixture."""
+
 from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import lifecycle
+from ..session import ship_package
+from ..sources import fixture as fx
+from ..sources.fixture import LISTINGS_SQL
+from ..sources.scratch import scratch
+from ..streaming import lifecycle as streams
+from .registry import query
+
+MONTH = "(year({0}) * 12 + month({0}))"
+U_SQL = f"""u as (select id, source, min(first_seen) as a, min(coalesce(delisted_at, {fx.AS_OF})) as b, min(l_linenumber) as ln from listings group by 1, 2),
+    m as (select *, {MONTH.format('a')} as ma, {MONTH.format('b')} as mb from u), z as (select min(ma) as m0 from m),
+    s as (select id, source, unnest(range(ma, mb + 1)) - m0 + 1 as scan, ma - m0 + 1 as sa, ln from m, z), seen as (select id, source, scan from s where not (ln = 4 and scan = sa + 1))"""
+
+
+def sightings(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(sightings, scans): monthly scans; a listing is seen from its first month to its last, with a gap for some."""
+    at = lambda c: F.expr(MONTH.format(c))
+    u = fx.listings(spark, sf).groupBy("id", "source").agg(
+        F.min("first_seen").alias("a"), F.min(F.coalesce("delisted_at", F.expr(fx.AS_OF).cast("timestamp_ntz"))).alias("b"), F.min("l_linenumber").alias("ln")
+    )
+    m0 = u.agg(F.min(at("a")).alias("m0"))
+    rows = u.join(F.broadcast(m0)).withColumn("sa", at("a") - F.col("m0") + 1)
+    seen = rows.withColumn("scan", F.explode(F.sequence(F.col("sa"), at("b") - F.col("m0") + 1))).where(~((F.col("ln") == 4) & (F.col("scan") == F.col("sa") + 1)))
+    seen = seen.select("id", F.col("source").alias("scope"), "scan", "m0")
+    month = F.col("m0") + F.col("scan") - 2
+    when = F.make_date(F.floor(month / 12).cast("int"), (F.pmod(month, F.lit(12)) + 1).cast("int"), F.lit(1))
+    return seen.drop("m0"), seen.select("scope", "scan", when.alias("at")).distinct()
+
+
+@query("delisting_grace", f"""with {LISTINGS_SQL}, {U_SQL}, l as (select id, source, max(scan) as last from seen group by 1, 2), t as (select source, max(scan) as top from seen group by 1)
+    select id, l.source as scope, case when top - last >= 2 then 'inactive' else 'active' end as status, top - last as missed,
+        case when top - last >= 2 then strftime(make_date(cast(floor((m0 + last - 1) / 12) as int), cast((m0 + last - 1) % 12 + 1 as int), 1), '%Y-%m-%d') end as delisted_on from l join t using (source), z""")
+def delisting_grace(spark, sf):
+    out = lifecycle.from_sightings(*sightings(spark, sf))
+    return out.select("id", "scope", "status", "missed", F.date_format("delisted_at", "yyyy-MM-dd").alias("delisted_on"))
+
+
+@query("scan_counts", f"with {LISTINGS_SQL}, {U_SQL} select source as scope, scan, count(*) as n from seen group by 1, 2")
+def scan_counts(spark, sf):
+    return sightings(spark, sf)[0].groupBy("scope", "scan").agg(F.count("*").alias("n"))
+
+
+@query("sold_persistence", f"""with {LISTINGS_SQL} select id, status, case when status = 'sold' and {fx.AS_OF} - delisted_at >= interval '7' day then strftime(delisted_at, '%Y-%m-%d') end as sold_on from listings where status = 'sold'""")
+def sold_persistence(spark, sf):
+    held = F.expr(fx.AS_OF) - F.col("delisted_at") >= F.expr("interval 7 days")
+    rows = fx.listings(spark, sf).where("status = 'sold'")
+    return rows.select("id", "status", F.when(held, F.date_format("delisted_at", "yyyy-MM-dd")).alias("sold_on"))
+
+
+@query("change_log", """with o as (select event_id, user_id, event_type, ts, lag(event_type) over w as before, row_number() over w as n from events window w as (partition by user_id order by ts, event_id))
+    select event_id, user_id, event_type from o where n = 1 or event_type is distinct from before""")
+def change_log(spark, sf):
+    rows = fx.table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+    return lifecycle.changes(rows, "user_id", "ts", "event_type", "event_id").select("event_id", "user_id", "event_type")
+
+
+@query("price_events", f"""with {LISTINGS_SQL}, {fx.HISTORY_SQL}, o as (select *, lag(price) over w as before, row_number() over w as n from history window w as (partition by id order by seen_at, price))
+    select id, price, strftime(seen_at, '%Y-%m-%d') as seen_on from o where n = 1 or price is distinct from before""")
+def price_events(spark, sf):
+    out = lifecycle.changes(fx.history(spark, sf), "id", "seen_at", "price", "price")
+    return out.select("id", "price", F.date_format("seen_at", "yyyy-MM-dd").alias("seen_on"))
+
+
+@query("resume_set", "select event_id from events where event_id not in (select event_id from events where event_type = 'click' or user_id % 2 = 0)")
+def resume_set(spark, sf):
+    rows = fx.table(spark, sf, "events")
+    return lifecycle.pending(rows.select("event_id"), rows.where("event_type = 'click' or user_id % 2 = 0").select("event_id"), "event_id")
+
+
+WINDOW_SQL = "select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') as starts, event_type, count(*) as n, cast(sum(cast(floor(value * 100) as bigint)) as bigint) as cents from events group by 1, 2"
+
+
+def cents(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.floor(F.col("value") * 100).alias("cents"))
+
+
+def readable(rows: DataFrame) -> DataFrame:
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("starts"), "event_type", "n", "cents")
+
+
+@query("tumbling_events", WINDOW_SQL)
+def tumbling_events(spark, sf):
+    return readable(streams.windowed(cents(fx.table(spark, sf, "events")), "ts", "1 hour", "2 hours", "event_type"))
+
+
+def event_stream(spark, sf) -> DataFrame:
+    schema = fx.table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf)
+
+
+@query("stream_tumbling_events", WINDOW_SQL)
+def stream_tumbling_events(spark, sf):
+    """The same windows by a stream with a watermark, run over what is there and read back."""
+    path = scratch(spark, "windows")
+    streams.run_once(streams.windowed(cents(event_stream(spark, sf)), "ts", "1 hour", "2 hours", "event_type"), path, "complete")
+    return readable(spark.read.parquet(path))
+
+
+@query("stream_price_changes", """with o as (select user_id, ts, value, lag(value) over w as before, row_number() over w as n from events window w as (partition by user_id order by ts, value))
+    select user_id, count(*) as changes, max(n) as last_sighting from o where n = 1 or value is distinct from before group by 1""")
+def stream_price_changes(spark, sf):
+    """Price changes by keyed state, from a stream over what is there."""
+    ship_package(spark)
+    path = scratch(spark, "changes")
+    rows = event_stream(spark, sf).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    streams.run_once(streams.price_changes(rows), path)
+    return spark.read.parquet(path).groupBy("user_id").agg(F.count("*").alias("changes"), F.max("sightings").alias("last_sighting"))
