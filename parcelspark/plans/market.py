@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import half_up, median_average, mid_rank, slope
@@ -311,7 +311,9 @@ def repost_verdicts(spark, sf):
     return matching.repost_verdicts(matching.repost_pairs(fx.listings(spark, sf))).select("id_a", "id_b", "verdict")
 
 
-AS_OF, SINCE = F.expr(fx.AS_OF), F.expr(fx.CUT_OFF)
+def clock() -> tuple[Column, Column]:
+    """The pinned present, and from when on delistings count."""
+    return F.expr(fx.AS_OF), F.expr(fx.CUT_OFF)
 
 
 def mid_sql(v: str) -> str:
@@ -345,13 +347,13 @@ def tension_sql(group: str, where: str, snaps: bool) -> str:
 
 @query("tension_by_district", tension_sql("khet", "deal_type = 'sale'", True))
 def tension_by_district(spark, sf):
-    out = tension.tension_by_district(fx.sane_listings(spark, sf), snapshots(spark, sf), "sale", AS_OF, SINCE)
+    out = tension.tension_by_district(fx.sane_listings(spark, sf), snapshots(spark, sf), "sale", *clock())
     return out.withColumns({c: half_up(F.col(c), 4) for c in ("stock_trend", "price_momentum")})
 
 
 @query("tension_by_street", tension_sql("street", "deal_type = 'sale' and khet = 'Brand#11 District'", False))
 def tension_by_street(spark, sf):
-    return tension.tension_by_street(fx.sane_listings(spark, sf), "Brand#11 District", "sale", AS_OF, SINCE)
+    return tension.tension_by_street(fx.sane_listings(spark, sf), "Brand#11 District", "sale", *clock())
 
 
 @query("seller_pressure", f"""with {SANE_SQL} select khet, count(*) filter (status = 'active') as n_active, count(distinct case when status = 'active' and {N1} <> '' then {N1} end) as n_condos,
