@@ -65,10 +65,14 @@ def contamination(
         "doc_id", "mark", "n_words",
         F.explode(F.transform(starts, lambda s: F.struct(s.alias("at"), F.slice("ws", s + 1, SEGMENT + window - 1).alias("ws")))).alias("seg"),
     )
-    found = F.array().cast("array<struct<at:int,gram:string>>")
+    found = none = F.array().cast("array<struct<at:int,gram:string>>")
     for n in lengths:
-        every = F.transform(F.slice(grams(F.col("seg.ws"), n), 1, SEGMENT), lambda g, i: F.struct((i + F.col("seg.at")).cast("int").alias("at"), g.alias("gram")))
-        found = F.concat(found, every)
+        last = F.least(F.size("seg.ws") - n, F.lit(SEGMENT - 1))
+        every = F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+            lambda i: F.struct((i + F.col("seg.at")).cast("int").alias("at"), F.array_join(F.slice(F.col("seg.ws"), i + 1, n), " ").alias("gram")),  # noqa: B023
+        )
+        found = F.concat(found, F.when(last >= 0, every).otherwise(none))
     # One more row per document, without a window, keeps documents that nothing hits.
     self = F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("gram"))
     found = F.when(F.col("seg.at") == 0, F.concat(F.array(self), found)).otherwise(found)
