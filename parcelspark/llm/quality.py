@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from . import bytehash as bh
 
 WIDTH, EMBED, FILTERS, CHUNK = 6, 6, 16, 128
-#: Labelled rows, half of each label, that the network is fitted on at most; their bytes are bounded as well.
+#: Labelled rows, half of each label, that the network is fitted on at most; their bytes are bounded as well, by label.
 SAMPLE_ROWS = 2000
 SAMPLE_BYTES = 12 << 20
 EPOCHS = 24
@@ -135,22 +135,31 @@ def fold(id_col: Column, folds: int) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: tuple[int, int], rows: int) -> tuple[list[bytes], np.ndarray]:
-    """At most `rows` whole labelled texts, half of each label, in the order of a hash of their ids."""
+    """At most `rows` whole labelled texts, half of each label, in the order of a hash of their ids.
+
+    A label has half of SAMPLE_BYTES; a text that does not fit into what is left of it is passed over, and those behind
+    it still count. Of rows that share a doc_id the shortest is taken, then the least text.
+    """
     folds, out = held_out
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & (fold(F.col("doc_id"), folds) != out))
     known = known.groupBy("doc_id").agg(F.max(target).alias("label"))
-    half = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2) for y in (0, 1)]
-    wanted = half[0].union(half[1])  # bounded by `rows`, so it may be broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    texts, ys, total = [], [], 0
-    for row in got.toLocalIterator():
-        data = (row.text or "").encode()
-        total += len(data)
-        if total > SAMPLE_BYTES and texts:
-            break
-        texts.append(data)
-        ys.append(row.label)
-    return texts, np.array(ys)
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    sized = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(size).alias("bytes")).join(known, "doc_id")
+    most = SAMPLE_BYTES // 2
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    half = [sized.where((F.col("label") == y) & (F.col("bytes") <= most)).orderBy(*order).limit(rows // 2) for y in (0, 1)]
+    left, chosen = {0: most, 1: most}, []
+    for row in half[0].union(half[1]).orderBy(*order).collect():  # at most `rows` rows without their texts
+        if row.bytes <= left[row.label]:
+            left[row.label] -= row.bytes
+            chosen.append((row.doc_id, row.bytes, row.label))
+    missing = {0, 1} - {y for _, _, y in chosen}
+    if missing and sized.where(F.col("label").isin(*missing)).head(1):
+        raise ValueError(f"no labelled text of label {min(missing)} has at most {most} bytes or `rows` is under 2")
+    wanted = docs.sparkSession.createDataFrame(chosen, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, bytes long, label int")
+    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("bytes", F.octet_length("text").cast("long"))
+    got = got.join(F.broadcast(wanted), ["doc_id", "bytes"]).groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy(*order).collect()
+    return [row.text.encode() for row in got], np.array([row.label for row in got])
 
 
 def quality_scores(

@@ -380,6 +380,20 @@ def test_quality(spark):
     assert flat.score == 0.5
 
 
+def test_a_long_text_does_not_end_the_sample(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    order = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").orderBy(F.xxhash64("i")).collect()]
+    long, twice = order[0], order[1]
+    rows = [(i, f"text {i}") for i in ids if i != long] + [(twice, f"text {twice} longer")] * 3 + [(long, "x" * (13 << 20))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    texts, ys = quality.training_sample(d, labels, "quality", (4, 2), 2000)
+    assert [t.decode() for t in texts] == [f"text {i}" for i in order[1:]] and ys.tolist() == [i % 2 for i in order[1:]]
+    with pytest.raises(ValueError, match="label 1"):
+        only = labels.withColumn("quality", (F.col("doc_id") == long).cast("int"))
+        quality.training_sample(d, only, "quality", (4, 2), 2000)
+
+
 def test_chunks_cover_the_whole_document():
     import numpy as np
 
