@@ -187,6 +187,23 @@ def test_lm_is_a_distribution(spark, corpus):
     assert abs(total / len(model.samples) - 1) < 1e-9
 
 
+def test_lm_scores_do_not_depend_on_the_bound_of_the_broadcast(spark, corpus, monkeypatch):
+    import numpy as np
+
+    d = docs(spark, corpus)
+    small = {r.doc_id: r for r in lm.lm_scores(d).collect()}
+    vocab = lm.vocabulary(d)
+    entries = lm.spelled_counts(vocab, None, 3).where("context >= 0").localCheckpoint()
+    found = lm.with_given(vocab, [lm.spelling_table(entries, lm.ORDER, 3)]).collect()
+    want = lm.spelling(entries, lm.ORDER, 3).words(*lm.spell([bytes(r.word) for r in found]))
+    assert len(found) == vocab.count() and np.allclose([r.given0 for r in found], want, rtol=1e-9)
+    monkeypatch.setattr(lm, "MOST_ENTRIES", 5)
+    large = {r.doc_id: r for r in lm.lm_scores(d).collect()}
+    assert all((large[i].n_known, large[i].base_score) == (r.n_known, pytest.approx(r.base_score)) for i, r in small.items())
+    # Only the draws of the seating differ, as the words lie in other batches.
+    assert sum(r.score for r in large.values()) == pytest.approx(sum(r.score for r in small.values()), rel=1e-4)
+
+
 def test_lm_edges(spark):
     rows = lm.lm_scores(docs(spark, [None, "", "a", "a"], ids=[None, 1, 1, 1])).collect()
     assert len(rows) == 4 and all(r.score < 0 for r in rows)
