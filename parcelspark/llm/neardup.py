@@ -1,9 +1,9 @@
 """Near-duplicate detection by bottom-k sketches from one hash function.
 
 Each distinct shingle set keeps its k least hashes. Inverted lists of the retained values that at least two sets have
-generate overlaps: a linked pair shares SHARED of its 32 values (a pair at Jaccard 0.85 shares fewer with a chance
-under 1e-8; sets of at most 32 shingles are their own sketch, so there the bound is exact), hence it meets in one of
-the lists of its first values in the order of (list length, value), and only those lists are kept. Pairs from short
+generate overlaps: a linked pair shares least_shared() of its k values (a pair at the least Jaccard that is linked shares
+fewer with a chance under MISS; sets of at most k shingles are their own sketch, so there the bound is exact), hence it
+meets in one of the lists of its first values in the order of (list length, value), and only those lists are kept. Pairs from short
 lists pass an estimate on the union's sketch and are then verified on full sets. Long lists, as large groups of copies
 make them, are cut into blocks; each pair of blocks is verified on full sets where it lies, and gives out a spanning
 forest of its links rather than the links. No list is cut short and no pair of a list is left out.
@@ -12,6 +12,7 @@ forest of its links rather than the links. No list is cut short and no pair of a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from .common import components, keep_ids, stage
 
 WIDTH = 5
 K = 32
-SHARED = 14
+MISS = 1e-8
 #: Members of a list whose pairs are listed as rows; longer lists go by blocks of BLOCK members.
 SHORT = 64
 BLOCK = 1024
@@ -79,6 +80,16 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "rep long, fp binary, hashes binary")
 
 
+def least_shared(percent: int, k: int) -> int:
+    """The most values of which a pair at `percent` hundredths shares fewer, of k, with a chance (binomial) of at most MISS."""
+    p, below, n = percent / 100, 0.0, 0
+    while n < k and (below := below + comb(k, n) * p**n * (1 - p) ** (k - n)) <= MISS:
+        n += 1
+    if not n:
+        raise ValueError(f"sketches of {k} values miss pairs at {percent} hundredths with a chance over {MISS}: take a larger k")
+    return n
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -147,7 +158,8 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int)
     values = classes.select("rep", "n", F.explode("sketch").alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     shared = values.join(common, "v").groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    need = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100).cast("int"))
+    enough = least_shared(percent, k)
+    need = F.least(F.lit(enough), F.ceil(F.col("n") * percent / 100).cast("int"))
     kept = F.slice("vs", 1, F.greatest(F.size("vs") - need + 1, F.lit(0)))
     index = stage(shared.where(F.size("vs") >= need).select("rep", "n", F.explode(kept).alias("x")).select("rep", "n", "x.v"))
     lengths = index.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
@@ -161,7 +173,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int)
     pairs = pairs.join(sk.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
     least = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(least, F.array_intersect("sa", "sb")))
-    pairs = stage(pairs.where(both * k >= F.size(least) * SHARED).select("a", "b"))
+    pairs = stage(pairs.where(both * k >= F.size(least) * enough).select("a", "b"))
     long = stage(lists.where(F.col("m") > SHORT).select("v", "rep", "m"))
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(long.select("rep")).distinct()
     wanted = stage(wanted.join(classes.select("rep", "fp"), "rep"))

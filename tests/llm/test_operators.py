@@ -147,6 +147,40 @@ def test_near_duplicates_edge_cases(spark):
     assert sorted(r.doc_id for r in neardup.drop_near_duplicates(d).collect()) == [0, 2]
 
 
+def test_the_pipeline_drops_near_copies_from_four_fifths_on(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    texts, want = [], set()
+    for i in range(40):  # 104 words have 100 shingles; with m words added at the end a pair is at 100 / (100 + m)
+        base = words(rng, 104, 10**6)
+        want.add(len(texts))
+        texts.append(base)
+        m = (18, 20, 22, 25, 26)[i % 5]
+        if m > 25:
+            want.add(len(texts))
+        texts.append(base + " " + words(rng, m, 10**6))
+    sets = [shingles(t) for t in texts]
+    assert {i for i in range(len(texts)) if not any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in range(i))} == want
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    # Labels of one kind let all documents pass the first stage; the benchmark has none of their passages.
+    spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "nothing of this")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    taken = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert taken == want
+
+
+def test_shared_follows_percent_and_k():
+    from math import comb
+
+    for percent, k in ((85, 32), (80, 32), (60, 32), (50, 32), (50, 64)):
+        n, p = neardup.least_shared(percent, k), percent / 100
+        below = [sum(comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(m)) for m in (n, n + 1)]
+        assert below[0] <= 1e-8 < below[1]
+    with pytest.raises(ValueError, match="larger k"):
+        neardup.least_shared(20, 32)
+
+
 # 3 language model
 
 
