@@ -3,8 +3,8 @@
 Each distinct shingle set keeps its k least hashes. Inverted lists of the retained values that at least two sets have
 generate overlaps: a linked pair shares least_shared() of its k values (a pair at the least Jaccard that is linked shares
 fewer with a chance under MISS; sets of at most k shingles are their own sketch, so there the bound is exact), hence it
-meets in one of the lists of its first values in the order of (list length, value), and only those lists are kept. Pairs from short
-lists pass an estimate on the union's sketch and are then verified on full sets. Long lists, as large groups of copies
+meets in one of the lists of its first values in the order of (list length, value), and only those lists are kept. Pairs
+from short lists pass an estimate on the union's sketch and are then verified on full sets. Long lists, as large groups of copies
 make them, are cut into blocks; each pair of blocks is verified on full sets where it lies, and gives out a spanning
 forest of its links rather than the links. No list is cut short and no pair of a list is left out.
 """
@@ -49,7 +49,7 @@ def fingerprint(s: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """(doc_id, n, fp, sketch) per row."""
+    """(doc_id, ref, n, fp, sketch) per row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, w in bh.rows(batches, "text", lower=True):
             sets = list(shingle_sets(batch, w, width))
@@ -58,26 +58,26 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
             flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column("doc_id"), batch.column("ref"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([fingerprint(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)),
                 ],
-                names=["doc_id", "n", "fp", "sketch"],
+                names=["doc_id", "ref", "n", "fp", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp binary, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, ref long, n long, fp binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(rep, fp, hashes) per row, hashes the sorted set as bytes."""
+    """(fp, hashes) per row, hashes the sorted set as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, w in bh.rows(batches, "text", lower=True):
             sets = list(shingle_sets(batch, w, width))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["rep", "fp", "hashes"],
+                [pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["fp", "hashes"],
             )
 
-    return docs.mapInArrow(run, "rep long, fp binary, hashes binary")
+    return docs.mapInArrow(run, "fp binary, hashes binary")
 
 
 def least_shared(percent: int, k: int) -> int:
@@ -154,7 +154,7 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int) -> DataFrame:
-    """(a, b): links between representatives that connect all that is linked. classes: (rep, n, fp, sketch)."""
+    """(a, b): links between representatives that connect all that is linked. classes: (rep, ref, n, fp, sketch)."""
     values = classes.select("rep", "n", F.explode("sketch").alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     shared = values.join(common, "v").groupBy("rep").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
@@ -176,9 +176,9 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int)
     pairs = stage(pairs.where(both * k >= F.size(least) * enough).select("a", "b"))
     long = stage(lists.where(F.col("m") > SHORT).select("v", "rep", "m"))
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(long.select("rep")).distinct()
-    wanted = stage(wanted.join(classes.select("rep", "fp"), "rep"))
-    own = full_sets(keep_ids(docs, wanted.withColumnRenamed("rep", "doc_id"), ["doc_id"], "left_semi"), width)
-    own = stage(own.join(wanted, ["rep", "fp"], "left_semi").dropDuplicates(["rep"]).select("rep", "hashes"))
+    wanted = stage(wanted.join(classes.select("rep", "ref", "fp"), "rep"))
+    own = full_sets(keep_ids(docs, wanted, ["ref"], "left_semi"), width).dropDuplicates(["fp"])
+    own = stage(own.join(wanted, "fp").select("rep", "hashes"))
     two = pairs.join(own.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a").join(own.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     part = long.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
@@ -187,6 +187,42 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int)
     return verified(two, percent).union(block_links(part.join(own, "rep"), percent))
 
 
+def with_ref(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("ref", F.xxhash64("doc_id", "text"))
+
+
+def found_classes(docs: DataFrame, width: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes) of (doc_id, text, ref): the sketches, and one row for each distinct set that is not empty.
+
+    A class is named by a number of its own, rep. Its (anonymous, doc_id, ref) are those of its least row, rows without
+    a doc_id last.
+    """
+    rows = stage(sketches(docs, width, k))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "ref")).alias("x")
+    classes = rows.where("n > 0").groupBy("fp").agg(least, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    return rows, stage(classes.select(F.monotonically_increasing_id().alias("rep"), "fp", "x.*", "n", "sketch"))
+
+
+def same_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links between the classes of rows that share a doc_id."""
+    rows = rows.where("n > 0 and doc_id is not null")
+    mark = F.xxhash64("fp")
+    many = stage(rows.groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low < high").select("doc_id"))
+    own = stage(keep_ids(rows, many, ["doc_id"], "left_semi").select("doc_id", "fp").distinct().join(classes.select("fp", "rep"), "fp").select("doc_id", "rep"))
+    # An id may have many classes: they meet the least of them by salted keys.
+    salts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = own.withColumn("salt", F.pmod("rep", F.lit(salts)).cast("int"))
+    part = own.groupBy("doc_id", "salt").agg(F.min("rep").alias("least"))
+    spread = part.select("doc_id", "salt").join(part.groupBy("doc_id").agg(F.min("least").alias("a")), "doc_id")
+    return own.join(spread, ["doc_id", "salt"]).where("a <> rep").select("a", F.col("rep").alias("b"))
+
+
+def with_component(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """`classes` plus component, the least class that the edges reach."""
+    joined = components(edges, "a", "b").withColumnRenamed("node", "rep")
+    return classes.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = 85, k: int = K
 ) -> DataFrame:
@@ -195,18 +231,18 @@ def near_duplicates(
     Sets are of lower-cased (A-Z) words, `width` to a shingle; a text of fewer words is one shingle, one without words
     has none and is linked with nothing. Equal sets are linked as one class first. Documents whose sets have at least
     `percent` hundredths of their union in common are linked, and component_id is the least doc_id reachable. Rows
-    that share a doc_id are one node. A row without a doc_id gets its class's component; where none has an id, null,
-    and is kept. Other columns are ignored.
+    that share a doc_id are one node, whatever their texts. A row without a doc_id gets its class's component; where
+    no row of the component has an id, null, and is kept. Other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stage(sketches(docs, width, k))
-    classes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = stage(classes.where("rep is not null"))
-    joined = components(links(docs, classes, width, percent, k), "a", "b")
-    top = classes.select("fp", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    top = top.select("fp", F.coalesce("component", "rep").alias("component_id"))
-    # Rows meet their class by salted keys, so that a large group of copies is not one task.
+    docs = with_ref(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    rows, classes = found_classes(docs, width, k)
+    top = with_component(classes, links(docs, classes, width, percent, k).union(same_ids(rows, classes)))
+    # Classes meet their component, and rows their class, by salted keys, so that a large group is not one task.
     salts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    top = top.withColumn("salt", F.pmod("rep", F.lit(salts)).cast("int"))
+    part = top.groupBy("component", "salt").agg(F.min("doc_id").alias("least"))
+    named = part.select("component", "salt").join(part.groupBy("component").agg(F.min("least").alias("component_id")), "component")
+    top = top.join(named, ["component", "salt"]).select("fp", "component_id")
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     spread = rows.select("fp", "salt").distinct().join(top, "fp")
     out = rows.join(spread, ["fp", "salt"], "left")
@@ -217,7 +253,23 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The documents that near_duplicates() keeps, with all columns of `docs`; rows without an id stay."""
-    gone = stage(near_duplicates(docs, **options).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct())
-    return keep_ids(docs.withColumn("__id", F.col("doc_id")), gone, ["__id"], "left_anti").drop("__id")
+def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 85, k: int = K) -> DataFrame:
+    """One row of each group of near duplicates, with all columns of `docs`: the one with the least doc_id.
+
+    Groups are of texts, linked as in near_duplicates(): rows that share a doc_id or have none are in one group only
+    if their texts are. Rows without words stay.
+    """
+    own = with_ref(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows, classes = found_classes(own, width, k)
+    top = with_component(classes, links(own, classes, width, percent, k))
+    best = top.groupBy("component").agg(F.min(F.struct("anonymous", "doc_id", "ref")).alias("x")).select("x.ref")
+    refs = rows.where("n > 0").groupBy("ref").agg(F.count("*").alias("copies"))
+    refs = stage(refs.join(best.withColumn("best", F.lit(True)), "ref", "left").where("best is null or copies > 1"))
+    marked = docs.withColumn("__ref", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    out = keep_ids(marked, refs.select(F.col("ref").alias("__ref")), ["__ref"], "left_anti").drop("__ref")
+    twice = refs.where("best").select(F.col("ref").alias("__ref"))
+    if not twice.head(1):
+        return out
+    # Rows equal in id and text are combined before the shuffle: a large group of them is not one task.
+    one = keep_ids(marked, twice, ["__ref"], "left_semi").groupBy("__ref").agg(F.min(F.struct(*docs.columns)).alias("x"))
+    return out.union(one.select("x.*"))

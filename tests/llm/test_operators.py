@@ -147,6 +147,22 @@ def test_near_duplicates_edge_cases(spark):
     assert sorted(r.doc_id for r in neardup.drop_near_duplicates(d).collect()) == [0, 2]
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    rng = random.Random(21)
+    a, b, c, d = (words(rng, 300, 10**6) for _ in range(4))
+    a2, b2, c2 = (edited(rng, x, 0.005) + " end" for x in (a, b, c))
+    assert all(85 * len(shingles(x) | shingles(y)) <= 100 * len(shingles(x) & shingles(y)) for x, y in ((a, a2), (b, b2), (c, c2)))
+    # Id 1 has two texts, each with a near copy elsewhere; c and its near copy and d have no ids.
+    rows = [(1, a), (1, b), (5, a2), (6, b2), (None, c), (None, c2), (None, c), (None, d), (7, d), (8, "x y"), (8, "x y"), (None, ""), (None, None)]
+    df = docs(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in neardup.near_duplicates(df).where("n_shingles > 0").collect() if r.doc_id}
+    assert {i: x for (i, _), x in got.items()} == {1: 1, 5: 1, 6: 1, 7: 7, 8: 8}
+    kept = sorted((r.doc_id or 0, r.text or "") for r in neardup.drop_near_duplicates(df).collect())
+    left = [x for x in kept if x[0] == 0 and x[1]]
+    assert len(left) == 1 and left[0][1] in (c, c2)
+    assert [x for x in kept if x not in left] == sorted([(1, a), (1, b), (7, d), (8, "x y"), (0, ""), (0, "")])
+
+
 def test_the_pipeline_drops_near_copies_from_four_fifths_on(spark, tmp_path):
     import corpus_pipeline
 
