@@ -62,7 +62,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float
     """
     place = F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1
     weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
-    rows = sources.withColumn("__w", weight).withColumn("__cap", F.col("source_size") * F.lit(float(cap)))
+    rows = sources.withColumn("__w", weight).withColumn("__cap", F.when(F.col("source_size") > 0, F.col("source_size") * F.lit(float(cap))).otherwise(0.0))
     order = W.orderBy(F.col("__cap") / F.col("__w"), F.col("source").isNull(), "source")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     every = W.partitionBy(F.lit(0))
@@ -79,15 +79,15 @@ def plan(sizes: DataFrame, seed: int, weights: tuple[int, ...] = (1, 2, 3), cap:
 
     sizes: (source, bucket, size), one row per document.
     """
-    shards = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("words")).where("words > 0")
+    shards = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     fit = F.greatest(F.round(F.col("words") / BLOCK_WORDS), F.least(F.col("words"), F.lit(LEAST_BLOCKS))).cast("long")
     shards = stage(shards.withColumn("blocks", fit))
     sources = shards.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("blocks").alias("__blocks"))
-    sources = targets(sources, weights, cap)
+    sources = targets(sources, weights, cap).where("source_size > 0")  # one without words has its place, but no blocks
     votes = F.col("target") * F.col("__blocks") / F.col("source_size")
     sources = sources.withColumn("__votes", votes).withColumn("__all", F.round(F.sum("__votes").over(W.partitionBy(F.lit(0)))).cast("long"))
     sources = sainte_lague(sources, [], "__votes", "__all", ["source"], "__seats").withColumn("__name", F.col("source"))
-    own = shards.join(sources.drop("source"), F.col("source").eqNullSafe(F.col("__name")))
+    own = shards.where("words > 0").join(sources.drop("source"), F.col("source").eqNullSafe(F.col("__name")))
     own = own.select("source", "bucket", "words", "blocks", "source_size", "target", "__seats")
     own = sainte_lague(own, ["source", "source_size", "target", "__seats"], "blocks", "__seats", ["bucket"], "quota")
     most = F.floor(F.col("blocks") * F.lit(float(cap)) + 1e-9) if cap != inf else F.col("quota")

@@ -92,6 +92,16 @@ def test_sainte_lague_gives_the_highest_quotients(spark):
     assert sum(s for (g, _), s in got.items() if g == "g") == 41 and got["h", 1] == 7 and got["z", 1] == 0
 
 
+def test_a_source_without_words_keeps_its_place(spark):
+    text = " ".join(["word"] * 3000)
+    d = docs(spark, [text, None, " ", text, text], ["a", "b", "b", "c", None])
+    got = {r.source: (r.size, r.target, r.taken) for r in mixing.mix(d).collect()}
+    # Weights 1, 2, 3, 1 of a, b, c and null; b, of no size, is stopped at once: 9000 words by 1 : 3 : 1.
+    assert got["b"] == (0, 0.0, 0)
+    for s, target in (("a", 1800), ("c", 5400), (None, 1800)):
+        assert abs(got[s][1] - target) < 1e-6 and abs(got[s][2] - target) <= 2 + 0.01 * target
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     rows = mixing.mix(docs(spark, [None, ""])).collect()
