@@ -6,23 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine, inside_polygon, segment_distance
+from ..functions.geo import EARTH_M, haversine, inside_polygon, segment_distance
 from ..functions.text import district_key
 
-#: Cell sizes in degrees, tried in turn; a degree of longitude counts as LEAST_M metres at least.
-CELLS = (0.04, 0.4, 4.0)
-LEAST_M = 90_000.0
+#: Cell sizes in degrees, tried in turn, and that of the blocks of places in the search for what is left.
+CELLS = (0.04, 0.4)
+FAR = 0.4
 
 
 def nearest(points: DataFrame, pois: DataFrame, k: int, cells: tuple[float, ...] = CELLS) -> DataFrame:
     """(lat, lng, rank, poi, metres): the k nearest of `pois` (poi, poi_lat, poi_lng) to each distinct point.
 
     Points meet what lies in their own and the eight cells about it, on equal keys. A point whose k-th candidate may
-    not be among the nearest, being further than a cell, is tried again with larger cells. Ties go to the lower name.
+    not be among the nearest, being further than a cell, is tried again with larger cells, and in the end against all
+    places by far(). Ties go to the lower name.
     """
     left = points.select("lat", "lng").where("lat is not null and lng is not null").distinct()
     out = None
-    for i, size in enumerate(cells):
+    for size in cells:
         cx, cy = F.floor(F.col("lat") / size), F.floor(F.col("lng") / size)
         steps = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
         near = left.withColumn("s", F.explode(steps)).select("lat", "lng", (cx + F.col("s.x")).alias("cx"), (cy + F.col("s.y")).alias("cy"))
@@ -30,11 +31,34 @@ def nearest(points: DataFrame, pois: DataFrame, k: int, cells: tuple[float, ...]
         found = near.join(own, ["cx", "cy"]).withColumn("metres", haversine(F.col("lat"), F.col("lng"), F.col("poi_lat"), F.col("poi_lng")))
         ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("lat", "lng").orderBy("metres", "poi"))).where(F.col("rank") <= k)
         ranked = ranked.select("lat", "lng", "rank", "poi", "metres")
-        if i + 1 < len(cells):
-            sure = ranked.where((F.col("rank") == k) & (F.col("metres") <= size * LEAST_M)).select("lat", "lng")
-            ranked, left = ranked.join(sure, ["lat", "lng"], "left_semi"), left.join(sure, ["lat", "lng"], "left_anti")
+        # What lies outside is a cell's size further north or south at least, or beyond the meridians a cell's size away.
+        reach = EARTH_M * (1 - 1e-9) * F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.lit(size))))
+        inner = (F.abs("lat") <= 90) & (F.abs("lng") <= 180 - size)
+        sure = ranked.where((F.col("rank") == k) & inner & (F.col("metres") < reach)).select("lat", "lng")
+        ranked, left = ranked.join(sure, ["lat", "lng"], "left_semi"), left.join(sure, ["lat", "lng"], "left_anti")
         out = ranked if out is None else out.union(ranked)
-    return out
+    last = far(left, pois, k)
+    return last if out is None else out.union(last)
+
+
+def far(points: DataFrame, pois: DataFrame, k: int) -> DataFrame:
+    """nearest() at any distance: points meet blocks of places, and then the places of those that may hold a nearest.
+
+    A block's places lie within its radius of its middle, so by the triangle inequality the k-th nearest is no further
+    than the least bound under which blocks hold k places.
+    """
+    own = pois.where("poi_lat is not null and poi_lng is not null").select("poi", "poi_lat", "poi_lng", F.floor(F.col("poi_lat") / FAR).alias("cx"), F.floor(F.col("poi_lng") / FAR).alias("cy"))
+    middle = ((F.col("cx") + 0.5) * FAR, (F.col("cy") + 0.5) * FAR)
+    away = haversine(*middle, F.col("poi_lat"), F.col("poi_lng"))
+    blocks = own.withColumn("away", away).groupBy("cx", "cy").agg(F.max("away").alias("radius"), F.count("*").alias("n"))
+    met = points.crossJoin(blocks).withColumn("to", haversine(F.col("lat"), F.col("lng"), *middle))
+    w = W.partitionBy("lat", "lng")
+    held = F.sum("n").over(w.orderBy(F.col("to") + F.col("radius"), "cx", "cy").rowsBetween(W.unboundedPreceding, 0))
+    met = met.withColumn("held", held).withColumn("bound", F.min(F.when(F.col("held") >= k, F.col("to") + F.col("radius"))).over(w))
+    met = met.where(F.col("bound").isNull() | (F.col("to") - F.col("radius") <= F.col("bound") + 1)).select("lat", "lng", "cx", "cy")
+    found = met.join(own, ["cx", "cy"]).withColumn("metres", haversine(F.col("lat"), F.col("lng"), F.col("poi_lat"), F.col("poi_lng")))
+    ranked = found.withColumn("rank", F.row_number().over(w.orderBy("metres", "poi"))).where(F.col("rank") <= k)
+    return ranked.select("lat", "lng", "rank", "poi", "metres")
 
 
 def nearest_distance(points: DataFrame, pois: DataFrame, name: str) -> DataFrame:
