@@ -28,7 +28,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE = mix(np.arange(1, 257, dtype=U) * _odd)
+def at_place(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """A number for a byte at its place in a word: independent of those of other places, unlike powers of a base."""
+    return mix((place.astype(U) << U(8) | byte) * _odd + _odd)
+
+
+#: at_place() of the first places.
+PLACES = 64
+PLACE = np.stack([at_place(np.full(256, i), np.arange(256, dtype=np.uint8)) for i in range(PLACES)])
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
@@ -79,11 +86,23 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
 
     def hashes(self) -> np.ndarray:
-        up, down = _power_tables(len(self.buf) + 1)
-        total = np.zeros(len(self.buf) + 1, U)
-        np.cumsum(BYTE[self.buf] * up[: len(self.buf)], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * down[self.starts]
-        return mix(h + (self.ends - self.starts).astype(U) * _odd)
+        """64 bits that name each word: the sum of its bytes' numbers, mixed with its length."""
+        size = self.ends - self.starts
+        if not len(size):
+            return np.zeros(0, U)
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(first, size)
+        byte = self.buf[place + np.repeat(self.starts, size)]
+        near = np.minimum(place, PLACES - 1)
+        number = PLACE[near, byte]
+        far = np.flatnonzero(place >= PLACES)
+        number[far] = at_place(place[far], byte[far])
+        return mix(np.add.reduceat(number, first) + size.astype(U) * _odd)
+
+    def endings(self) -> np.ndarray:
+        """The last two bytes of each word as a number."""
+        last = self.buf[self.ends - 1].astype(np.int64)
+        return last | np.where(self.ends - self.starts > 1, self.buf[np.maximum(self.ends - 2, 0)].astype(np.int64) << 8, 0)
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:

@@ -38,15 +38,26 @@ def stage(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete what stage() wrote for `df`, once all that reads it has been written itself."""
+    _delete(df.sparkSession, df._staged)
+    _written.remove((df.sparkSession, df._staged))
 
 
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone already; the shared folder is then cleaned with it
             return
 

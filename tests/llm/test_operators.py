@@ -230,43 +230,117 @@ def test_lm_base_score_and_gain(spark, corpus):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_lm_is_a_distribution(spark, corpus):
-    """Known words, the end and the unknown kind have all of the probability."""
-    model, vocab = lm.train(docs(spark, corpus).where(lm.learnt(F.col("doc_id"))))
-    rows = vocab.collect()
+def brute_model(model):
+    """p(context, word) from the seated pairs alone: counts over all buckets, no vectors, no hot pairs."""
+    from collections import defaultdict
+
+    c, pairs = {}, model.pairs.collect()
+    sums = [{n: defaultdict(float) for n in ("t", "gt", "gc", "T", "K", "C", "root")} for _ in model.worlds]
+    for row in pairs:
+        s = lm.unpack(bytes(row.state))
+        b = lm.Bucket(model.words, s["ctx"], s["w"], s["c"])
+        for i, z in enumerate(sums):
+            t, gt = s[f"t{lm.BURN_IN + i}"], s[f"gt{lm.BURN_IN + i}"]
+            for x, w, n, e, own, tables in zip(b.ctx.tolist(), b.w.tolist(), b.c.tolist(), b.ending.tolist(), b.own.tolist(), t.tolist(), strict=True):
+                c[x, w] = n
+                assert 1 <= tables <= n
+                z["gc"][e, w] += tables if own else n
+                z["C"][e] += tables if own else n
+                if own:
+                    z["t"][x, w] = tables
+                    z["T"][x] += tables
+            for x, w, tables in zip(b.gctx.tolist(), b.gw.tolist(), gt.tolist(), strict=True):
+                e = x - model.words.contexts
+                assert 1 <= tables <= z["gc"][e, w]
+                z["gt"][e, w] = tables
+                z["K"][e] += tables
+                z["root"][w] += tables
+    total = Counter()
+    for (x, _), n in c.items():
+        total[x] += n
+
+    def p(ctx, w):
+        e = int(model.words.ending_of(__import__("numpy").array([ctx]))[0])
+        out = []
+        for z, world in zip(sums, model.worlds, strict=True):
+            d0, d1, d2 = world.d
+            all_root, kinds = sum(z["root"].values()), len(z["root"])
+            q = (z["root"][w] - d0 if z["root"].get(w) else 1 + d0 * kinds) / (1 + all_root)
+            q = (z["gc"].get((e, w), 0) - d1 * z["gt"].get((e, w), 0) + (1 + d1 * z["K"].get(e, 0)) * q) / (1 + z["C"].get(e, 0))
+            if ctx < model.words.contexts:
+                q = (c.get((ctx, w), 0) - d2 * z["t"].get((ctx, w), 0) + (1 + d2 * z["T"].get(ctx, 0)) * q) / (1 + total[ctx])
+            out.append(q)
+        return sum(out) / len(out)
+
+    return p, {w for _, w in c}, {x for x, _ in c}
+
+
+@pytest.mark.parametrize(("contexts", "bucket", "top"), [(1 << 17, 1 << 20, 1 << 18), (60, 2000, 25)])
+def test_lm_scores_are_the_models(spark, corpus, monkeypatch, contexts, bucket, top):
+    import math
+
     import numpy as np
+    import pyarrow as pa
 
-    spelt, c = [bytes(r.word) for r in rows], np.array([r.c for r in rows])
-    first = lm.spell(spelt)
-    total = 0.0
-    for i, (s, t) in enumerate(model.samples):
-        seated = model.tables(spelt, c, i, np.random.default_rng(1))
-        given = s.words(*first).sum() + s.prob(*[np.array([x]) for x in (lm.END_CONTEXT, lm.END)])[0]
-        own = (c - model.discount * seated).sum() + model.ends - model.discount
-        total += (own + (model.strength + model.discount * (seated.sum() + 1)) * (given + 1 - given)) / (model.strength + model.tokens)
-    assert abs(total / len(model.samples) - 1) < 1e-9
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", bucket)
+    monkeypatch.setattr(lm, "TOP_PAIRS", top)
+    monkeypatch.setattr(lm, "HOME_DOCS", 50)
+    texts = corpus + ["w1 w2 " * 12_000, "w1 never w2 seen"]
+    clash = docs(spark, texts).withColumn("score", F.lit("x")).withColumn("ref", F.lit(1)).withColumn("home", F.lit(2))
+    got = {r.doc_id: r for r in lm.lm_scores(clash, contexts=contexts).collect()}
+    model = lm.train(docs(spark, texts).where(lm.learnt(F.col("doc_id"))), contexts=contexts)
+    assert len(model.worlds) == lm.SAMPLES and (model.pairs.count() > 1) == (bucket == 2000)
+    p, known, ctxs = brute_model(model)
+    for x in sorted(ctxs)[:: max(1, len(ctxs) // 12)]:  # known words and the kind that was never learnt have all of it
+        assert abs(sum(p(x, w) for w in known) + p(x, -1) - 1) < 1e-9
+    for i, t in enumerate(texts):
+        w = bh.Words(*bh.texts(pa.array([t], pa.string())), lower=True)
+        ids = model.words.ids(w.hashes()).tolist()
+        ctx = [0, *[int(k) if k < lm.RARE else int(e) + model.words.contexts for k, e in zip(ids, w.endings(), strict=True)]]
+        want = Counter(zip(ctx, [*ids, 0], strict=True))
+        assert abs(sum(n * math.log10(p(x, k)) for (x, k), n in want.items()) - got[i].score) < 1e-6 * abs(got[i].score)
+    assert np.isfinite([r.score for r in got.values()]).all()
 
 
-def test_lm_scores_do_not_depend_on_the_bound_of_the_broadcast(spark, corpus, monkeypatch):
+def test_gibbs_sweeps_keep_the_law_of_tables():
+    """Tables of c customers at one dish have the weights S_d(c, t) new^t, S_d: generalised Stirling numbers."""
     import numpy as np
 
-    d = docs(spark, corpus)
-    small = {r.doc_id: r for r in lm.lm_scores(d).collect()}
-    vocab = lm.vocabulary(d)
-    entries = lm.spelled_counts(vocab, None, 3).where("context >= 0").localCheckpoint()
-    found = lm.with_given(vocab, [lm.spelling_table(entries, lm.ORDER, 3)]).collect()
-    want = lm.spelling(entries, lm.ORDER, 3).words(*lm.spell([bytes(r.word) for r in found]))
-    assert len(found) == vocab.count() and np.allclose([r.given0 for r in found], want, rtol=1e-9)
-    monkeypatch.setattr(lm, "MOST_ENTRIES", 5)
-    large = {r.doc_id: r for r in lm.lm_scores(d).collect()}
-    assert all((large[i].n_known, large[i].base_score) == (r.n_known, pytest.approx(r.base_score)) for i, r in small.items())
-    # Only the draws of the seating differ, as the words lie in other batches.
-    assert sum(r.score for r in large.values()) == pytest.approx(sum(r.score for r in small.values()), rel=1e-4)
+    c, d, new, n = 7, 0.4, 0.8, 4000
+    s = np.zeros((c + 1, c + 1))
+    s[0, 0] = 1
+    for i in range(1, c + 1):
+        for t in range(1, i + 1):
+            s[i, t] = s[i - 1, t - 1] + (i - 1 - d * t) * s[i - 1, t]
+    law = s[c] * new ** np.arange(c + 1)
+    law /= law.sum()
+    rng = np.random.default_rng(4)
+    sizes, t = lm.begun(np.full(n, c), np.full(n, new), d)
+    for _ in range(12):
+        sizes, t = lm.reseated(sizes, t, np.full(n, c), np.full(n, new), d, rng, 4)
+    assert sizes.sum() == c * n and len(sizes) == t.sum()
+    assert abs(np.bincount(t, minlength=c + 1) / n - law).max() < 0.03
+    # Customers that came or left between sweeps are seated or taken out.
+    sizes, t = lm.reseated(sizes, t, np.where(np.arange(n) % 2, 3, 11), np.full(n, new), d, rng, 1)
+    assert (np.add.reduceat(sizes, np.cumsum(t) - t) == np.where(np.arange(n) % 2, 3, 11)).all() and sizes.min() == 1
+
+
+def test_lm_knows_word_order(spark):
+    rng = random.Random(6)
+    sentence = [" ".join(f"w{(a + i) % 50}" for i in range(60)) for a in range(300)]
+    shuffled = [" ".join(rng.sample(t.split(), 60)) for t in sentence]
+    texts = [x for pair in zip(sentence, shuffled, strict=True) for x in pair]
+    rows = [r for r in lm.lm_scores(docs(spark, texts[::2] + texts[1::2][:30])).collect() if r.held_out]
+    ordered = [r.score / r.n_tokens for r in rows if r.doc_id < 300]
+    other = [r.score / r.n_tokens for r in rows if r.doc_id >= 300]
+    assert min(ordered) > max(other) + 0.5
 
 
 def test_lm_edges(spark):
     rows = lm.lm_scores(docs(spark, [None, "", "a", "a"], ids=[None, 1, 1, 1])).collect()
-    assert len(rows) == 4 and all(r.score < 0 for r in rows)
+    assert len(rows) == 4 and all(r.score < 0 for r in rows) and sum(r.doc_id is None for r in rows) == 1
+    none = lm.lm_scores(docs(spark, ["a b"], ids=[next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)])).first()
+    assert (none.held_out, none.n_tokens, none.n_known, none.train_tokens) == (True, 3, 0, 0)
     assert lm.lm_scores(docs(spark, [])).count() == 0
 
 
