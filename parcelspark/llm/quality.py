@@ -54,7 +54,21 @@ class Net:
         """Probabilities of the documents whose chunks begin at `first`."""
         counts = np.diff(np.append(first, len(pooled)))[:, None]
         seen = np.concatenate([np.maximum.reduceat(pooled, first), np.add.reduceat(pooled, first) / counts], axis=1)
-        return 1 / (1 + np.exp(-(seen @ self.p["v"] + self.p["c"]).astype(np.float64)))
+        # Summed row by row: a document's score does not depend on the others of its batch.
+        return 1 / (1 + np.exp(-((seen * self.p["v"]).sum(axis=1) + self.p["c"]).astype(np.float64)))
+
+
+def rounded(x: np.ndarray, most: int) -> np.ndarray:
+    """x as multiples, of `most` at most, of a power of two."""
+    step = 2.0 ** np.ceil(np.log2(max(float(np.abs(x).max()), 1e-30) / most))
+    return (np.round(x / step) * step).astype(F4)
+
+
+def exact(net: Net) -> Net:
+    """The network with vectors of 8 bits and filters of 10: sums of WIDTH * EMBED products fit into the 24 bits of single
+    precision, so that they are exact, and a score does not depend on which chunks are multiplied together."""
+    net.p["e"], net.p["w"] = rounded(net.p["e"], 127), rounded(net.p["w"], 511)
+    return net
 
 
 def cut(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,17 +141,17 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5, epochs: int = EPO
                 m += 0.1 * (grad[k] - m)
                 s += 0.01 * (grad[k] ** 2 - s)
                 value -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(F4)
-    return net
+    return exact(net)
 
 
 def fold(id_col: Column, folds: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string")), F.lit(folds))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: tuple[int, int], rows: int) -> tuple[list[bytes], np.ndarray]:
+def training_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: tuple[int, int], rows: int, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
     """At most `rows` whole labelled texts, half of each label, in the order of a hash of their ids.
 
-    A label has half of SAMPLE_BYTES; a text that does not fit into what is left of it is passed over, and those behind
+    A label has half of `most_bytes`; a text that does not fit into what is left of it is passed over, and those behind
     it still count. Of rows that share a doc_id the shortest is taken, then the least text.
     """
     folds, out = held_out
@@ -145,7 +159,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: t
     known = known.groupBy("doc_id").agg(F.max(target).alias("label"))
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     sized = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(size).alias("bytes")).join(known, "doc_id")
-    most = SAMPLE_BYTES // 2
+    most = most_bytes // 2
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     half = [sized.where((F.col("label") == y) & (F.col("bytes") <= most)).orderBy(*order).limit(rows // 2) for y in (0, 1)]
     left, chosen = {0: most, 1: most}, []
@@ -164,15 +178,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: t
 
 def quality_scores(
     docs: DataFrame, labels: DataFrame, target: str = "quality", held_out: tuple[int, int] = (4, 2), cutoff: float = 0.7,
-    sample_rows: int = SAMPLE_ROWS,
+    sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES,
 ) -> DataFrame:
     """`docs` plus held_out, score and predicted (score >= cutoff).
 
     Labels of documents with crc32(doc_id as text) mod held_out[0] equal to held_out[1] are never learned from. Only
-    the text enters a score. Null and empty texts are scored as a chunk of zero bytes. Without both labels in the
+    the text enters a score. The network is fitted on at most `sample_rows` labelled rows and `sample_bytes` bytes. An
+    empty table gives an empty result; rows that share a doc_id are scored each. Null and empty texts are scored as a chunk of zero bytes. Without both labels in the
     sample every score is the share of label 1 in it, 0.5 if it is empty. Columns of these names are replaced.
     """
-    texts, ys = training_sample(docs, labels, target, held_out, sample_rows)
+    texts, ys = training_sample(docs, labels, target, held_out, sample_rows, sample_bytes)
     flat = float(ys.mean()) if len(ys) else 0.5
     net = fit(texts, ys) if len(set(ys.tolist())) == 2 else None
     docs = docs.drop("held_out", "score", "predicted")
