@@ -45,11 +45,11 @@ def lengths(tokenizer, texts: list[str]) -> list[int]:
 def frequent_words(docs: DataFrame, tokenizer) -> dict[str, int]:
     """The broadcast table: at most TABLE_WORDS words of SAMPLE_DOCS documents, with their numbers of tokens.
 
-    It only saves time; its choice cannot change a count.
+    The documents are those of the least hashes of their ids among those of at most 64 KiB. The table only saves time; its choice cannot change a count.
     """
-    sample = docs.select("text").limit(SAMPLE_DOCS)
+    sample = docs.select("text", F.xxhash64("doc_id").alias("h")).where("octet_length(text) <= 65536")
     counts: Counter[str] = Counter()
-    for row in sample.toLocalIterator():
+    for row in sample.orderBy("h").limit(SAMPLE_DOCS).toLocalIterator():
         counts.update((row.text or "").split())
     words = [w for w, _ in counts.most_common(TABLE_WORDS)]
     return dict(zip(words, lengths(tokenizer, words), strict=True))
@@ -65,7 +65,9 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     table = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, load(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, cache = _workers.setdefault(path, (load(path), {}))
+        if path not in _workers:
+            _workers[path] = (load(path), {})
+        tokenizer, cache = _workers[path]
         first = table.value
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
