@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, stage
 
 #: A chunk has at least 128 characters, ends after a word that ends in one of these, and has at most 2,048 characters.
 CHUNK = r"(?s).{128,2047}?[dnstr]\x20|.{1,2048}"
@@ -28,10 +28,9 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
 
 
-def colliding(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Identifiers that stand for more than one chunk content."""
-    parts = docs.select(F.explode(chunks(normalised(F.col(text_col)))).alias("chunk"))
-    distinct = parts.groupBy(F.xxhash64("chunk").alias("id"), "chunk").agg(F.lit(1).alias("one"))
+def colliding(parts: DataFrame) -> DataFrame:
+    """Identifiers that stand for more than one content of the chunks (part)."""
+    distinct = parts.groupBy(F.xxhash64("part").alias("id"), "part").agg(F.lit(1).alias("one"))
     return distinct.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
 
 
@@ -42,15 +41,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     without a doc_id are counted but stay only where no row of their group has one. Rows that repeat the kept doc_id
     with an equal text are all marked kept. Other columns are ignored; an empty table gives an empty result.
     """
-    bad = [r[0] for r in colliding(docs, text_col).limit(MOST_COLLIDING + 1).collect()]
-    text = normalised(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = rows.select(
-        "doc_id",
-        F.transform(chunks(F.col("text")), lambda c: F.xxhash64(c)).alias("recipe"),
-        F.sha2("text", 256).alias("text_sha256"),
-        *([F.col("text")] if bad else []),
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text"))
+    bad = [r[0] for r in colliding(rows.select(F.explode(chunks(F.col("text"))).alias("part"))).limit(MOST_COLLIDING + 1).collect()]
+    recipe = F.transform(chunks(F.col("text")), lambda c: F.xxhash64(c)).alias("recipe")
+    rows = rows.select("doc_id", recipe, F.sha2("text", 256).alias("text_sha256"), *([F.col("text")] if bad else []))
     if not bad:
         rows = rows.withColumn("exact", F.lit(""))
     elif len(bad) > MOST_COLLIDING:
@@ -58,6 +52,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     else:
         unsure = F.arrays_overlap("recipe", F.array(*[F.lit(x) for x in bad]))
         rows = rows.withColumn("exact", F.when(unsure, F.col("text")).otherwise("")).drop("text")
+    rows = stage(rows)  # the texts are read no more
     # A hot recipe is spread over salts: combined per salt, then per recipe, and joined back per salt.
     salts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(salts)).cast("int"))
