@@ -2,7 +2,9 @@
 
 Items and documents are lower-cased (A-Z) and cut into words. The windows of the items make a hash set that is broadcast
 when its counted size is bounded, and joined by shuffle otherwise. A document's windows are scanned segment by segment,
-so a very long text is never expanded at once; a window matches by its characters, so a hit is verified as it is found.
+so a very long text is never expanded at once. Where the set is broadcast, a filter of a byte a slot, made of the first
+words of all its windows, is in the plan: only places that pass it become windows. A window matches by its characters,
+so a hit is verified as it is found.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ WINDOW = 10
 #: Windows of the benchmark that are broadcast at most (about 100 bytes each).
 BROADCAST_WINDOWS = 300_000
 SEGMENT = 2048
+#: First words of a window (all, if it has fewer) that the filter looks at, and slots of the filter for each window.
+LEAD, SLOTS = 3, 16
 
 
 def words(text: Column) -> Column:
@@ -30,6 +34,22 @@ def grams(ws: Column, n: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(ws, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def slot(word_at, lead: int, slots: int) -> Column:
+    """The filter's slot for `lead` words, word_at(0) and on."""
+    return F.pmod(F.xxhash64(*[word_at(k) for k in range(lead)]), F.lit(slots)).cast("int")
+
+
+def lead_filter(windows: DataFrame, slots: int) -> bytes:
+    """A byte for each slot, 1 where a window's first words fall."""
+    ws = F.split("gram", " ")
+    lead = F.least("len", F.lit(LEAD))
+    own = F.coalesce(*[F.when(lead == n, slot(lambda k: ws[k], n, slots)) for n in range(1, LEAD + 1)])
+    out = bytearray(slots)
+    for row in windows.select(own.alias("slot")).distinct().collect():  # at most `slots` of them
+        out[row.slot] = 1
+    return bytes(out)
+
+
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(gram, len, items): each distinct window of the items and the sorted ids, as strings, of those that have it.
 
@@ -50,12 +70,14 @@ def contamination(
     """One row per document: doc_id, mark, n_words, n_hit, items, spans.
 
     spans: the hit word ranges [from, to), merged; items: sorted ids of the items with a window in the document. A null
-    text has no words. Rows with equal doc_id and text get equal results. mark is a hash of the text, which tells apart
-    documents that share a doc_id. An empty benchmark hits nothing.
+    text has no words. Rows with equal doc_id and text get equal results, a row each; a null doc_id is one like any
+    other. mark is a hash of the text, which tells apart documents that share a doc_id. An empty benchmark hits nothing,
+    an empty table gives an empty result. Other columns, whatever their names, are ignored.
     """
     grams_ = stage(benchmark_windows(benchmark, window=window))
     lengths = sorted(r[0] for r in grams_.select("len").distinct().collect())  # at most `window` of them
-    few = len(grams_.limit(BROADCAST_WINDOWS + 1).groupBy().count().where(F.col("count") <= BROADCAST_WINDOWS).head(1)) == 1
+    n_windows = grams_.limit(BROADCAST_WINDOWS + 1).count()
+    few = n_windows <= BROADCAST_WINDOWS
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), words(F.col(text_col)).alias("ws")
     ).withColumn("n_words", F.size("ws"))
@@ -66,12 +88,21 @@ def contamination(
         F.explode(F.transform(starts, lambda s: F.struct(s.alias("at"), F.slice("ws", s + 1, SEGMENT + window - 1).alias("ws")))).alias("seg"),
     )
     found = none = F.array().cast("array<struct<at:int,gram:string>>")
+    ws = F.col("seg.ws")
+    if few:
+        slots = 1 << max(10, (SLOTS * n_windows - 1).bit_length())
+        passes = F.lit(lead_filter(grams_, slots))
+        for lead in sorted({min(n, LEAD) for n in lengths}):
+            last = F.size(ws) - lead
+            hit = F.filter(
+                F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+                lambda i: F.substring(passes, slot(lambda k: F.get(ws, i + k), lead, slots) + 1, F.lit(1)) == F.lit(b"\x01"),  # noqa: B023
+            )
+            rows = rows.withColumn(f"lead{lead}", F.when(last >= 0, hit).otherwise(F.array().cast("array<int>")))
     for n in lengths:
-        last = F.least(F.size("seg.ws") - n, F.lit(SEGMENT - 1))
-        every = F.transform(
-            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda i: F.struct((i + F.col("seg.at")).cast("int").alias("at"), F.array_join(F.slice(F.col("seg.ws"), i + 1, n), " ").alias("gram")),  # noqa: B023
-        )
+        last = F.least(F.size(ws) - n, F.lit(SEGMENT - 1))
+        places = F.filter(f"lead{min(n, LEAD)}", lambda i: i <= last) if few else F.sequence(F.lit(0), F.greatest(last, F.lit(0)))  # noqa: B023
+        every = F.transform(places, lambda i: F.struct((i + F.col("seg.at")).cast("int").alias("at"), F.array_join(F.slice(ws, i + 1, n), " ").alias("gram")))  # noqa: B023
         found = F.concat(found, F.when(last >= 0, every).otherwise(none))
     # One more row per document, without a window, keeps documents that nothing hits.
     self = F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("gram"))
@@ -105,15 +136,17 @@ def contamination(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW) -> DataFrame:
     """`docs` without the contaminated documents, or (remove="spans") with the hit words taken out of the text.
 
-    In a text that loses words, those kept are lower-case and joined by single spaces; all others stay as they are.
+    In a text that loses words, those kept are lower-case and joined by single spaces; all others stay as they are, with
+    all their columns. Null and empty texts stay; rows that repeat go or stay together.
     """
+    own = docs.columns
+    docs = docs.select(F.struct("*").alias("row"), "doc_id", "text")
     hit = stage(contamination(docs, benchmark, window=window).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("spans").alias("__spans")).distinct())
     rows = docs.withColumn("__id", F.col("doc_id")).withColumn("__mark", F.xxhash64("text"))
     if remove == "documents":
-        return keep_ids(rows, hit, ["__id", "__mark"], "left_anti").select(*docs.columns)
+        return keep_ids(rows, hit, ["__id", "__mark"], "left_anti").select("row.*")
     h = hit.withColumnsRenamed({"__id": "__id2", "__mark": "__mark2"})
-    rows = rows.join(h, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__mark") == F.col("__mark2")), "left")
-    ws = words(F.col("text"))
-    left = F.filter(ws, lambda w, i: ~F.exists("__spans", lambda s: (i >= s["from"]) & (i < s["to"])))
+    rows = rows.join(h, F.col("__id").eqNullSafe(F.col("__id2")) & F.col("__mark").eqNullSafe(F.col("__mark2")), "left")
+    left = F.filter(words(F.col("text")), lambda w, i: ~F.exists("__spans", lambda s: (i >= s["from"]) & (i < s["to"])))
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.array_join(left, " "))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return rows.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in own])
