@@ -107,7 +107,7 @@ def mix(
 
     passes: whole times the document is taken; spans: word ranges [from, to) taken once more, in order. taken counts
     all words, repeats too. A null text has no words; a null source is a source, the last one. Rows that share a doc_id
-    are documents of their own. The result depends on the rows and the seed, not on how they lie.
+    are documents of their own. Other columns, whatever their names, are ignored. The result depends on the rows and the seed, not on how they lie.
     """
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     sizes = stage(sizes)
@@ -151,28 +151,36 @@ def mix(
 def mixed_documents(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
     """The mix as documents with the columns of `docs`: each whole pass is a row, and the spans of the last pass one more.
 
-    The text of such a partial row is its words joined by single spaces; a column n_chars follows the text.
+    The text of such a partial row is its words joined by single spaces; a column n_chars follows the text. Null and empty
+    texts, which have no words, are not in the mix; rows that repeat are taken each as mix() says; an empty table gives an
+    empty mix. All columns are carried, whatever their names.
     """
     keys = ["__id", "__source", "__size"]
     plan_ = mix(docs, seed=seed, **options).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "passes", "spans"
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"),
+        F.col("passes").alias("__passes"), F.col("spans").alias("__spans"),
     )
     # Documents that agree in all keys may differ in their spans: they are matched in turn.
     def nth(*more: str):
         return F.row_number().over(W.partitionBy(*keys).orderBy(*more))
 
-    plan_ = plan_.withColumn("__nth", nth("spans", "passes"))
-    rows = docs.withColumn("__id", F.col("doc_id")).withColumn("__source", F.col("source")).withColumn("__size", word_count(F.col("text")))
-    rows = rows.withColumn("__nth", nth("text"))
+    plan_ = plan_.withColumn("__nth", nth("__spans", "__passes"))
+    own = docs.columns
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"), word_count(F.col("text")).alias("__size"))
+    rows = rows.withColumn("__nth", nth("row.text"))
     p = plan_.withColumnsRenamed({k: f"p{k}" for k in [*keys, "__nth"]})
     same = F.col("__nth") == F.col("p__nth")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"p{k}"))
     rows = rows.join(p, same)
-    whole = F.transform(F.when(F.col("passes") > 0, F.sequence(F.lit(1).cast("long"), F.col("passes"))).otherwise(F.array().cast("array<bigint>")), lambda _: F.col("text"))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), " ")
-    texts = F.concat(whole, F.when(F.size("spans") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    out = rows.withColumn("__text", F.explode(texts))
-    swap = {"text": F.col("__text")} | ({"n_chars": F.length("__text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.select(*[swap.get(c, F.col(c)).alias(c) for c in docs.columns])
+    text, none = F.col("row.text"), F.array().cast("array<string>")
+    whole = F.transform(F.when(F.col("__passes") > 0, F.sequence(F.lit(1).cast("long"), F.col("__passes"))).otherwise(F.array().cast("array<bigint>")), lambda _: text)
+    # The outer transform binds the words: a text is split once, however many spans it has.
+    part = F.transform(
+        F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))),
+        lambda ws: F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(ws, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), " "),
+    )
+    texts = F.concat(whole, F.when(F.size("__spans") > 0, part).otherwise(none))
+    out = rows.select("row", F.explode(texts).alias("taken"))
+    swap = {"text": F.col("taken")} | ({"n_chars": F.length("taken").cast(docs.schema["n_chars"].dataType)} if "n_chars" in own else {})
+    return out.select(*[swap.get(c, F.col("row")[c]).alias(c) for c in own])
