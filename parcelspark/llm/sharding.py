@@ -123,29 +123,29 @@ def shard_rows(docs: DataFrame, shards: int, seed: int = 20, by: tuple[str, ...]
 
     The draw depends on the seed, the columns named in `by` and the number of rows, not on how the input lies, so a
     task run again gives the same rows. Rows equal in all of `by` are interchangeable. Slots of a shard are gapless
-    from 0. Nulls are values like any other; columns named shard, slot or beginning with __ are replaced.
+    from 0. Nulls are values like any other and an empty table gives an empty result; columns named shard or slot are
+    replaced, all others are carried, whatever their names.
     """
     n = docs.count()
     partitions = 1
     while partitions < MOST_PARTITIONS and partitions * ROWS_PER_PARTITION < n:
         partitions *= 2
     docs = docs.drop("shard", "slot")
-    h = F.xxhash64(*[F.col(c) for c in by], F.lit(seed))
-    rows = docs.withColumn("__h", h).withColumn("__part", F.pmod(h, F.lit(partitions)).cast("int"))
-    counts = docs.select(F.pmod(h, F.lit(partitions)).cast("int").alias("part")).groupBy("part").agg(F.count("*").alias("n"))
-    deal = matrix(counts, partitions, shards, seed).withColumnRenamed("part", "__part").withColumnRenamed("ends", "__ends")
-    local = W.partitionBy("__part").orderBy(F.xxhash64("__h", F.lit(1)), "__h", *by)
-    rows = rows.withColumn("__rank", F.row_number().over(local) - 1).join(deal, "__part")
-    rows = rows.withColumn("shard", F.size(F.filter("__ends", lambda e: e <= F.col("__rank"))))
+    # The input's columns travel as one, so that none of them can clash with those used here.
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(*[F.col(c) for c in by], F.lit(seed)).alias("h"))
+    rows = rows.withColumn("part", F.pmod("h", F.lit(partitions)).cast("int"))
+    deal = matrix(rows.groupBy("part").agg(F.count("*").alias("n")), partitions, shards, seed)
+    ties = [F.col("row")[c] for c in by]
+    local = W.partitionBy("part").orderBy(F.xxhash64("h", F.lit(1)), "h", *ties)
+    rows = rows.withColumn("rank", F.row_number().over(local) - 1).join(deal, "part")
+    rows = rows.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
     # The second permutation: a shard's rows lie in sub-blocks in the order of a new hash, each ranked on its own.
-    again = F.xxhash64("__h", F.lit(2))
     blocks = max(1, partitions // shards)
-    rows = rows.withColumn("__again", again).withColumn("__block", F.floor(unit(F.col("__h"), F.lit(3)) * blocks).cast("int"))
-    rows = rows.select(*docs.columns, "shard", "__block", "__again", "__h")
-    ranked = rows.withColumn("__at", F.row_number().over(W.partitionBy("shard", "__block").orderBy("__again", "__h", *by)) - 1)
+    rows = rows.select("row", "shard", "h", F.xxhash64("h", F.lit(2)).alias("again"), F.floor(unit(F.col("h"), F.lit(3)) * blocks).cast("int").alias("block"))
+    ranked = rows.withColumn("at", F.row_number().over(W.partitionBy("shard", "block").orderBy("again", "h", *ties)) - 1)
     if blocks == 1:
-        return ranked.select(*docs.columns, "shard", F.col("__at").cast("long").alias("slot"))
-    sizes = rows.groupBy("shard", "__block").agg(F.count("*").alias("__n"))
-    before = W.partitionBy("shard").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("shard", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
-    return ranked.join(starts, ["shard", "__block"]).select(*docs.columns, "shard", (F.col("__from") + F.col("__at")).cast("long").alias("slot"))
+        return ranked.select("row.*", "shard", F.col("at").cast("long").alias("slot"))
+    sizes = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))
+    before = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
+    return ranked.join(starts, ["shard", "block"]).select("row.*", "shard", (F.col("from") + F.col("at")).cast("long").alias("slot"))
