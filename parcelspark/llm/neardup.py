@@ -4,9 +4,11 @@ Each distinct shingle set keeps its k least hashes. Inverted lists of the retain
 generate overlaps: a linked pair shares least_shared() of its k values (a pair at the least Jaccard that is linked shares
 fewer with a chance under MISS; sets of at most k shingles are their own sketch, so there the bound is exact), hence it
 meets in one of the lists of its first values in the order of (list length, value), and only those lists are kept. Pairs
-from short lists pass an estimate on the union's sketch and are then verified on full sets. Long lists, as large groups of copies
-make them, are cut into blocks; each pair of blocks is verified on full sets where it lies, and gives out a spanning
-forest of its links rather than the links. No list is cut short and no pair of a list is left out.
+from short lists pass an estimate on the union's sketch and are then verified on full sets. In long lists, as large groups
+of copies make them, every member is first held against a few leaders of its list. What is connected by then needs no
+further look: a list's members are cut into blocks within their components, and only pairs of blocks with more than one
+component are verified, on full sets where they lie; they give out a spanning forest of their links rather than the
+links. No list is cut short, and no pair of a list is left out unless it is connected already.
 """
 
 from __future__ import annotations
@@ -25,9 +27,12 @@ from .common import components, keep_ids, stage
 WIDTH = 5
 K = 32
 MISS = 1e-8
-#: Members of a list whose pairs are listed as rows; longer lists go by blocks of BLOCK members.
+#: Members of a list whose pairs are listed as rows; longer lists go by leaders, then by blocks.
 SHORT = 64
+LEADERS = 3
+#: Members of a block at most, about, and their shingles.
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
 
 
 def shingle_sets(batch: pa.RecordBatch, w: bh.Words, width: int) -> Iterator[np.ndarray]:
@@ -153,6 +158,39 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("v", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def leader_pairs(long: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every member of a long list with the list's leaders, if their sizes allow a link. long: (v, rep, n, m)."""
+    ranks = [F.min_by(F.struct("rep", "n"), F.xxhash64("rep", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)]
+    leaders = long.groupBy("v").agg(*ranks)
+    leaders = leaders.select("v", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("l"))
+    pairs = long.join(leaders, "v").where("rep <> l.rep")
+    near = (F.col("n") * 100 >= F.col("l.n") * percent) & (F.col("l.n") * 100 >= F.col("n") * percent)
+    return pairs.where(near).select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b")).distinct()
+
+
+def open_blocks(long: DataFrame, known: DataFrame) -> DataFrame:
+    """(v, rep, own, i, j): members of long lists in the pairs of blocks that have more than one component.
+
+    known: (rep, component) of the links found so far; who is not in it is a component of its own. Large components of
+    a list have blocks to themselves, the others share blocks.
+    """
+    size = lambda: F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
+    rows = long.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = rows.groupBy("v", "component").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
+    sizes = sizes.withColumn("own", F.when((F.col("members") * 2 > BLOCK) | (F.col("n") * 2 > BLOCK_SHINGLES), F.col("component")).otherwise(-1))
+    # A list whose members are all one component is done with.
+    several = sizes.groupBy("v").agg(F.count("*").alias("components")).where("components > 1").select("v")
+    rows = stage(rows.join(sizes.select("v", "component", "own").join(several, "v"), ["v", "component"]).select("v", "rep", "n", "own"))
+    cuts = rows.groupBy("v", "own").agg(size().alias("blocks"))
+    rows = rows.join(cuts, ["v", "own"]).select("v", "rep", "own", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("part"))
+    rows = rows.withColumn("block", F.xxhash64("own", "part"))
+    blocks = stage(rows.select("v", "own", "block").distinct())
+    one, two = (blocks.select("v", F.col("own").alias(f"o{x}"), F.col("block").alias(x)) for x in "ij")
+    pairs = one.join(two, "v").where("i <= j and (oi <> oj or oi = -1)").select("v", "i", "j")
+    each = pairs.select("v", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return each.join(rows.select("v", "rep", "block"), ["v", "block"]).select("v", "rep", F.col("block").alias("own"), "i", "j")
+
+
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     """(a, b): links between representatives that connect all that is linked. classes: (rep, ref, n, fp, sketch)."""
     values = classes.select("rep", "n", F.explode("sketch").alias("v"))
@@ -168,23 +206,24 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int)
     b = lists.where(F.col("m") <= SHORT).select("v", F.col("rep").alias("b"), F.col("n").alias("nb"))
     near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     pairs = a.join(b, "v").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    long = stage(lists.where(F.col("m") > SHORT).select("v", "rep", "n", "m"))
     # The estimate on the union's sketch: of its k least values, those that both sets have.
     sk = classes.select("rep", "sketch")
+    pairs = pairs.union(leader_pairs(long, percent)).distinct()
     pairs = pairs.join(sk.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
     least = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(least, F.array_intersect("sa", "sb")))
     pairs = stage(pairs.where(both * k >= F.size(least) * enough).select("a", "b"))
-    long = stage(lists.where(F.col("m") > SHORT).select("v", "rep", "m"))
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(long.select("rep")).distinct()
     wanted = stage(wanted.join(classes.select("rep", "ref", "fp"), "rep"))
     own = full_sets(keep_ids(docs, wanted, ["ref"], "left_semi"), width).dropDuplicates(["fp"])
     own = stage(own.join(wanted, "fp").select("rep", "hashes"))
     two = pairs.join(own.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a").join(own.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    part = long.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("c")
-    part = part.select("v", "rep", "own", other).select("v", "rep", "own", F.least("own", "c").alias("i"), F.greatest("own", "c").alias("j"))
-    return verified(two, percent).union(block_links(part.join(own, "rep"), percent))
+    found = stage(verified(two, percent))
+    if not long.head(1):
+        return found
+    rest = open_blocks(long, components(found, "a", "b").withColumnRenamed("node", "rep"))
+    return found.union(block_links(rest.join(own, "rep"), percent))
 
 
 def with_ref(docs: DataFrame) -> DataFrame:
@@ -232,7 +271,8 @@ def near_duplicates(
     has none and is linked with nothing. Equal sets are linked as one class first. Documents whose sets have at least
     `percent` hundredths of their union in common are linked, and component_id is the least doc_id reachable. Rows
     that share a doc_id are one node, whatever their texts. A row without a doc_id gets its class's component; where
-    no row of the component has an id, null, and is kept. Other columns are ignored.
+    no row of the component has an id, null, and is kept. An empty table gives an empty result. Other columns, whatever
+    their names, are ignored.
     """
     docs = with_ref(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     rows, classes = found_classes(docs, width, k)
@@ -257,7 +297,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 85,
     """One row of each group of near duplicates, with all columns of `docs`: the one with the least doc_id.
 
     Groups are of texts, linked as in near_duplicates(): rows that share a doc_id or have none are in one group only
-    if their texts are. Rows without words stay.
+    if their texts are. Rows without words stay; all columns are carried, whatever their names.
     """
     own = with_ref(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     rows, classes = found_classes(own, width, k)
