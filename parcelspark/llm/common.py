@@ -62,6 +62,11 @@ def _clean() -> None:
             return
 
 
+def by_key(df: DataFrame, groups: int, key: str) -> DataFrame:
+    """`df` dealt by a key of `groups` values to as many tasks, so that a task's share does not grow with the input."""
+    return df.repartition(max(groups, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII texts take the built-in lower(), the others a translation."""
     plain = F.octet_length(text) == F.length(text)

@@ -6,7 +6,10 @@ symbol, named by a hash of the two, so that all executors give the same names wi
 shape depends on few words around it: of a repeated window of `window` words, all but EDGE words at each end are named
 alike wherever it occurs. In those inner words each window has one anchor, the least symbol that starts there. Anchors
 with the words around them are the shared symbols that reveal repeats: they are counted over all documents, and only
-windows whose anchor is shared are hashed and counted themselves, which verifies the repeat.
+windows whose anchor is shared are hashed and counted themselves, which verifies the repeat by 128 bits of its words.
+
+A window of 35 words has room for these rounds only: each further one doubles the symbols and the words at a repeat's
+ends that may be named differently, and a window would no longer be sure to hold an anchor.
 
 Counting sends packed arrays to buckets by hash. Values that a piece of input holds several times are known as
 repeated there and then: one of them is sent, and the places of all of them go to the buckets of their documents, so
@@ -24,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash as bh
+from .common import by_key
 
 WINDOW = 35
 #: Words at each end of a repeat that may be named differently: 2 for runs, 2 and 4 for the rounds of pairs.
 EDGE = 8
 LONGEST = 4
+#: Bytes of text for each bucket, so that a bucket's windows fit into a task whatever the input.
+BUCKET_BYTES = 32 << 20
 NONE = bh.U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -100,32 +106,42 @@ def inside(first: np.ndarray, window: int) -> np.ndarray:
     return np.arange(len(ends)) + window <= ends
 
 
-ASK = "bucket int, keys binary, refs binary, places binary, many binary, known_refs binary, known_places binary"
+ASK = "bucket int, keys binary, checks binary, refs binary, places binary, many binary, known_refs binary, known_places binary"
+
+
+def same(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on of equal (key, check), in the order of neither."""
+    order = np.lexsort((checks, keys))
+    head = np.append(True, (keys[order][1:] != keys[order][:-1]) | (checks[order][1:] != checks[order][:-1])) if len(keys) else np.zeros(0, bool)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(head) - 1
+    return out
 
 
-def pack(keys: np.ndarray, refs: np.ndarray, places: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """Rows of ASK: of each key one occurrence, and the places of keys that occur here several times."""
-    order = np.argsort(keys, kind="stable")
-    keys, refs, places = keys[order], refs[order], places[order].astype(np.int32)
+def pack(keys: np.ndarray, checks: np.ndarray, refs: np.ndarray, places: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """Rows of ASK: of each (key, check) one occurrence, and the places of those that occur here several times."""
     if not len(keys):
         return
-    head = np.append(True, keys[1:] != keys[:-1])
+    name = same(keys, checks)
+    order = np.argsort(name, kind="stable")
+    keys, checks, refs, places, name = keys[order], checks[order], refs[order], places[order].astype(np.int32), name[order]
+    head = np.append(True, name[1:] != name[:-1])
     size = np.diff(np.append(np.flatnonzero(head), len(keys)))
     many = np.repeat(size > 1, size)
     k_refs, k_places = refs[many], places[many]
     k_bucket = (bh.mix(k_refs) % bh.U(buckets)).astype(np.int64)
-    keys, refs, places, many = keys[head], refs[head], places[head], size > 1
+    keys, checks, refs, places, many = keys[head], checks[head], refs[head], places[head], size > 1
     bucket = (bh.mix(keys) % bh.U(buckets)).astype(np.int64)
     a, b = np.argsort(bucket, kind="stable"), np.argsort(k_bucket, kind="stable")
     cut_a = np.searchsorted(bucket[a], np.arange(buckets + 1))
     cut_b = np.searchsorted(k_bucket[b], np.arange(buckets + 1))
     for x in np.flatnonzero((np.diff(cut_a) > 0) | (np.diff(cut_b) > 0)):
         p, q = a[cut_a[x] : cut_a[x + 1]], b[cut_b[x] : cut_b[x + 1]]
-        yield (int(x), keys[p].tobytes(), refs[p].tobytes(), places[p].tobytes(), many[p].tobytes(), k_refs[q].tobytes(), k_places[q].tobytes())
+        yield (int(x), *[y[p].tobytes() for y in (keys, checks, refs, places, many)], k_refs[q].tobytes(), k_places[q].tobytes())
 
 
 def packed(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
     names = [x.split()[0] for x in ASK.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(x, pa.binary()) for x in columns[1:]]], names=names)
 
@@ -142,10 +158,10 @@ def heads(x: np.ndarray) -> np.ndarray:
 def repeated(asked: DataFrame, buckets: int) -> DataFrame:
     """(ref, places): per document the places whose keys occur more than once over all documents."""
     def find(table: pa.Table) -> pa.Table:
-        keys, refs, places = (packed_column(table, n, k) for n, k in (("keys", bh.U), ("refs", bh.U), ("places", np.int32)))
+        keys, checks, refs, places = (packed_column(table, n, k) for n, k in (("keys", bh.U), ("checks", bh.U), ("refs", bh.U), ("places", np.int32)))
         if len(keys):
-            _, name, count = np.unique(keys, return_inverse=True, return_counts=True)
-            hit = (count[name] > 1) & ~packed_column(table, "many", bool)
+            name = same(keys, checks)
+            hit = (np.bincount(name)[name] > 1) & ~packed_column(table, "many", bool)
             refs, places = refs[hit], places[hit]
         refs, places = np.concatenate([refs, packed_column(table, "known_refs", bh.U)]), np.concatenate([places, packed_column(table, "known_places", np.int32)])
         home = (bh.mix(refs) % bh.U(buckets)).astype(np.int32)
@@ -168,8 +184,8 @@ def repeated(asked: DataFrame, buckets: int) -> DataFrame:
             "places": pa.array([places[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
         })
 
-    found = asked.groupBy("bucket").applyInArrow(find, "home int, refs binary, places binary")
-    return found.groupBy("home").applyInArrow(gather, "ref long, places binary")
+    found = by_key(asked, buckets, "bucket").groupBy("bucket").applyInArrow(find, "home int, refs binary, places binary")
+    return by_key(found, buckets, "home").groupBy("home").applyInArrow(gather, "ref long, places binary")
 
 
 def flags(column: pa.Array, first: np.ndarray) -> np.ndarray:
@@ -189,7 +205,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int) ->
     """(documents with their `ref`, (ref, places) of the starts of repeated windows)."""
     if window < 2 * EDGE + 2 * LONGEST:
         raise ValueError(f"a window has at least {2 * EDGE + 2 * LONGEST} words")
-    buckets = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    buckets = max(16, -(-size // BUCKET_BYTES))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("ref"), F.col(text_col).alias("text"))
     around = 2 * EDGE + LONGEST  # words, from EDGE before an anchor on, that all of its windows hold
 
@@ -199,8 +216,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int) ->
             value, low = anchors(h, w.first, window)
             at = anchor_places(value, low, w.first, window)
             own = np.searchsorted(w.first, at, "right") - 1
-            around_hash = bh.windows(h, around)
-            yield packed(list(pack(bh.mix(value[at]) ^ around_hash[at - EDGE], refs_of(batch)[own], at - w.first[own], buckets)))
+            keys = bh.mix(value[at]) ^ bh.windows(h, around)[at - EDGE]
+            yield packed(list(pack(keys, np.zeros_like(keys), refs_of(batch)[own], at - w.first[own], buckets)))
 
     def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, w in bh.rows(batches, "text", lower=False):
@@ -214,7 +231,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int) ->
                 i = i[marked[i + EDGE] == low[i + EDGE]]
             if len(i):
                 own = np.searchsorted(w.first, i, "right") - 1
-                yield packed(list(pack(bh.windows(h, window)[i], refs_of(batch)[own], i - w.first[own], buckets)))
+                # The second number is of the words' hashes mixed anew: a repeat is verified by 128 bits of its words.
+                yield packed(list(pack(bh.windows(h, window)[i], bh.windows(bh.mix(h + bh.U(1)), window)[i], refs_of(batch)[own], i - w.first[own], buckets)))
 
     shared = repeated(rows.select("ref", "text").mapInArrow(ask_anchors, ASK), buckets)
     marked = rows.join(shared.hint("shuffle_hash"), "ref", "left")
@@ -226,7 +244,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A word is removed if it lies in a window of `window` words whose sequence also starts elsewhere, in this document
     or another one. Windows are judged on the input. A null text has no words; rows repeated as they are repeat their
-    windows. Other columns are ignored. Positions travel under a 64-bit hash of doc_id and text.
+    windows, as do equal texts; an empty table gives an empty result. Other columns, whatever their names, are ignored. Positions travel under a 64-bit hash of doc_id and text.
     """
     rows, found = repeated_spans(docs, id_col, text_col, window)
 
