@@ -63,8 +63,8 @@ def _clean() -> None:
 
 
 def by_key(df: DataFrame, groups: int, key: str) -> DataFrame:
-    """`df` dealt by a key of `groups` values to as many tasks, so that a task's share does not grow with the input."""
-    return df.repartition(max(groups, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+    """`df` dealt by an integer key from 0 to `groups` - 1 to a task for each, so that no task's share grows with the input."""
+    return df.repartitionById(groups, F.col(key))
 
 
 def ascii_lower(text: Column) -> Column:
