@@ -65,14 +65,37 @@ def search(rows: DataFrame, text: str, fields: tuple[str, ...] = ("condo_name",
 
 
 def suggestions(rows: DataFrame, text: str, limit: int = 8) -> DataFrame:
-    """Distinct (kind, value) that hold `text`, streets before buildings before districts, then by value."""
-    kinds = {"street": "street", "condo": "condo_name", "khet": "khet"}
+    """Distinct (kind, value) that hold `text`, streets before buildings before districts, then by value; values that
+    differ in case alone are one, the least of them. A blank text suggests nothing."""
+    wanted = text.strip().lower()
+    kinds = {"street": "street", "condo": "condo_name", "district": "khet"}
     stacked = ", ".join(f"{i}, '{k}', {c}" for i, (k, c) in enumerate(kinds.items()))
     long = rows.select(F.expr(f"stack({len(kinds)}, {stacked}) as (place, kind, value)"))
-    hit = long.where(F.contains(F.lower("value"), F.lower(F.lit(text)))).distinct()
+    hit = long.where(F.contains(F.lower("value"), F.lit(wanted)) & F.lit(wanted != ""))
+    hit = hit.groupBy("place", "kind", F.lower("value").alias("low")).agg(F.min("value").alias("value"))
     return hit.orderBy("place", "value").limit(limit).select("kind", "value")
 
 
+def in_scope(deals: DataFrame, khet: str | None = None, price_min: str = "", price_max: str = "", text: str = "") -> DataFrame:
+    """Deals of a district, between prices typed in millions, whose name holds `text`; what is blank or no number is
+    no bound."""
+    out = deals.where(F.col("khet") == khet) if khet else deals
+    for typed, op in ((price_min, "__ge__"), (price_max, "__le__")):
+        if (bound := millions(typed)) is not None:
+            out = out.where(getattr(F.col("price"), op)(bound))
+    wanted = text.strip().lower()
+    return out.where(F.contains(F.lower(F.coalesce("condo_name", F.lit(""))), F.lit(wanted))) if wanted else out
+
+
+def millions(typed: str) -> float | None:
+    """A number typed in millions, a comma for a point; null if it is none or not over zero."""
+    try:
+        value = float(typed.replace(",", ".").strip())
+    except ValueError:
+        return None
+    return value * 1e6 if value > 0 else None
+
+
 def facets(rows: DataFrame) -> DataFrame:
     """(facet, value): the distinct districts and sources."""
     kinds = "stack(2, 'khet', khet, 'source', source) as (facet, value)"
@@ -92,20 +115,43 @@ def sorted_page(rows: DataFrame, column: str, descending: bool, page: int, size:
 
 def rule_pattern(rule: Column) -> Column:
     """A robots.txt path rule as a regular expression: * is anything, a closing $ the end, all else literal."""
-    literal = F.regexp_replace(rule, r"([.+?^()\[\]{}|\\])", r"\\$1")
-    body = F.replace(literal, F.lit("*"), F.lit(".*"))
-    return F.concat(F.lit("^"), body)
+    open_end = F.when(F.endswith(rule, F.lit("$")), F.substr(rule, F.lit(1), F.length(rule) - 1)).otherwise(rule)
+    literal = F.regexp_replace(open_end, r"([.+?^$()\[\]{}|\\])", r"\\$1")
+    return F.concat(F.lit("^"), F.replace(literal, F.lit("*"), F.lit(".*")), F.when(F.endswith(rule, F.lit("$")), "$").otherwise(""))
+
+
+def robots_rules(files: DataFrame, agent: str) -> DataFrame:
+    """(host, rule, allow) that hold for an agent, from whole robots.txt files (host, text).
+
+    Groups of user-agent lines share the rules behind them. The first group that names the agent holds, else that of *.
+    """
+    lines = F.transform(F.split("text", r"\r\n|\r|\n"), lambda x: F.trim(F.split_part(x, F.lit("#"), F.lit(1))))
+    rows = files.select("host", F.posexplode(F.filter(lines, lambda x: F.contains(x, F.lit(":")))).alias("at", "line"))
+    key = F.lower(F.trim(F.split_part("line", F.lit(":"), F.lit(1))))
+    value = F.regexp_replace(F.regexp_extract("line", r"(?s)^[^:]*:(.*)$", 1), r"(?U)^\s+|\s+$", "")
+    rows = rows.select("host", "at", key.alias("key"), value.alias("value")).where("key in ('user-agent', 'allow', 'disallow')")
+    order = W.partitionBy("host").orderBy("at")
+    is_agent = F.col("key") == "user-agent"
+    first = is_agent & F.coalesce(F.lag("key").over(order) != "user-agent", F.lit(True))
+    rows = rows.withColumn("group", F.sum(first.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))).where("group > 0")
+    names = rows.where(is_agent).select("host", "group", "at", F.lower("value").alias("name"))
+    short = agent.split("/")[0].strip().lower()
+    named = (F.col("name") != "*") & (F.col("name") != "") & (F.contains(F.lit(short), F.col("name")) | F.contains(F.col("name"), F.lit(short)))
+    aimed = names.groupBy("host").agg(F.min_by(F.when(named, F.col("name")), F.when(named, F.col("at"))).alias("aim"))
+    held = names.join(aimed, "host").where(F.col("name") == F.coalesce("aim", F.lit("*"))).select("host", "group").distinct()
+    return rows.where(~is_agent).join(held, ["host", "group"]).select("host", F.col("value").alias("rule"), (F.col("key") == "allow").alias("allow"))
 
 
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(path, allowed): the longest matching rule decides, allow before disallow; no rule allows.
+    """(host, path, allowed): the matching rule with the most characters but * and $ decides, allow before disallow; no
+    rule allows, and an empty rule is none.
 
     rules: (host, rule, allow); urls: (host, path). They meet on the host, whose rules are few.
     """
-    hit = urls.join(rules, "host").where(F.expr("path rlike pattern")) if "pattern" in rules.columns else (
-        urls.join(rules.withColumn("pattern", rule_pattern(F.col("rule"))), "host").where(F.expr("path rlike pattern"))
-    )
-    best = hit.groupBy("host", "path").agg(F.max_by("allow", F.struct(F.length("rule"), F.col("allow").cast("int"))).alias("allowed"))
+    own = rules.where("rule <> ''").withColumn("pattern", rule_pattern(F.col("rule")))
+    hit = urls.distinct().join(own, "host").where(F.expr("path rlike pattern"))
+    weight = F.struct(F.length(F.regexp_replace("rule", r"[*$]", "")), F.col("allow").cast("int"))
+    best = hit.groupBy("host", "path").agg(F.max_by("allow", weight).alias("allowed"))
     return urls.distinct().join(best, ["host", "path"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 GRACE, SOLD_DAYS, GUARD = 2, 7, 0.5
+SOLD = "sold"  # the one marker that means a sale
 STATE = "id string, scope string, price double, status string, first_seen timestamp, last_seen timestamp, missed int, first_missed timestamp, delisted_at timestamp, marker string, marker_since timestamp"
 
 
@@ -18,32 +19,36 @@ def apply_scan(state: DataFrame, scan: DataFrame, at: Column, full: bool = True)
     """(state, price events) after a scan of (id, scope, price, marker) at a time.
 
     Seen listings become active and their absences are forgotten; a price is an event when it is new or changed. In a
-    full scan, listings of the scanned scopes that are absent miss it: the second time in a row they are inactive since
-    the first. A scope in which under half of the active listings were seen is left alone. A partial scan only adds.
+    full scan, active listings marked SOLD for a week are sold since the mark, seen or not; then those of the scanned
+    scopes that are absent miss it: the second time in a row they are inactive since the first. A scope in which the scan
+    saw under half as many listings as are active is left alone. A partial scan only adds.
     """
     s = scan.select("id", F.col("scope").alias("n_scope"), F.col("price").alias("n_price"), F.col("marker").alias("n_marker"), F.lit(True).alias("seen"))
     both = state.join(s, "id", "full_outer").withColumn("seen", F.coalesce("seen", F.lit(False)))
     scope = F.coalesce("n_scope", "scope")
     both = both.withColumn("scope", scope)
     counts = both.groupBy("scope").agg(
-        F.count(F.when(F.col("status") == "active", 1)).alias("__active"), F.count(F.when(F.col("seen") & (F.col("status") == "active"), 1)).alias("__hit"), F.count(F.when(F.col("seen"), 1)).alias("__seen")
+        F.count(F.when((F.col("status") == "active") | F.col("seen"), 1)).alias("__active"), F.count(F.when(F.col("seen"), 1)).alias("__seen")
     )
     both = both.join(counts, "scope", "left")
-    trusted = F.lit(full) & (F.col("__seen") > 0) & (F.col("__hit") >= GUARD * F.col("__active"))
-    misses = ~F.col("seen") & trusted & (F.col("status") == "active")
+    # Seen listings are active by now, so they count on both sides.
+    trusted = F.lit(full) & (F.col("__seen") > 0) & (F.col("__seen") >= GUARD * F.col("__active"))
+    marker = F.when(F.col("seen"), F.col("n_marker")).otherwise(F.col("marker"))
+    marker_new = F.col("seen") & ~F.col("n_marker").eqNullSafe(F.col("marker"))
+    marked = F.when(marker_new, F.when(F.col("n_marker").isNotNull(), at)).otherwise(F.col("marker_since"))
+    active = F.col("seen") | (F.col("status") == "active")
+    sold = F.coalesce(trusted & active & (marker == SOLD) & (marked <= at - F.expr(f"interval {SOLD_DAYS} days")), F.lit(False))
+    misses = ~F.col("seen") & trusted & (F.col("status") == "active") & ~sold
     missed = F.when(F.col("seen"), 0).otherwise(F.coalesce("missed", F.lit(0)) + misses.cast("int"))
     out = F.when(missed >= GRACE, True).otherwise(False) & misses
     since = F.when(F.col("seen"), None).when(misses & F.col("first_missed").isNull(), at).otherwise(F.col("first_missed"))
-    marker_new = F.col("seen") & ~F.col("n_marker").eqNullSafe(F.col("marker"))
-    sold = F.col("seen") & F.col("n_marker").isNotNull() & ~marker_new & (F.col("marker_since") <= at - F.expr(f"interval {SOLD_DAYS} days"))
     new_state = both.select(
         "id", "scope", F.coalesce("n_price", "price").alias("price"),
         F.when(sold, "sold").when(F.col("seen"), "active").when(out, "inactive").otherwise(F.col("status")).alias("status"),
         F.coalesce("first_seen", at).alias("first_seen"), F.when(F.col("seen"), at).otherwise(F.col("last_seen")).alias("last_seen"),
         missed.cast("int").alias("missed"), since.alias("first_missed"),
-        F.when(sold, F.col("marker_since")).when(F.col("seen"), None).when(out, since).otherwise(F.col("delisted_at")).alias("delisted_at"),
-        F.when(F.col("seen"), F.col("n_marker")).otherwise(F.col("marker")).alias("marker"),
-        F.when(marker_new, F.when(F.col("n_marker").isNotNull(), at)).otherwise(F.col("marker_since")).alias("marker_since"),
+        F.when(sold, marked).when(F.col("seen"), None).when(out, since).otherwise(F.col("delisted_at")).alias("delisted_at"),
+        marker.alias("marker"), marked.alias("marker_since"),
     )
     events = both.where(F.col("seen") & ~F.col("n_price").eqNullSafe(F.col("price"))).select("id", F.col("n_price").alias("price"), at.alias("seen_at"))
     return new_state, events

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import half_up, median_average, mid_rank, slope
+from ..functions.stats import half_up, mid_rank, slope, with_middle
 from ..functions.text import building_name, cohort_key, cohort_name, repost_key, study_name
 from ..operators import benchmarks, matching, study, tension, yields
 from ..sources import fixture as fx
@@ -17,7 +17,7 @@ N1 = "trim(regexp_replace(regexp_replace(lower(split_part(coalesce(condo_name, '
 N2 = "trim(regexp_replace(regexp_replace(lower(split_part(coalesce(condo_name, ''), ',', 1)), '[^\\p{L}\\p{N} ]', '', 'g'), '\\s+', ' ', 'g'))"
 N3 = (
     "trim(regexp_replace(regexp_replace(regexp_replace(lower(replace(coalesce(condo_name, ''), ',', ' ')),"
-    " '\\b(bangkok|condominium|condo|project|residences|residence)\\b', ' ', 'g'), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    " '\\b(bangkok|condominium|condo|project|residences|residence)\\b', ' ', 'g'), '[^\\p{L}\\p{N}_\\s\\p{Z}]', ' ', 'g'), '[\\s\\p{Z}]+', ' ', 'g'))"
 )
 N4 = "lower(regexp_replace(coalesce(condo_name, ''), '[^a-zA-Z0-9]', '', 'g'))"
 
@@ -46,12 +46,12 @@ def norm_names(spark, sf):
 
 
 BUCKET = "cast(case when area_sqm > 0 then floor(area_sqm / 5 + 0.5) * 5 else 0 end as int)"
-COHORT = f"case when {N3} <> '' then concat_ws('|', {N3}, coalesce(khet, ''), deal_type, coalesce(cast(bedrooms as varchar), '?'), cast({BUCKET} as varchar)) end"
+COHORT = f"case when {N3} <> '' then {N3} || '|' || coalesce(cast(cast(bedrooms as int) as varchar), '-1') || '|' || cast({BUCKET} as varchar) || '|' || coalesce(deal_type, '?') end"
 
 
 def cohorts(rows: DataFrame) -> DataFrame:
     c = F.col
-    return rows.withColumn("unit_key", cohort_key(c("condo_name"), c("khet"), c("deal_type"), c("bedrooms"), c("area_sqm")))
+    return rows.withColumn("unit_key", cohort_key(c("condo_name"), c("deal_type"), c("bedrooms"), c("area_sqm")))
 
 
 @query("cohort_keys", f"with {LISTINGS_SQL} select {COHORT} as unit_key, count(*) as n from listings group by 1")
@@ -59,9 +59,9 @@ def cohort_keys(spark, sf):
     return cohorts(fx.listings(spark, sf)).groupBy("unit_key").agg(F.count("*").alias("n"))
 
 
-def yield_sql(group: str, beds: str) -> str:
-    return f"""with {ACTIVE_SQL}, g as (
-        select *, case when {N1} <> '' then {N1} else '#' || id end as building from act where {group} is not null and {group} <> '' and {beds}),
+def yield_sql(group: str, beds: str, start: str = f"with {ACTIVE_SQL}", rows: str = "act") -> str:
+    return f"""{start}, g as (
+        select *, case when {N1} <> '' then {N1} else '#' || id end as building from {rows} where {group} is not null and {group} <> '' and {beds}),
     p as (select * from g where price_per_sqm > 0),
     s as (select *, count(*) over (partition by {group}, deal_type) as n, row_number() over (partition by {group}, deal_type order by price_per_sqm) - 1 as r from p),
     q as (select {group} as k, deal_type as d, max(case when r = least(n - 1, floor(n * 0.05)) then price_per_sqm end) as lo,
@@ -157,14 +157,17 @@ def street_stats(spark, sf):
     return group_stats(fx.listings(spark, sf), "street")
 
 
-SNAPSHOT_SQL = f"""snaps as (select date_trunc('month', first_seen) as taken_at, khet, deal_type, count(*) as active_count, avg(price_per_sqm) as avg_psqm, median(price_per_sqm) as median_psqm
-    from listings where khet is not null group by 1, 2, 3)"""
+SNAPSHOT_SQL = f"""snaps as (select date_trunc('month', first_seen) as taken_at, khet, deal_type, count(*) filter (status = 'active') as active_count,
+    floor(avg(price_per_sqm) filter (status = 'active') + 0.5) as avg_psqm, median(price_per_sqm) filter (status = 'active') as median_psqm
+    from listings where khet is not null and deal_type is not null group by 1, 2, 3)"""
 
 
 def snapshots(spark, sf) -> DataFrame:
-    rows = fx.listings(spark, sf).where("khet is not null")
+    """Monthly snapshots of districts and deals; a group without active listings is kept with none."""
+    rows = fx.listings(spark, sf).where("khet is not null and deal_type is not null")
+    own = F.when(F.col("status") == "active", F.col("price_per_sqm"))
     return rows.groupBy(F.date_trunc("month", "first_seen").alias("taken_at"), "khet", "deal_type").agg(
-        F.count("*").alias("active_count"), F.avg("price_per_sqm").alias("avg_psqm"), F.percentile("price_per_sqm", F.lit(0.5)).alias("median_psqm")
+        F.count(F.when(F.col("status") == "active", 1)).alias("active_count"), half_up(F.avg(own)).alias("avg_psqm"), F.percentile(own, F.lit(0.5)).alias("median_psqm")
     )
 
 
@@ -173,19 +176,21 @@ def district_snapshot(spark, sf):
     return snapshots(spark, sf).select(F.date_format("taken_at", "yyyy-MM-dd").alias("taken_on"), "khet", "deal_type", "active_count", r4("avg_psqm"), r4("median_psqm"))
 
 
-COHORT_SNAP_SQL = f"""cs as (select date_trunc('quarter', first_seen) as taken_at, {COHORT} as unit_key, max(khet) as khet, max(deal_type) as deal_type, count(*) as active_count,
-    median(price) as median_price, min(price) as min_price, max(price) as max_price from listings group by 1, 2)"""
+COHORT_SNAP_SQL = f"""cs as (select date_trunc('quarter', first_seen) as taken_at, {COHORT} as unit_key, max(condo_name) as condo_name, max(khet) as khet, max(deal_type) as deal_type, max(bedrooms) as bedrooms,
+    cast(floor(avg(area_sqm) / 5 + 0.5) * 5 as int) as area_bucket, count(*) as active_count, median(price) as median_price, min(price) as min_price, max(price) as max_price
+    from listings where status = 'active' and {COHORT} is not null group by 1, 2)"""
 
 
 def cohort_snaps(spark, sf) -> DataFrame:
-    rows = cohorts(fx.listings(spark, sf))
+    rows = cohorts(fx.listings(spark, sf)).where("status = 'active' and unit_key is not null")
     return rows.groupBy(F.date_trunc("quarter", "first_seen").alias("taken_at"), "unit_key").agg(
-        F.max("khet").alias("khet"), F.max("deal_type").alias("deal_type"), F.count("*").alias("active_count"), F.percentile("price", F.lit(0.5)).alias("median_price"),
+        F.max("condo_name").alias("condo_name"), F.max("khet").alias("khet"), F.max("deal_type").alias("deal_type"), F.max("bedrooms").alias("bedrooms"),
+        (half_up(F.avg("area_sqm") / 5) * 5).cast("int").alias("area_bucket"), F.count("*").alias("active_count"), F.percentile("price", F.lit(0.5)).alias("median_price"),
         F.min("price").alias("min_price"), F.max("price").alias("max_price"),
     )
 
 
-@query("cohort_snapshot", f"with {LISTINGS_SQL}, {COHORT_SNAP_SQL} select strftime(taken_at, '%Y-%m-%d') as taken_on, unit_key, khet, deal_type, active_count, median_price, min_price, max_price from cs")
+@query("cohort_snapshot", f"with {LISTINGS_SQL}, {COHORT_SNAP_SQL} select strftime(taken_at, '%Y-%m-%d') as taken_on, unit_key, condo_name, khet, deal_type, bedrooms, area_bucket, active_count, median_price, min_price, max_price from cs")
 def cohort_snapshot(spark, sf):
     return cohort_snaps(spark, sf).withColumn("taken_on", F.date_format("taken_at", "yyyy-MM-dd")).drop("taken_at")
 
@@ -194,7 +199,7 @@ def cohort_snapshot(spark, sf):
     select a.unit_key, a.khet, a.deal_type, strftime(a.taken_at, '%Y-%m-%d') as taken_on, a.active_count as stock_now, b.active_count as stock_before, a.active_count - b.active_count as variation
     from d a join d b on a.unit_key = b.unit_key and b.rn = 2 where a.rn = 1""")
 def cohort_tension(spark, sf):
-    out = matching.stock_change(cohort_snaps(spark, sf).where("unit_key is not null"), "unit_key", "taken_at", "active_count", ["khet", "deal_type"])
+    out = matching.stock_change(cohort_snaps(spark, sf), "unit_key", "taken_at", "active_count", ["khet", "deal_type"])
     return out.withColumn("taken_on", F.date_format("taken_at", "yyyy-MM-dd")).drop("taken_at")
 
 
@@ -306,7 +311,7 @@ def repost_pairs(spark, sf):
     return matching.repost_pairs(fx.listings(spark, sf))
 
 
-@query("repost_verdicts", f"""with {REPOST_SQL} select id_a, id_b, case when both_active and price_gap > 0.25 then 'distinct_units' when sequential and same_agent and price_gap <= 0.1 then 'same_unit' else 'open' end as verdict from pairs""")
+@query("repost_verdicts", f"""with {REPOST_SQL} select id_a, id_b, case when both_active then 'distinct_units' when sequential and price_gap < 0.02 then 'same_unit' else 'open' end as verdict from pairs""")
 def repost_verdicts(spark, sf):
     return matching.repost_verdicts(matching.repost_pairs(fx.listings(spark, sf))).select("id_a", "id_b", "verdict")
 
@@ -379,7 +384,7 @@ def slopes(spark, sf):
     select khet, {s4("(select avg(x) from (select unnest(v[greatest(0, least(len(v) // 2 - 5, len(v) - 10)) + 1 : greatest(0, least(len(v) // 2 - 5, len(v) - 10)) + 10]) as x))")} as avg_middle from l""")
 def median_avg(spark, sf):
     rows = active(spark, sf).where("khet is not null")
-    return rows.groupBy("khet").agg(half_up(median_average(F.col("price_per_sqm"), 10), 4).alias("avg_middle"))
+    return with_middle(rows, ["khet"], F.col("price_per_sqm"), "m", 10).groupBy("khet").agg(half_up(F.avg("m"), 4).alias("avg_middle"))
 
 
 ENRICH_SQL = f"""{ACTIVE_SQL}, b as (select *, {N2} as building from act where price_per_sqm > 0 and {N2} <> ''), sales as (select * from b where deal_type = 'sale'),
@@ -399,11 +404,12 @@ SCORE = """(least(greatest(case when n_sale >= 3 then coalesce(discount_pct, 0)
     * case when coalesce(discount_pct, 0) > 45 or coalesce(yield_pct, 0) > 10 then 0.25 else 1 end"""
 
 
-@query("study_opportunities", f"""with {ENRICH_SQL}, s as (select *, {s4(SCORE)} as score from e where khet is not null and ((n_sale >= 3 and discount_pct > 0) or (n_rent >= 3 and yield_pct >= 5.5))),
+@query("study_opportunities", f"""with {ENRICH_SQL}, s as (select *, {s4(SCORE)} as score from e where khet is not null and khet like 'Brand#%2%' and price between 800000 and 100000000 and ((n_sale >= 3 and discount_pct > 0) or (n_rent >= 3 and yield_pct >= 5.5))),
     o as (select *, row_number() over (partition by khet, building order by score desc, id) as rb from s), t as (select *, row_number() over (partition by khet order by score desc, id) as rank from o where rb = 1)
     select khet, rank, id, building, discount_pct, yield_pct, n_sale, n_rent, score, coalesce(discount_pct, 0) > 40 or coalesce(yield_pct, 0) > 9.5 as flag from t where rank <= 10""")
 def study_opportunities(spark, sf):
-    return study.study_opportunities(study.enriched(active(spark, sf)))
+    rows = study.enriched(active(spark, sf))
+    return study.study_opportunities(rows, rows.where("khet like 'Brand#%2%'").select("khet").distinct())
 
 
 GONE_SQL = f"{ACTIVE_SQL}, gone as (select * from sane where deal_type = 'sale' and status <> 'active' and delisted_at >= {fx.CUT_OFF})"

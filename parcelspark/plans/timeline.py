@@ -9,7 +9,7 @@ from ..operators import lifecycle
 from ..session import ship_package
 from ..sources import fixture as fx
 from ..sources.fixture import LISTINGS_SQL
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, stage
 from ..streaming import lifecycle as streams
 from .registry import query
 
@@ -47,11 +47,55 @@ def scan_counts(spark, sf):
     return sightings(spark, sf)[0].groupBy("scope", "scan").agg(F.count("*").alias("n"))
 
 
-@query("sold_persistence", f"""with {LISTINGS_SQL} select id, status, case when status = 'sold' and {fx.AS_OF} - delisted_at >= interval '7' day then strftime(delisted_at, '%Y-%m-%d') end as sold_on from listings where status = 'sold'""")
+SCANS = ("1999-03-01", "1999-03-11", "1999-03-21")
+# What each scan sees: all but fifths of the parts; in the last one a scope of which under half is seen.
+SEEN = ("true", "k <> 0", "case when scope = 'low' then k = 4 else k not in (0, 1) end")
+MARKER = ("case ln % 3 when 0 then 'sold' when 1 then 'reserved' end", "case when ln = 3 then null else case ln % 3 when 0 then 'sold' when 1 then 'reserved' end end")
+
+
+def scan_state(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(state, price events) after three full scans, with prices that rise by a tenth for some."""
+    rows = fx.listings(spark, sf).groupBy("id").agg(F.min("source").alias("scope"), F.min("price").alias("p"), F.min(F.col("l_partkey") % 5).alias("k"), F.min("l_linenumber").alias("ln"))
+    state, events = spark.createDataFrame([], lifecycle.STATE), None
+    for i, day in enumerate(SCANS):
+        price = F.when((F.col("ln") == 2) & F.lit(i == 1), F.floor(F.col("p") * 1.1)).otherwise(F.col("p"))
+        scan = rows.where(SEEN[i]).select("id", "scope", price.alias("price"), F.expr(MARKER[min(i, 1)]).alias("marker"))
+        state, new = lifecycle.apply_scan(state, scan, F.lit(day).cast("timestamp"))
+        state = stage(state)
+        events = new if events is None else events.union(new)
+    return state, events
+
+
+SCAN_SQL = f"""{LISTINGS_SQL}, u as (select id, min(source) as scope, min(l_partkey % 5) as k, min(l_linenumber) as ln from listings group by 1),
+    w as (select *, ln % 3 = 0 and not (ln = 3 and k <> 0) and not (scope = 'low' and k = 4) as sold, scope = 'low' as guarded from u)"""
+
+
+@query("sold_persistence", f"""with {SCAN_SQL} select id, scope, case when sold then 'sold' when k = 0 and not guarded then 'inactive' else 'active' end as status,
+    case when sold then '1999-03-01' when k = 0 and not guarded then '1999-03-11' end as delisted_on from w""")
 def sold_persistence(spark, sf):
-    held = F.expr(fx.AS_OF) - F.col("delisted_at") >= F.expr("interval 7 days")
-    rows = fx.listings(spark, sf).where("status = 'sold'")
-    return rows.select("id", "status", F.when(held, F.date_format("delisted_at", "yyyy-MM-dd")).alias("sold_on"))
+    """Listings over three scans: sold for a week by the marker, inactive after two misses. In the last scan one scope is
+    guarded, as too few were seen: what it sees is active again, and nothing is sold or missed."""
+    state, _ = scan_state(spark, sf)
+    return state.select("id", "scope", "status", F.date_format("delisted_at", "yyyy-MM-dd").alias("delisted_on"))
+
+
+@query("scan_price_events", f"""with {SCAN_SQL}, p as (select id, min(price) as p from listings group by 1) select id, p as price, '1999-03-01' as seen_on from p
+    union all select id, floor(p * 1.1), '1999-03-11' from w join p using (id) where ln = 2 and k <> 0 and floor(p * 1.1) <> p
+    union all select id, p, '1999-03-21' from w join p using (id) where ln = 2 and (case when guarded then k = 4 else k not in (0, 1) end) and floor(p * 1.1) <> p""")
+def scan_price_events(spark, sf):
+    """Prices that are new or changed, scan by scan."""
+    _, events = scan_state(spark, sf)
+    return events.select("id", "price", F.date_format("seen_at", "yyyy-MM-dd").alias("seen_on"))
+
+
+RUNS = "select event_id, event_type as agent, ts as started_at, case when event_id % 4 = 0 then 'running' when event_id % 4 = 1 then 'failed' else 'ok' end as status from events"
+
+
+@query("interrupted_runs", f"with r as ({RUNS}), z as (select max(started_at) as t from r) select event_id, case when status = 'running' and started_at < t - interval '12' hour then 'interrupted' else status end as status from r, z")
+def interrupted_runs(spark, sf):
+    runs = fx.table(spark, sf, "events").selectExpr("event_id", "event_type as agent", "ts as started_at", "case when event_id % 4 = 0 then 'running' when event_id % 4 = 1 then 'failed' else 'ok' end as status")
+    latest = runs.agg(F.max("started_at").alias("t")).first().t
+    return lifecycle.unfinished(runs, F.lit(latest)).select("event_id", "status")
 
 
 @query("change_log", """with o as (select event_id, user_id, event_type, ts, lag(event_type) over w as before, row_number() over w as n from events window w as (partition by user_id order by ts, event_id))

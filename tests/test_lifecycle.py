@@ -53,9 +53,41 @@ def test_steps_equal_the_closed_form(spark):
     assert {k: (r.status, r.delisted_at) for k, r in state.items()} == {k: (r.status, r.delisted_at) for k, r in closed.items()}
 
 
+def test_sold_before_delisted_seen_or_not(spark):
+    scan = lambda m, *ids: [(x, "s", 1.0, m if x == "a" else None) for x in ids]
+    state, _ = run(spark, [(0, scan("sold", *"abc"), True), (4, scan(None, *"bc"), True), (8, scan(None, *"bc"), True)])
+    assert state["a"].status == "sold" and state["a"].delisted_at == T0
+    state, _ = run(spark, [(0, scan("reserved", *"abc"), True), (9, scan("reserved", *"abc"), True)])
+    assert state["a"].status == "active"  # another marker is no sale
+    state, _ = run(spark, [(0, scan("sold", *"abc"), True), (9, scan("sold", *"abc"), False)])
+    assert state["a"].status == "active"  # a partial scan settles nothing
+
+
+def test_the_guard_counts_all_that_was_seen(spark):
+    known = [(x, "s", 1.0, None) for x in "abcd"]
+    new = [(x, "s", 1.0, None) for x in "wxyz"]
+    state, _ = run(spark, [(0, known, True), (4, new, True), (8, new, True)])
+    assert state["a"].status == "inactive" and state["w"].status == "active"
+
+
 def test_photo_similarity(spark):
-    df = spark.createDataFrame([([100, 200], [102, 300]), ([], [1]), ([5], None)], "a array<int>, b array<int>")
-    assert [r[0] for r in df.select(matching.photo_similarity(F.col("a"), F.col("b"))).collect()] == [0.5, 0.0, 0.0]
+    sets = [([100, 200], [102, 300]), ([], [1]), ([5], None), ([100, 105], [95, 109]), ([95, 109], [105, 100, 50]), ([100, 100, 100, 100], [100, 100])]
+    df = spark.createDataFrame(sets, "a array<int>, b array<int>")
+    # Each takes the first that is left and near enough, in the order given; the share is of the first list.
+    assert [r[0] for r in df.select(matching.photo_similarity(F.col("a"), F.col("b"))).collect()] == [0.5, 0.0, 0.0, 1.0, 1.0, 0.5]
+
+
+def test_photo_verdicts(spark):
+    rows = [([100, 200], 2, [100, 200], 2), ([100, 200], 3, [100, 200], 2), ([100, 200, 300, 400, 500], 5, [100, 200], 5), ([100], 1, [100, 200], 2), ([100, 900], 2, [100, 200], 2), ([1, 2], None, None, 3)]
+    df = spark.createDataFrame(rows, "sizes_a array<int>, count_a int, sizes_b array<int>, count_b int")
+    got = [(r.reason, r.same_unit) for r in matching.photo_verdict(df).collect()]
+    assert got == [("share_of_photos", True), ("same_photos_other_count", True), ("share_of_photos", False), ("too_few_photos", False), ("too_few_common", False), ("too_few_photos", False)]
+
+
+def test_stale_runs(spark):
+    df = spark.createDataFrame([(1, "running", T0), (2, "running", T0 + timedelta(hours=13)), (3, "ok", T0)], "i int, status string, started_at timestamp")
+    got = {r.i: r.status for r in life.unfinished(df, F.lit(T0 + timedelta(hours=14))).collect()}
+    assert got == {1: "interrupted", 2: "running", 3: "ok"}
 
 
 def test_polygon_with_a_hole(spark):
