@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The earth's radius; metres per degree and the latitude at which longitudes are flattened; for areas,
+# kilometres per degree of latitude and longitude at 13.7 degrees north.
 EARTH_M = 6_371_000.0
-#: Metres per degree of latitude, and the latitude at which longitudes are flattened.
 DEGREE_M, FLAT_AT = 111_320.0, 13.75
+LAT_KM, LNG_KM = 110.57, 111.32 * math.cos(math.radians(13.7))
 
 
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -19,8 +23,6 @@ def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
 
 def flat(lat: Column, lng: Column) -> tuple[Column, Column]:
     """Metres east and north on a plane about the city."""
-    import math
-
     return lng * (DEGREE_M * math.cos(math.radians(FLAT_AT))), lat * DEGREE_M
 
 
@@ -52,11 +54,15 @@ def inside_polygon(lat: Column, lng: Column, rings: Column) -> Column:
     return inside_ring(lat, lng, rings[0]) & ~F.exists(holes, lambda h: inside_ring(lat, lng, h))
 
 
-def ring_area_km2(ring: Column) -> Column:
-    """Shoelace area of a ring of [lng, lat] pairs on the plane."""
-    import math
-
+def ring_area_km2(ring: Column, lng_km: float = LNG_KM, lat_km: float = LAT_KM) -> Column:
+    """Shoelace area of a ring of [lng, lat] pairs, closed or not."""
     shifted = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(1))), F.slice(ring, 1, 1))
     parts = F.zip_with(ring, shifted, lambda p, q: p[0] * q[1] - q[0] * p[1])
-    scale = DEGREE_M * DEGREE_M * math.cos(math.radians(FLAT_AT)) / 1e6
-    return F.abs(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)) / 2 * scale
+    return F.abs(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)) / 2 * lat_km * lng_km
+
+
+def vertex_mean(ring: Column) -> Column:
+    """struct<lng, lat>: the mean of a ring's vertices; null without any."""
+    n = F.when(F.size(ring) > 0, F.size(ring))
+    mean = lambda i: F.aggregate(ring, F.lit(0.0), lambda a, p: a + p[i]) / n
+    return F.struct(mean(0).alias("lng"), mean(1).alias("lat"))

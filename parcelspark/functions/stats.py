@@ -28,18 +28,20 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return a / F.when(b != 0, b)
 
 
-def window_mean(values: Column, n: int) -> Column:
-    """The mean of the n values of a sorted array that lie about its middle; fewer if it is shorter, null if empty."""
-    size = F.size(values)
-    start = F.greatest(F.lit(0), F.least(F.floor(size / 2).cast("int") - n // 2, size - n))
-    part = F.slice(values, start + 1, F.lit(n))
-    total = F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
-    return F.when(size > 0, total / F.size(part))
+def middle_start(count: Column, n: int) -> Column:
+    """Where the n values about the middle of `count` sorted ones begin."""
+    return F.greatest(F.lit(0), F.least(F.floor(count / 2).cast("int") - n // 2, count - n))
 
 
-def median_average(x: Column, n: int = 3) -> Column:
-    """window_mean() of a group's values over zero. The group's values are held in one array."""
-    return window_mean(F.array_sort(F.collect_list(positive(x))), n)
+def with_middle(df: DataFrame, group: list[str], value: Column, out: str, n: int = 3) -> DataFrame:
+    """Add `out`: the value where it is one of the n about the middle of its group's values over zero, else null. Its
+    mean over the group is the mean of the n middle values; ranks come from a window, no group is collected."""
+    w = W.partitionBy(*group)
+    v = positive(value)
+    ranked = df.withColumn(out, v).withColumn("__n", F.count(v).over(w)).withColumn("__r", F.row_number().over(w.orderBy(v.asc_nulls_last())) - 1)
+    start = middle_start(F.col("__n"), n)
+    inner = (F.col("__r") >= start) & (F.col("__r") < start + n) & (F.col("__r") < F.col("__n"))
+    return ranked.withColumn(out, F.when(inner, F.col(out))).drop("__n", "__r")
 
 
 def winsorised(df: DataFrame, group: list[str], value: str, out: str, low: float = 0.05, high: float = 0.95, least_n: int = 20) -> DataFrame:
@@ -115,29 +117,28 @@ def leave_one_out(df: DataFrame, group: list[str], value: str, key: str, quantil
     return out.drop(*drop)
 
 
-def leave_one_out_window(df: DataFrame, group: list[str], value: str, key: str, out: str, n: int, least: int) -> DataFrame:
-    """Add `out`: window_mean() of the n middle values among the group's others, and `peers`; null under `least` peers.
+def leave_one_out_window(df: DataFrame, group: str, value: str, key: str, out: str, n: int, least: int) -> DataFrame:
+    """Add `out`: the mean of the n middle values among the group's others, and `out`_n, how many those are; null under
+    `least` of them. Rows whose value is null see the whole group; a null group is a group of its own row.
 
-    The n + 1 values about the middle are summed once per group; what is left out of them is the row's own value, or
-    the last or first of them if the row lies elsewhere. Rows whose value is null get the whole group's window.
+    All comes from windows on the one partitioning by the group. The n + 1 values about the middle are summed; what is
+    left out of them is the row's own value, or the last or first of them if the row lies elsewhere.
     """
-    ranked = df.withColumn("__r", F.when(F.col(value).isNotNull(), F.row_number().over(W.partitionBy(*group).orderBy(F.col(value).asc_nulls_last(), key)) - 1))
-    counted = ranked.join(ranked.groupBy(*group).agg(F.count(value).alias("__n")), group)
-
-    def start(m: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(F.floor(m / 2).cast("int") - n // 2, m - n))
-
+    own = F.coalesce(F.col(group), F.concat(F.lit("\u0000"), F.col(key).cast("string")))  # spreads rows without a group
+    rows = df.withColumn("__g", own)
+    w = W.partitionBy("__g")
+    rows = rows.withColumn("__r", F.when(F.col(value).isNotNull(), F.row_number().over(w.orderBy(F.col(value).asc_nulls_last(), key)) - 1)).withColumn("__n", F.count(value).over(w))
     r, whole, less = F.col("__r"), F.col("__n"), F.col("__n") - 1
-    a, b = start(less), start(less) + F.least(F.lit(n), less)
+    a, b = middle_start(less, n), middle_start(less, n) + F.least(F.lit(n), less)
     pick = lambda cond: F.when(cond, F.col(value))
-    points = counted.groupBy(*group).agg(
-        F.sum(pick((r >= a) & (r <= b))).alias("__sum"), F.max(pick(r == a)).alias("__first"), F.max(pick(r == b)).alias("__last"),
-        F.sum(pick((r >= start(whole)) & (r < start(whole) + n))).alias("__whole"),
-    )
-    rows = counted.join(points, group)
+    rows = rows.withColumns({
+        "__sum": F.sum(pick((r >= a) & (r <= b))).over(w), "__first": F.max(pick(r == a)).over(w), "__last": F.max(pick(r == b)).over(w),
+        "__whole": F.sum(pick((r >= middle_start(whole, n)) & (r < middle_start(whole, n) + n))).over(w),
+    })
     without = F.when(r < a, F.col("__first")).when(r >= b, F.col("__last")).otherwise(F.col(value))
-    own = (F.col("__sum") - without) / F.when(less > 0, F.least(F.lit(n), less))
+    mean = (F.col("__sum") - without) / F.when(less > 0, F.least(F.lit(n), less))
     other = F.col("__whole") / F.when(whole > 0, F.least(F.lit(n), whole))
-    rows = rows.withColumn("peers", whole - F.when(r.isNotNull(), 1).otherwise(0))
-    rows = rows.withColumn(out, F.when(F.col("peers") >= least, F.when(r.isNotNull(), own).otherwise(other)))
-    return rows.drop("__r", "__n", "__sum", "__first", "__last", "__whole")
+    peers = whole - F.when(r.isNotNull(), 1).otherwise(0)
+    there = F.col(group).isNotNull() & (peers >= least)
+    rows = rows.withColumn(out, F.when(there, F.when(r.isNotNull(), mean).otherwise(other))).withColumn(f"{out}_n", F.when(there, peers))
+    return rows.drop("__g", "__r", "__n", "__sum", "__first", "__last", "__whole")

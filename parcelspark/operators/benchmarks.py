@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import half_up, leave_one_out, leave_one_out_window
 from ..functions.text import building_name
 
+# Peers that a scope wants, and the quantiles taken.
 MIN_PEERS = 5
 QUARTILES = {"median_ppsqm": 0.5, "p25_ppsqm": 0.25, "p75_ppsqm": 0.75}
 
@@ -24,11 +27,15 @@ def listing_benchmarks(listings: DataFrame) -> DataFrame:
         F.col("id").alias("pid"), F.col("condo_name").alias("pc"), F.col("deal_type").alias("pd"), F.coalesce("bedrooms", F.lit(-1)).alias("pb"),
         F.col("area_sqm").alias("pa"), F.col("price_per_sqm").alias("pp"),
     )
+    # Areas fall into bands of a fifth: what lies within 20 % is in the row's own band, the one above or two below.
+    band = lambda c: F.floor(F.log(F.col(c)) / math.log(1.2))
+    peers = peers.where("pa > 0").withColumn("pband", band("pa"))
     near = (
         (F.col("condo_name") == F.col("pc")) & (F.col("deal_type") == F.col("pd")) & (F.coalesce("bedrooms", F.lit(-1)) == F.col("pb"))
-        & (F.col("id") != F.col("pid")) & (F.col("pa") >= F.col("area_sqm") * 0.8) & (F.col("pa") <= F.col("area_sqm") * 1.2)
+        & (F.col("band") == F.col("pband")) & (F.col("id") != F.col("pid")) & (F.col("pa") >= F.col("area_sqm") * 0.8) & (F.col("pa") <= F.col("area_sqm") * 1.2)
     )
-    own = rows.where("area_sqm > 0").select("id", "condo_name", "deal_type", "bedrooms", "area_sqm").join(peers, near)
+    bands = F.explode(F.sequence(band("area_sqm") - 2, band("area_sqm") + 1)).alias("band")
+    own = rows.where("area_sqm > 0").select("id", "condo_name", "deal_type", "bedrooms", "area_sqm", bands).join(peers, near)
     first = own.groupBy("id").agg(F.count("*").alias("n1"), *[F.percentile("pp", F.lit(q)).alias(f"{k}1") for k, q in QUARTILES.items()]).where(F.col("n1") >= MIN_PEERS)
 
     def scope(key: str, i: int) -> DataFrame:
@@ -70,13 +77,11 @@ def sale_deals(listings: DataFrame, first_prices: DataFrame) -> DataFrame:
         "sk": F.when(F.col("street") != "", F.concat_ws("|", F.col("street"), bed_bucket(F.col("bedrooms")))),
     })
     sale_value, rent_value = (F.when(F.col("deal_type") == d, F.col("price_per_sqm")) for d in ("sale", "rent"))
-    rows = rows.withColumns({"sv": sale_value, "rv": rent_value})
-    out = rows.where("deal_type = 'sale'").select("id", "khet", "condo_name", "street", "bedrooms", "price", "price_per_sqm", "area_sqm")
-    for key in ("ck", "sk"):
+    out = rows.withColumns({"sv": sale_value, "rv": rent_value}).select("id", "khet", "condo_name", "street", "bedrooms", "price", "price_per_sqm", "area_sqm", "deal_type", "ck", "sk", "sv", "rv")
+    for key in ("ck", "sk"):  # both values of a key come from one shuffle
         for value in ("sv", "rv"):
-            part = leave_one_out_window(rows.where(F.col(key).isNotNull()).select("id", key, "deal_type", value), [key], value, "id", "ref", 10, 3)
-            part = part.where("deal_type = 'sale' and ref is not null").select("id", F.col("ref").alias(f"{key}_{value}"), F.col("peers").alias(f"{key}_{value}_n"))
-            out = out.join(part, "id", "left")
+            out = leave_one_out_window(out, key, value, "id", f"{key}_{value}", 10, 3)
+    out = out.where("deal_type = 'sale'")
     pct = lambda ref: half_up((ref - F.col("price_per_sqm")) / ref * 1000) / 10
     basis = lambda v: F.when(F.col(f"ck_{v}").isNotNull(), "condo").when(F.col(f"sk_{v}").isNotNull(), "street")
     n = F.coalesce("ck_sv_n", "sk_sv_n")

@@ -2,63 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_M, haversine, inside_polygon, segment_distance
+from ..functions.geo import DEGREE_M, EARTH_M, FLAT_AT, haversine, inside_polygon, segment_distance
 from ..functions.text import district_key
+from ..sources.scratch import stage
 
-#: Cell sizes in degrees, tried in turn, and that of the blocks of places in the search for what is left.
+#: Cell sizes in degrees, tried in turn; and those of the blocks of places in the search for what is left, each ten times
+#: the next, so that the cells of one lie in those of another.
 CELLS = (0.04, 0.4)
-FAR = 0.4
+BLOCKS = (40.0, 4.0, 0.4)
 
 
-def nearest(points: DataFrame, pois: DataFrame, k: int, cells: tuple[float, ...] = CELLS) -> DataFrame:
-    """(lat, lng, rank, poi, metres): the k nearest of `pois` (poi, poi_lat, poi_lng) to each distinct point.
+def nearest(points: DataFrame, pois: DataFrame, k: int | Column, by: tuple[str, ...] = (), cells: tuple[float, ...] = CELLS) -> DataFrame:
+    """(lat, lng, *by, rank, poi, metres): the k nearest of `pois` (poi, poi_lat, poi_lng, *by) to each distinct point.
 
-    Points meet what lies in their own and the eight cells about it, on equal keys. A point whose k-th candidate may
-    not be among the nearest, being further than a cell, is tried again with larger cells, and in the end against all
-    places by far(). Ties go to the lower name.
+    Points have the columns of `by` too, and k may depend on them. They meet what lies in their own and the eight cells
+    about it, on equal keys. A point whose k-th candidate may not be among the nearest, being further than a cell, is
+    tried again with larger cells, and in the end at any distance by far(). Ties go to the lower name.
     """
-    left = points.select("lat", "lng").where("lat is not null and lng is not null").distinct()
-    out = None
+    k = F.lit(k) if isinstance(k, int) else k
+    at = ["lat", "lng", *by]
+    w = W.partitionBy(*at).orderBy("metres", "poi")
+    metres = haversine(F.col("lat"), F.col("lng"), F.col("poi_lat"), F.col("poi_lng"))
+    pois = stage(pois.where("poi_lat is not null and poi_lng is not null").select("poi", "poi_lat", "poi_lng", *by))
+    left, out = stage(points.select(*at).where("lat is not null and lng is not null").distinct()), None
     for size in cells:
         cx, cy = F.floor(F.col("lat") / size), F.floor(F.col("lng") / size)
         steps = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-        near = left.withColumn("s", F.explode(steps)).select("lat", "lng", (cx + F.col("s.x")).alias("cx"), (cy + F.col("s.y")).alias("cy"))
-        own = pois.select("poi", "poi_lat", "poi_lng", F.floor(F.col("poi_lat") / size).alias("cx"), F.floor(F.col("poi_lng") / size).alias("cy"))
-        found = near.join(own, ["cx", "cy"]).withColumn("metres", haversine(F.col("lat"), F.col("lng"), F.col("poi_lat"), F.col("poi_lng")))
-        ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("lat", "lng").orderBy("metres", "poi"))).where(F.col("rank") <= k)
-        ranked = ranked.select("lat", "lng", "rank", "poi", "metres")
+        near = left.withColumn("s", F.explode(steps)).select(*at, (cx + F.col("s.x")).alias("cx"), (cy + F.col("s.y")).alias("cy"))
+        own = pois.withColumns({"cx": F.floor(F.col("poi_lat") / size), "cy": F.floor(F.col("poi_lng") / size)})
+        found = near.join(own, ["cx", "cy", *by]).withColumn("metres", metres)
         # What lies outside is a cell's size further north or south at least, or beyond the meridians a cell's size away.
         reach = EARTH_M * (1 - 1e-9) * F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.lit(size))))
         inner = (F.abs("lat") <= 90) & (F.abs("lng") <= 180 - size)
-        sure = ranked.where((F.col("rank") == k) & inner & (F.col("metres") < reach)).select("lat", "lng")
-        ranked, left = ranked.join(sure, ["lat", "lng"], "left_semi"), left.join(sure, ["lat", "lng"], "left_anti")
+        ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        sure = F.max((F.col("rank") == k) & inner & (F.col("metres") < reach)).over(W.partitionBy(*at))
+        ranked = stage(ranked.withColumn("sure", sure).where("sure").select(*at, "rank", "poi", "metres"))
+        left = stage(left.join(ranked.select(*at).distinct(), at, "left_anti"))
         out = ranked if out is None else out.union(ranked)
-    last = far(left, pois, k)
+        if not left.head(1):
+            return out
+    last = far(left, pois, k, by)
     return last if out is None else out.union(last)
 
 
-def far(points: DataFrame, pois: DataFrame, k: int) -> DataFrame:
-    """nearest() at any distance: points meet blocks of places, and then the places of those that may hold a nearest.
+def far(points: DataFrame, pois: DataFrame, k: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """nearest() at any distance: points meet blocks of places, from the largest on, and then the places of those that may
+    hold a nearest.
 
-    A block's places lie within its radius of its middle, so by the triangle inequality the k-th nearest is no further
-    than the least bound under which blocks hold k places.
+    A block's places lie within its radius of their mean, so by the triangle inequality the k-th nearest is no further
+    than the least bound under which blocks hold k places. Blocks further away go, the others are met block by block on
+    equal keys. There are at most 50 of the largest ones, as the earth has no more.
     """
-    own = pois.where("poi_lat is not null and poi_lng is not null").select("poi", "poi_lat", "poi_lng", F.floor(F.col("poi_lat") / FAR).alias("cx"), F.floor(F.col("poi_lng") / FAR).alias("cy"))
-    middle = ((F.col("cx") + 0.5) * FAR, (F.col("cy") + 0.5) * FAR)
-    away = haversine(*middle, F.col("poi_lat"), F.col("poi_lng"))
-    blocks = own.withColumn("away", away).groupBy("cx", "cy").agg(F.max("away").alias("radius"), F.count("*").alias("n"))
-    met = points.crossJoin(blocks).withColumn("to", haversine(F.col("lat"), F.col("lng"), *middle))
-    w = W.partitionBy("lat", "lng")
-    held = F.sum("n").over(w.orderBy(F.col("to") + F.col("radius"), "cx", "cy").rowsBetween(W.unboundedPreceding, 0))
-    met = met.withColumn("held", held).withColumn("bound", F.min(F.when(F.col("held") >= k, F.col("to") + F.col("radius"))).over(w))
-    met = met.where(F.col("bound").isNull() | (F.col("to") - F.col("radius") <= F.col("bound") + 1)).select("lat", "lng", "cx", "cy")
-    found = met.join(own, ["cx", "cy"]).withColumn("metres", haversine(F.col("lat"), F.col("lng"), F.col("poi_lat"), F.col("poi_lng")))
-    ranked = found.withColumn("rank", F.row_number().over(w.orderBy("metres", "poi"))).where(F.col("rank") <= k)
-    return ranked.select("lat", "lng", "rank", "poi", "metres")
+    at = ["lat", "lng", *by]
+
+    def blocks(size: float) -> DataFrame:
+        own = pois.withColumns({"cx": F.floor(F.col("poi_lat") / size), "cy": F.floor(F.col("poi_lng") / size)})
+        mean = own.groupBy("cx", "cy", *by).agg(F.avg("poi_lat").alias("mx"), F.avg("poi_lng").alias("my"))
+        away = own.join(mean, ["cx", "cy", *by]).withColumn("away", haversine(F.col("mx"), F.col("my"), F.col("poi_lat"), F.col("poi_lng")))
+        return away.groupBy("cx", "cy", "mx", "my", *by).agg(F.max("away").alias("radius"), F.count("*").alias("n"))
+
+    def kept(met: DataFrame) -> DataFrame:
+        w = W.partitionBy(*at)
+        met = met.withColumn("to", haversine(F.col("lat"), F.col("lng"), F.col("mx"), F.col("my")))
+        held = F.sum("n").over(w.orderBy(F.col("to") + F.col("radius"), "cx", "cy").rowsBetween(W.unboundedPreceding, 0))
+        met = met.withColumn("held", held).withColumn("bound", F.min(F.when(F.col("held") >= k, F.col("to") + F.col("radius"))).over(w))
+        return met.where(F.col("bound").isNull() | (F.col("to") - F.col("radius") <= F.col("bound") + 1)).select(*at, "cx", "cy")
+
+    cells = [F.struct(F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y")) for x in range(-3, 3) for y in range(-5, 5)]
+    met = points.select(*at, F.explode(F.array(*cells)).alias("c")).select(*at, F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
+    for i, size in enumerate(BLOCKS):
+        own = blocks(size)
+        if i:
+            own = own.withColumns({"px": F.floor(F.col("cx") / 10), "py": F.floor(F.col("cy") / 10)})
+            met = met.withColumnsRenamed({"cx": "px", "cy": "py"}).join(own, ["px", "py", *by])
+        else:
+            met = met.join(own, ["cx", "cy", *by])
+        met = kept(met)
+    size = BLOCKS[-1]
+    own = pois.withColumns({"cx": F.floor(F.col("poi_lat") / size), "cy": F.floor(F.col("poi_lng") / size)})
+    found = met.join(own, ["cx", "cy", *by]).withColumn("metres", haversine(F.col("lat"), F.col("lng"), F.col("poi_lat"), F.col("poi_lng")))
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy(*at).orderBy("metres", "poi"))).where(F.col("rank") <= k)
+    return ranked.select(*at, "rank", "poi", "metres")
 
 
 def nearest_distance(points: DataFrame, pois: DataFrame, name: str) -> DataFrame:
@@ -66,28 +96,42 @@ def nearest_distance(points: DataFrame, pois: DataFrame, name: str) -> DataFrame
     return nearest(points, pois, 1).select("lat", "lng", F.col("metres").alias(f"{name}_m"), F.col("poi").alias(name))
 
 
-def school_transit_screen(rows: DataFrame, schools: DataFrame, metros: DataFrame, lines: DataFrame, school_m: float = 5000, metro_m: float = 500, line_m: float = 500) -> DataFrame:
-    """Rows with a school within 5 km and a metro station within 500 m, or else a future line within 500 m.
+def nearest_lines(points: DataFrame, lines: DataFrame, line_m: float, first_m: float | None = None) -> DataFrame:
+    """(lat, lng, line_m, line): the nearest segment within `line_m` of each point.
 
-    lines: (line, lat1, lng1, lat2, lng2) segments. They are met by cells of half a kilometre and more along their
-    bounding boxes, so a line is compared only with the places about it.
+    lines: (line, lat1, lng1, lat2, lng2), and (first_lat, first_lng) of the line's beginning if `first_m` leaves out
+    lines that begin further away. Segments are listed under the cells of their bounding box and line_m about it.
     """
-    out = rows.join(nearest_distance(rows, schools, "school"), ["lat", "lng"]).where(F.col("school_m") <= school_m)
-    out = out.join(nearest_distance(rows, metros, "metro"), ["lat", "lng"], "left")
-    size = 0.01
-    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / size) - 1, F.floor(F.greatest(a, b) / size) + 1)
-    cells = lines.withColumn("cx", F.explode(span(F.col("lat1"), F.col("lat2")))).withColumn("cy", F.explode(span(F.col("lng1"), F.col("lng2"))))
-    places = rows.select("lat", "lng").distinct().withColumn("cx", F.floor(F.col("lat") / size)).withColumn("cy", F.floor(F.col("lng") / size))
+    # Half a percent more than line_m covers the flattening of the plane on which distances are taken.
+    up = line_m * 1.005 / DEGREE_M
+    aside = up / math.cos(math.radians(FLAT_AT))
+    size = max(0.01, 2 * aside)
+    span = lambda a, b, by: F.sequence(F.floor((F.least(a, b) - by) / size), F.floor((F.greatest(a, b) + by) / size))
+    cells = lines.withColumn("cx", F.explode(span(F.col("lat1"), F.col("lat2"), up))).withColumn("cy", F.explode(span(F.col("lng1"), F.col("lng2"), aside)))
+    places = points.select("lat", "lng").distinct().withColumn("cx", F.floor(F.col("lat") / size)).withColumn("cy", F.floor(F.col("lng") / size))
     d = segment_distance(F.col("lat"), F.col("lng"), F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))
     near = places.join(cells, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= line_m)
-    near = near.groupBy("lat", "lng").agg(F.min("d").alias("line_m"), F.min_by("line", F.struct("d", "line")).alias("line"))
-    out = out.join(near, ["lat", "lng"], "left")
-    close = F.col("metro_m") <= metro_m
-    hide = lambda c: F.when(close, F.col(c))
-    return out.where(F.coalesce(close, F.lit(False)) | F.col("line_m").isNotNull()).withColumns({
-        "line_m": F.when(~F.coalesce(close, F.lit(False)), F.col("line_m")), "line": F.when(~F.coalesce(close, F.lit(False)), F.col("line")),
-        "metro_m": hide("metro_m"), "metro": hide("metro"),
-    })
+    if first_m is not None:
+        near = near.where(haversine(F.col("lat"), F.col("lng"), F.col("first_lat"), F.col("first_lng")) <= first_m)
+    return near.groupBy("lat", "lng").agg(F.min("d").alias("line_m"), F.min_by("line", F.struct("d", "line")).alias("line"))
+
+
+def school_transit_screen(
+    rows: DataFrame, schools: DataFrame, metros: DataFrame, lines: DataFrame, school_m: float = 5000, metro_m: float = 500, line_m: float = 500,
+    first_m: float | None = 25_000, by_car: DataFrame | None = None,
+) -> DataFrame:
+    """Rows with a school within 5 km and a metro station within 500 m, or else a future line within 500 m that begins
+    within 25 km. by_car: (khet), districts that are left out."""
+    rows = rows.where("lat is not null and lng is not null")
+    rows = stage(rows.join(by_car, "khet", "left_anti") if by_car is not None else rows)
+    points = rows.select("lat", "lng").distinct()
+    near = nearest_distance(points, schools, "school").where(F.col("school_m") <= school_m)
+    near = near.join(nearest_distance(points, metros, "metro"), ["lat", "lng"], "left")
+    near = near.join(nearest_lines(points, lines, line_m, first_m if "first_lat" in lines.columns else None), ["lat", "lng"], "left")
+    close = F.coalesce(F.col("metro_m") <= metro_m, F.lit(False))
+    near = near.where(close | F.col("line_m").isNotNull()).withColumn("close", close)
+    shown = {c: F.when(F.col("close"), F.col(c)) for c in ("metro_m", "metro")} | {c: F.when(~F.col("close"), F.col(c)) for c in ("line_m", "line")}
+    return rows.join(near.withColumns(shown).drop("close"), ["lat", "lng"])
 
 
 def locate(points: DataFrame, polygons: DataFrame, size: float = 0.05) -> DataFrame:

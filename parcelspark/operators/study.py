@@ -13,6 +13,8 @@ from ..functions.text import study_name
 DISCOUNT_CAP, SUSPECT_DISCOUNT, SUSPECT_YIELD, YIELD_CAP, YIELD_BASE, YIELD_FLOOR = 45.0, 45.0, 10.0, 9.0, 4.5, 5.5
 FLAG_DISCOUNT, FLAG_YIELD, MIN_SALES, MIN_RENTS = 40.0, 9.5, 3, 3
 BANDS = (3_000_000, 6_000_000, 12_000_000)
+SALE_PRICES, RENT_MOST = (800_000, 100_000_000), 200_000
+SCREEN_MIN_RENTS, SCREEN_YIELD_CAP, SCREEN_PENALTY, SCREEN_ROWS = 2, 8.5, 2.0, 60
 
 
 def enriched(listings: DataFrame) -> DataFrame:
@@ -41,8 +43,19 @@ def score(rows: DataFrame) -> Column:
     return F.when((d0 > SUSPECT_DISCOUNT) | (y0 > SUSPECT_YIELD), s * 0.25).otherwise(s)
 
 
-def study_opportunities(rows: DataFrame, limit: int = 10) -> DataFrame:
-    """The best of each district by score, one to a building. rows: of enriched()."""
+def sale_ok(rows: DataFrame) -> DataFrame:
+    """Sales within the study's own bounds of prices."""
+    return rows.where(F.col("price").between(*SALE_PRICES))
+
+
+def rent_ok(rows: DataFrame) -> DataFrame:
+    """Rents within the study's own bound; an unknown rent is 0."""
+    return rows.where(F.coalesce("price", F.lit(0.0)) <= RENT_MOST)
+
+
+def study_opportunities(rows: DataFrame, districts: DataFrame | None = None, limit: int = 10) -> DataFrame:
+    """The best of each district by score, one to a building. rows: of enriched(); districts: (khet) looked at, all without."""
+    rows = sale_ok(rows).join(districts, "khet", "left_semi") if districts is not None else sale_ok(rows)
     good = ((F.col("n_sale") >= MIN_SALES) & (F.col("discount_pct") > 0)) | ((F.col("n_rent") >= MIN_RENTS) & (F.col("yield_pct") >= YIELD_FLOOR))
     rows = rows.where(F.col("khet").isNotNull() & good).withColumn("score", half_up(score(rows), 4))
     one = rows.withColumn("rb", F.row_number().over(W.partitionBy("khet", "building").orderBy(F.desc("score"), "id"))).where("rb = 1")
@@ -50,6 +63,15 @@ def study_opportunities(rows: DataFrame, limit: int = 10) -> DataFrame:
     return top.select("khet", "rank", "id", "building", "discount_pct", "yield_pct", "n_sale", "n_rent", "score", "flag")
 
 
+def screened(rows: DataFrame, limit: int | None = SCREEN_ROWS) -> DataFrame:
+    """The rows of a proximity screen that have a yield and two rents in the building, in the study's order: by capped
+    yield, flagged ones two points lower, then by discount."""
+    rows = sale_ok(rows).where((F.col("yield_pct") != 0) & (F.col("n_rent") >= SCREEN_MIN_RENTS))
+    first = F.least("yield_pct", F.lit(SCREEN_YIELD_CAP)) - F.when(F.col("flag"), SCREEN_PENALTY).otherwise(0.0)
+    out = rows.withColumn("sort_yield", first).orderBy(F.desc("sort_yield"), F.coalesce("discount_pct", F.lit(0.0)).desc(), "id")
+    return out.limit(limit) if limit else out
+
+
 def delisting_by_district(active: DataFrame, delisted: DataFrame) -> DataFrame:
     """Per district of delisted sales: rate, median days (zeros left out), median price; actives of sources that delist."""
     sources = delisted.select("source").distinct()

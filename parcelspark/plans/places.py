@@ -9,7 +9,7 @@ from ..functions.geo import haversine
 from ..functions.stats import half_up
 from ..operators import filters, proximity, study, yields
 from ..sources import fixture as fx
-from .market import ACTIVE_SQL, ENRICH_SQL, active
+from .market import ACTIVE_SQL, ENRICH_SQL, active, yield_sql
 from .registry import query
 
 HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2))))"
@@ -32,18 +32,19 @@ def category(spark, sf, name: str) -> DataFrame:
     select act.id, floor(sm + 0.5) as school_m, floor(mm + 0.5) as metro_m from act join pd on pd.lat = act.lat and pd.lng = act.lng""")
 def nearest_poi(spark, sf):
     rows = active(spark, sf).select("id", "lat", "lng")
-    for name in ("school", "metro_station"):
-        rows = rows.join(proximity.nearest_distance(rows, category(spark, sf, name), name), ["lat", "lng"], "left")
-    return rows.select("id", half_up(F.col("school_m")).alias("school_m"), half_up(F.col("metro_station_m")).alias("metro_m"))
+    kinds = F.explode(F.array(F.lit("school"), F.lit("metro_station"))).alias("category")
+    near = proximity.nearest(rows.select("lat", "lng").distinct().select("lat", "lng", kinds), fx.pois(spark, sf), 1, ("category",))
+    of = lambda name: half_up(F.max(F.when(F.col("category") == name, F.col("metres"))))
+    near = near.groupBy("lat", "lng").agg(of("school").alias("school_m"), of("metro_station").alias("metro_m"))
+    return rows.join(near, ["lat", "lng"], "left").select("id", "school_m", "metro_m")
 
 
 @query("proximity_card", f"""with {POINTS_SQL}, r as (select lat, lng, category, poi, m, row_number() over (partition by lat, lng, category order by m, poi) as rank from d)
     select lat, lng, category, rank, poi, floor(m + 0.5) as metres from r where rank <= case when category = 'bus_stop' then 1 else 2 end""")
 def proximity_card(spark, sf):
-    rows, out = active(spark, sf).select("lat", "lng"), None
-    for name, k in (("school", 2), ("metro_station", 2), ("bus_stop", 1)):
-        part = proximity.nearest(rows, category(spark, sf, name), k).withColumn("category", F.lit(name))
-        out = part if out is None else out.union(part)
+    kinds = F.explode(F.array(*[F.lit(x) for x in ("school", "metro_station", "bus_stop")])).alias("category")
+    points = active(spark, sf).select("lat", "lng").distinct().select("lat", "lng", kinds)
+    out = proximity.nearest(points, fx.pois(spark, sf), F.when(F.col("category") == "bus_stop", 1).otherwise(2), ("category",))
     return out.select("lat", "lng", "category", "rank", "poi", half_up(F.col("metres")).alias("metres"))
 
 
@@ -72,19 +73,40 @@ SEG_T = f"""greatest(0.0, least(1.0, ((lng - lng1) * (lng2 - lng1) * {FLAT_X} *
 SEG_D = f"sqrt(pow((lng - lng1 - coalesce({SEG_T}, 0) * (lng2 - lng1)) * {FLAT_X}, 2) + pow((lat - lat1 - coalesce({SEG_T}, 0) * (lat2 - lat1)) * {FLAT_Y}, 2))"
 
 
-@query("school_metro_screen", f"""with {ENRICH_SQL}, {fx.POIS_SQL}, {LINES_SQL}, pts as (select distinct lat, lng from e),
+BY_CAR = "khet like 'Brand#5%'"
+SCREEN_SQL = f"""with {ENRICH_SQL}, {fx.POIS_SQL}, {LINES_SQL}, pts as (select distinct lat, lng from e),
     pd as (select lat, lng, min(m) filter (category = 'school') as near_s, min(m) filter (category = 'metro_station') as mm from (select lat, lng, category, {D} as m from pts, pois) group by 1, 2),
-    ld as (select lat, lng, min({SEG_D}) as lm from pts, segs group by 1, 2)
-    select e.id, floor(near_s + 0.5) as school_m, case when mm <= 500 then floor(mm + 0.5) end as metro_m, case when mm > 500 then floor(lm + 0.5) end as line_m, yield_pct, discount_pct
-    from e join pd on pd.lat = e.lat and pd.lng = e.lng left join ld on ld.lat = e.lat and ld.lng = e.lng where near_s <= 5000 and (mm <= 500 or lm <= 500) and yield_pct <> 0 and n_rent >= 2""")
-def school_metro_screen(spark, sf):
+    ld as (select lat, lng, min({SEG_D}) as lm from pts, segs group by 1, 2),
+    screen as (select e.*, floor(near_s + 0.5) as school_m, case when mm <= 500 then floor(mm + 0.5) end as metro_m, case when mm > 500 then floor(lm + 0.5) end as line_m,
+            coalesce(discount_pct, 0) > 40 or coalesce(yield_pct, 0) > 9.5 as flag
+        from e join pd on pd.lat = e.lat and pd.lng = e.lng left join ld on ld.lat = e.lat and ld.lng = e.lng
+        where near_s <= 5000 and (mm <= 500 or lm <= 500) and yield_pct <> 0 and n_rent >= 2 and price between 800000 and 100000000 and not coalesce({BY_CAR}, false))"""
+
+
+def screen_rows(spark, sf) -> DataFrame:
     rows = study.enriched(active(spark, sf))
-    out = proximity.school_transit_screen(rows, category(spark, sf, "school"), category(spark, sf, "metro_station"), segments(spark, sf))
-    out = out.where("yield_pct <> 0 and n_rent >= 2")
+    by_car = rows.where(BY_CAR).select("khet").distinct()
+    lines = segments(spark, sf)
+    return proximity.school_transit_screen(rows, category(spark, sf, "school"), category(spark, sf, "metro_station"), lines, by_car=by_car)
+
+
+@query("school_metro_screen", f"{SCREEN_SQL} select id, school_m, metro_m, line_m, yield_pct, discount_pct from screen")
+def school_metro_screen(spark, sf):
+    out = study.screened(screen_rows(spark, sf), None)
     whole = lambda c: half_up(F.col(c)).alias(c)
     return out.select("id", whole("school_m"), whole("metro_m"), whole("line_m"), "yield_pct", "discount_pct")
 
 
+@query("screen_top", f"{SCREEN_SQL} select id, rank from (select id, row_number() over (order by least(yield_pct, 8.5) - case when flag then 2 else 0 end desc, coalesce(discount_pct, 0) desc, id) as rank from screen) where rank <= 60")
+def screen_top(spark, sf):
+    """The screen's sixty best, in the study's order."""
+    from pyspark.sql import Window as W
+
+    top = study.screened(screen_rows(spark, sf))
+    w = W.orderBy(F.desc("sort_yield"), F.coalesce("discount_pct", F.lit(0.0)).desc(), "id")  # sixty rows
+    return top.select("id", F.row_number().over(w).alias("rank"))
+
+
 BOX = (13.5995, 100.4495, 0.0601, 0.0401)
 
 
@@ -124,13 +146,17 @@ def district_labels(spark, sf):
     return proximity.canonical(labels, "khet", names)
 
 
-@query("yields_near_metro", f"""with {POINTS_SQL}, near as (select lat, lng from d group by 1, 2 having min(m) filter (category = 'metro_station') <= 3000),
-    g as (select act.* from act join near on near.lat = act.lat and near.lng = act.lng where khet is not null)
-    select khet, count(*) filter (deal_type = 'sale' and price_per_sqm > 0) as n_sale, count(*) filter (deal_type = 'rent' and price_per_sqm > 0) as n_rent from g group by 1""")
+NEAR_SQL = f"{POINTS_SQL}, near as (select lat, lng from d group by 1, 2 having min(m) filter (category = 'metro_station') <= 3000 and min(m) filter (category = 'school') <= 5000)"
+
+
+@query("yields_near_metro", yield_sql("khet", "true", f"with {NEAR_SQL}", "act join near using (lat, lng)"))
 def yields_near_metro(spark, sf):
     rows = active(spark, sf)
-    near = proximity.nearest_distance(rows, category(spark, sf, "metro_station"), "metro").where("metro_m <= 3000").select("lat", "lng")
-    return yields.yields(rows.join(near, ["lat", "lng"], "left_semi"), "khet").select("khet", "n_sale", "n_rent")
+    for name, most in (("metro_station", 3000), ("school", 5000)):
+        near = proximity.nearest_distance(rows, category(spark, sf, name), name).where(F.col(f"{name}_m") <= most)
+        rows = rows.join(near.select("lat", "lng"), ["lat", "lng"], "left_semi")
+    out = yields.yields(rows, "khet")
+    return out.withColumns({c: half_up(F.col(c), 4) for c in ("sale_median_psqm", "rent_median_psqm")})
 
 
 FILTERS = {"priceMin": 1_000_000, "areaMax": 80, "bedsMin": 1, "bathsMax": 3, "deal": {"sale"}, "quota": {"foreigner", "thai"}}
@@ -147,10 +173,10 @@ def token_search(spark, sf):
     return filters.search(active(spark, sf), "  URGENT brand#1 ").select("id")
 
 
-@query("suggestions", f"""with {ACTIVE_SQL}, s as (select distinct 0 as place, 'street' as kind, street as value from act union select distinct 1, 'condo', condo_name from act union select distinct 2, 'khet', khet from act)
-    select kind, value from s where contains(lower(value), 'brand#2') order by place, value limit 8""")
+@query("suggestions", f"""with {ACTIVE_SQL}, s as (select distinct 0 as place, 'street' as kind, street as value from act union select distinct 1, 'condo', condo_name from act union select distinct 2, 'district', khet from act)
+    select kind, min(value) as value from s where contains(lower(value), 'brand#2') group by place, kind, lower(value) order by place, value limit 8""")
 def suggestions(spark, sf):
-    return filters.suggestions(active(spark, sf), "Brand#2")
+    return filters.suggestions(active(spark, sf), " Brand#2")
 
 
 @query("facets", f"with {ACTIVE_SQL} select distinct 'khet' as facet, khet as value from act where khet is not null union select distinct 'source', source from act")
@@ -168,16 +194,49 @@ def sorted_page(spark, sf):
     return filters.sorted_page(active(spark, sf), "area_sqm", True, 1).select("id", "area_sqm")
 
 
+ROBOTS = """# every site's file
+User-agent: other
+Disallow: /
+
+User-agent: *
+User-agent: nobody
+Disallow:
+Allow: /
+Disallow: /en/
+Allow: /en/1   # the first ten
+Disallow: /*page=
+Disallow: /p*1
+Allow: /p/1
+Disallow: /*9$
+"""
+
+
 @query("robots_match", """with u as (select distinct regexp_extract(url, '^https?://([^/]+)', 1) as host, regexp_replace(url, '^https?://[^/]+', '') as path from pages),
-    r(rule, pattern, allow) as (values ('/', '^/', true), ('/en/', '^/en/', false), ('/en/1', '^/en/1', true), ('/*page=', '^/.*page=', false)),
-    m as (select host, path, allow, row_number() over (partition by host, path order by length(rule) desc, allow desc) as rn from u join r on regexp_matches(path, pattern))
+    r(weight, pattern, allow) as (values (1, '^/', true), (4, '^/en/', false), (5, '^/en/1', true), (6, '^/.*page=', false), (3, '^/p.*1', false), (4, '^/p/1', true), (2, '^/.*9$', false)),
+    m as (select host, path, allow, row_number() over (partition by host, path order by weight desc, allow desc) as rn from u join r on regexp_matches(path, pattern))
     select u.host, u.path, coalesce(allow, true) as allowed from u left join m on m.host = u.host and m.path = u.path and rn = 1""")
 def robots_match(spark, sf):
     url = F.col("url")
     urls = fx.table(spark, sf, "pages").select(F.regexp_extract(url, r"^https?://([^/]+)", 1).alias("host"), F.regexp_replace(url, r"^https?://[^/]+", "").alias("path")).distinct()
-    rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(a).alias("allow")) for r, a in (("/", True), ("/en/", False), ("/en/1", True), ("/*page=", False))])
-    by_host = urls.select("host").distinct().select("host", F.inline(rules))
-    return filters.allowed(urls, by_host)
+    files = urls.select("host").distinct().select("host", F.lit(ROBOTS).alias("text"))
+    return filters.allowed(urls, filters.robots_rules(files, "collector/1.0"))
+
+
+MAP_SQL = "coalesce(price, 0) between 1e6 and 2e7 and coalesce(bedrooms, -1) = 2 and near.m <= 3000"
+
+
+@query("map_filter", f"""with {POINTS_SQL}, near as (select lat, lng, min(m) as m from d where category = 'metro_station' group by 1, 2)
+    select act.id from act join near on near.lat = act.lat and near.lng = act.lng where {MAP_SQL}""")
+def map_filter(spark, sf):
+    rows = active(spark, sf)
+    near = proximity.nearest_distance(rows, category(spark, sf, "metro_station"), "metro")
+    return rows.join(near, ["lat", "lng"], "left").where(filters.map_matches(1e6, 2e7, 2, 3000)).select("id")
+
+
+@query("deals_in_scope", f"with {ACTIVE_SQL} select id from act where deal_type = 'sale' and khet = 'Brand#11 District' and price >= 1.5e6 and price <= 2e7 and contains(lower(coalesce(condo_name, '')), 'metro')")
+def deals_in_scope(spark, sf):
+    rows = active(spark, sf).where("deal_type = 'sale'")
+    return filters.in_scope(rows, "Brand#11 District", "1,5", "20", " Metro").select("id")
 
 
 @query("excluded_names", f"with {ACTIVE_SQL} select id from act where not (contains(lower(concat_ws(' ', condo_name, street)), 'brand#3') or contains(lower(concat_ws(' ', condo_name, street)), 'steel'))")

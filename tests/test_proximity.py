@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from parcelspark.operators.proximity import nearest
+from parcelspark.operators.proximity import nearest, nearest_lines, school_transit_screen
 
 
 def metres(a, b, c, d):
@@ -23,3 +23,38 @@ def test_nearest_at_any_distance(spark, k):
     got = nearest(spark.createDataFrame(points, "lat double, lng double"), spark.createDataFrame(places, "poi string, poi_lat double, poi_lng double"), k).collect()
     want = {(*p, i + 1): name for p in points for i, (_, name) in enumerate(sorted((metres(*p, a, b), name) for name, a, b in places)[:k])}
     assert {(r.lat, r.lng, r.rank): r.poi for r in got} == want and len(got) == len(want)
+
+
+def flat_distance(p, a, b):
+    kx, ky = 111_320.0 * math.cos(math.radians(13.75)), 111_320.0
+    (px, py), (ax, ay), (bx, by) = ((q[1] * kx, q[0] * ky) for q in (p, a, b))
+    dx, dy = bx - ax, by - ay
+    t = max(0.0, min(1.0, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+    return math.hypot(px - ax - t * dx, py - ay - t * dy)
+
+
+@pytest.mark.parametrize("most", [300.0, 500.0, 5_000.0, 60_000.0])
+def test_nearest_lines_at_any_reach(spark, most):
+    rng = random.Random(3)
+    at = lambda: (13.7 + rng.uniform(-0.3, 0.3), 100.5 + rng.uniform(-0.3, 0.3))
+    lines = [(f"l{i}", at(), at()) for i in range(12)] + [("dot", (13.7, 100.5), (13.7, 100.5))]
+    points = [at() for _ in range(60)] + [(13.7, 100.5), (13.95, 100.5)]
+    df = spark.createDataFrame([(n, *a, *b) for n, a, b in lines], "line string, lat1 double, lng1 double, lat2 double, lng2 double")
+    got = {(r.lat, r.lng): r.line for r in nearest_lines(spark.createDataFrame(points, "lat double, lng double"), df, most).collect()}
+    want = {}
+    for p in points:
+        d, name = min((flat_distance(p, a, b), n) for n, a, b in lines)
+        if d <= most:
+            want[p] = name
+    assert got == want
+
+
+def test_screen_by_car_and_far_lines(spark):
+    rows = spark.createDataFrame([(1, "a", 13.7, 100.5), (2, "car", 13.7, 100.5), (3, "a", 13.75, 100.5), (4, "a", None, 100.5)], "id int, khet string, lat double, lng double")
+    schools = spark.createDataFrame([("s", 13.71, 100.5), ("t", 13.75, 100.51)], "poi string, poi_lat double, poi_lng double")
+    metros = spark.createDataFrame([("m", 13.75, 100.503)], "poi string, poi_lat double, poi_lng double")
+    lines = lambda first: spark.createDataFrame([("l", first, 100.5, 13.7, 100.49, 13.7, 100.51)], "line string, first_lat double, first_lng double, lat1 double, lng1 double, lat2 double, lng2 double")
+    by_car = spark.createDataFrame([("car",)], "khet string")
+    got = {r.id: (r.metro, r.line) for r in school_transit_screen(rows, schools, metros, lines(13.7), by_car=by_car).collect()}
+    assert got == {1: (None, "l"), 3: ("m", None)}
+    assert {r.id for r in school_transit_screen(rows, schools, metros, lines(14.2), by_car=by_car).collect()} == {3}

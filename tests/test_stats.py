@@ -23,18 +23,20 @@ def middle(xs, n):
 def test_leave_one_out_equals_the_naive_way(spark):
     rng = random.Random(4)
     data = [(f"i{k}", rng.choice("abc"), float(rng.choice([1, 2, 2, 3, 5, 8, 13]))) for k in range(80)] + [("x", "d", 1.0), ("y", "e", None)]
+    free = [("n1", None, 4.0), ("n2", None, 5.0)]  # rows without a group have no peers
     df = spark.createDataFrame(data, "id string, g string, v double")
     got = {r.id: r for r in stats.leave_one_out(df, ["g"], "v", "id", {"p25": 0.25, "med": 0.5, "p75": 0.75}, 1).collect()}
-    win = {r.id: r for r in stats.leave_one_out_window(df, ["g"], "v", "id", "ref", 4, 1).collect()}
+    win = {r.id: r for r in stats.leave_one_out_window(df.union(spark.createDataFrame(free, df.schema)), "g", "v", "id", "ref", 4, 1).collect()}
     for i, g, v in data:
         others = [w for j, h, w in data if h == g and j != i and w is not None]
-        assert got[i].peers == win[i].peers == len(others)
+        assert got[i].peers == len(others) and (win[i].ref_n or 0) == len(others)
         if not others:
             assert got[i].med is None and win[i].ref is None
             continue
         for name, q in (("p25", 0.25), ("med", 0.5), ("p75", 0.75)):
             assert abs(got[i][name] - quantile(others, q)) < 1e-9
         assert abs(win[i].ref - middle(others, 4)) < 1e-9
+    assert win["n1"].ref is None and win["n2"].ref_n is None
 
 
 def test_winsorised_clamps_from_twenty_on(spark):
@@ -52,7 +54,17 @@ def test_mid_rank_and_median(spark):
     assert sorted(r.p is None for r in one) == [False, True] and {r.p for r in one} == {50.0, None}
     zeros = spark.createDataFrame([(0.0,), (-1.0,), (3.0,), (5.0,)], "v double")
     assert zeros.select(stats.median_positive(F.col("v"))).first()[0] == median([3.0, 5.0])
-    assert zeros.select(stats.median_average(F.col("v"), 3)).first()[0] == 4.0
+    assert stats.with_middle(zeros.withColumn("g", F.lit("x")), ["g"], F.col("v"), "m", 3).agg(F.avg("m")).first()[0] == 4.0
+
+
+def test_middle_values_of_groups(spark):
+    rng = random.Random(8)
+    data = [(g, float(rng.randrange(-2, 30))) for g in "abcd" for _ in range({"a": 1, "b": 2, "c": 7, "d": 40}[g])] + [("e", None)]
+    df = stats.with_middle(spark.createDataFrame(data, "g string, v double"), ["g"], F.col("v"), "m", 3)
+    got = {r.g: r.m for r in df.groupBy("g").agg(F.avg("m").alias("m")).collect()}
+    for g in "abcde":
+        values = [v for h, v in data if h == g and v is not None and v > 0]
+        assert got[g] is None if not values else abs(got[g] - middle(values, 3)) < 1e-9
 
 
 def test_weighted_shares_out_missing_weight(spark):

@@ -28,19 +28,19 @@ def index(spark, rows, snaps=(), since=CUT):
 
 
 def test_few_listings_publish_no_score(spark):
-    got = index(spark, active("big", 300, 100) + active("small", 3, 3))
+    got = index(spark, active("big", 180, 60) + active("small", 4, 4))
     assert got["big"].tension_score is not None and got["small"].tension_score is None
 
 
 def test_pressure_lowers_the_score(spark):
-    got = index(spark, active("calm", 300, 100) + active("soft", 120, 12))
-    assert got["calm"].supply_pressure == 3 and got["soft"].supply_pressure == 10
+    got = index(spark, active("calm", 210, 70) + active("soft", 91, 13))
+    assert got["calm"].supply_pressure == 3 and got["soft"].supply_pressure == 7
     assert got["soft"].tension_score < got["calm"].tension_score
 
 
 def test_buildings_of_delisted_do_not_count(spark):
-    got = index(spark, active("a", 100, 10) + gone("a", 40, CUT + timedelta(days=10)) + active("b", 50, 10))
-    assert got["a"].supply_pressure == 10 and got["a"].n_delisted == 40
+    got = index(spark, active("a", 72, 12) + gone("a", 33, CUT + timedelta(days=9)) + active("b", 45, 9))
+    assert got["a"].supply_pressure == 6 and got["a"].n_delisted == 33
 
 
 def test_spellings_are_one_building(spark):
