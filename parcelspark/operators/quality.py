@@ -52,11 +52,15 @@ def year_votes(votes: DataFrame) -> DataFrame:
     return out.select("building", F.when(~F.col("verdict").startswith("conflict"), F.col("year")).alias("year"), "verdict")
 
 
-def agent_duplicates(listings: DataFrame, keys: tuple[str, ...] = ("agent_id", "condo_name", "khet", "deal_type", "bedrooms", "area_sqm")) -> DataFrame:
-    """Groups of listings of one agent that agree in all keys: ids in the order of first sight, and the first sight."""
-    rows = listings.where(" and ".join(f"{k} is not null" for k in keys))
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("first_seen", "id"))).alias("s")).where("n > 1")
-    return out.select(*keys, "n", F.transform("s", lambda x: x.id).alias("ids"), F.col("s")[0].first_seen.alias("oldest"))
+AGENT_KEYS = ("agent_id", "condo_name", "deal_type", "bedrooms", "area_sqm", "price")
+
+
+def agent_duplicates(listings: DataFrame, keys: tuple[str, ...] = AGENT_KEYS, seen: str = "first_seen") -> DataFrame:
+    """Groups of active listings of one agent and building that agree in all keys, unknown values alike: ids in the
+    order of first sight, and the first sight."""
+    rows = listings.where("status = 'active' and agent_id is not null and condo_name is not null")
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(seen).alias("at"), "id"))).alias("s")).where("n > 1")
+    return out.select(*keys, "n", F.transform("s", lambda x: x.id).alias("ids"), F.col("s")[0].at.alias("oldest"))
 
 
 def coverage(rows: DataFrame, group: str, fields: list[str]) -> DataFrame:
@@ -91,6 +95,28 @@ def judge(listings: DataFrame, thresholds: dict[str, float], sane: Column) -> Da
     return rows.withColumn("passed", passed)
 
 
+# Shares, in percent, of the volume asked for and of plausible rows that a batch wants.
+LEAST_VOLUME, LEAST_PLAUSIBLE = 80, 90
+
+
+def batch_verdict(listings: DataFrame, wanted: int, thresholds: dict[str, tuple[float, bool]], sane: Column, text: str) -> DataFrame:
+    """(source, failures, warnings, mean_length, passed) of a batch of which `wanted` rows were asked for.
+
+    thresholds: field -> (least percent known, whether it blocks). Too few rows, too few plausible ones and repeated ids
+    block as well. mean_length is that of a text.
+    """
+    pct = lambda c: half_up(F.count(c) / F.count("*") * 100, 2)
+    known = {f: pct(F.col(f)).alias(f"__{f}") for f in thresholds}
+    wide = listings.groupBy("source").agg(
+        F.count("*").alias("n"), pct(F.when(sane, 1)).alias("__sane"), (F.count("*") - F.count_distinct("id")).alias("__hits"), half_up(F.avg(F.length(text)), 2).alias("mean_length"), *known.values()
+    )
+    low = {f: F.when(F.col(f"__{f}") < least, F.lit(f)) for f, (least, _) in thresholds.items()}
+    of = lambda blocks: [low[f] for f, (_, b) in thresholds.items() if b == blocks]
+    failures = [F.when(F.col("n") * 100 < LEAST_VOLUME * wanted, "volume"), *of(True), F.when(F.col("__sane") < LEAST_PLAUSIBLE, "plausible"), F.when(F.col("__hits") > 0, "collisions")]
+    out = wide.select("source", F.concat_ws(",", *failures).alias("failures"), F.concat_ws(",", *of(False), F.lit(None).cast("string")).alias("warnings"), "mean_length")
+    return out.withColumn("passed", F.col("failures") == "")
+
+
 def reconcile(ours: DataFrame, theirs: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, state, changed): rows of both sides, of one alone, and the fields in which those of both differ."""
     b = theirs.select([F.col(c).alias(f"t_{c}") for c in (key, *fields)])
@@ -101,9 +127,11 @@ def reconcile(ours: DataFrame, theirs: DataFrame, key: str, fields: list[str]) -
 
 
 def orphans(events: DataFrame, spans: DataFrame, key: str, at: str) -> DataFrame:
-    """Events that lie in no span (start to end and ten minutes) of their key."""
+    """Events that lie in no span (start to end and ten minutes) of their key. They meet the spans of their own day."""
     s = spans.select(F.col(key).alias("__k"), F.col("start").alias("__a"), (F.col("end") + F.expr("interval 10 minutes")).alias("__b"))
-    return events.join(s, (F.col(key) == F.col("__k")) & (F.col(at) >= F.col("__a")) & (F.col(at) <= F.col("__b")), "left_anti")
+    s = s.withColumn("__day", F.explode(F.sequence(F.to_date("__a"), F.to_date("__b"))))
+    same = (F.col(key) == F.col("__k")) & (F.to_date(F.col(at)) == F.col("__day"))
+    return events.join(s, same & (F.col(at) >= F.col("__a")) & (F.col(at) <= F.col("__b")), "left_anti")
 
 
 def silent(due: DataFrame, seen: DataFrame, key: str) -> DataFrame:
@@ -116,15 +144,54 @@ def last_runs(runs: DataFrame, n: int = 1) -> DataFrame:
     return runs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
 
 
-def health(runs: DataFrame, depth: int = 10) -> DataFrame:
-    """(agent, metric, class): the last run against the median of the runs before it."""
+LOST_IMAGES, DRIFT, LEAST_RUNS = 10, 0.25, 3
+
+
+def health(runs: DataFrame, bands: DataFrame | None = None, depth: int = 10) -> DataFrame:
+    """(agent, new, usual, class): the last good run of each agent against the median of its last `depth` runs.
+
+    runs: (agent, started_at, event_id, status, new, errors, image_errors); bands: (agent, most). The median wants three
+    runs with a number. Classes, the first that holds: missing_metrics, broken_parser (nothing new, no errors),
+    network_failure (nothing new, errors), drift (under a quarter of the median), unusual_volume (over the band),
+    lost_images, ok.
+    """
     w = W.partitionBy("agent").orderBy(F.desc("started_at"), F.desc("event_id"))
-    rows = runs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= depth + 1)
-    last = F.max(F.when(F.col("rn") == 1, F.col("metric")))
-    usual = F.percentile(F.when((F.col("rn") > 1) & (F.col("status") == "ok"), F.col("metric")), F.lit(0.5))
-    out = rows.groupBy("agent").agg(last.alias("metric"), usual.alias("usual"))
-    kind = F.when(F.col("metric") == 0, "broken").when(F.col("metric") < 0.25 * F.col("usual"), "drift").when(F.col("metric") > 4 * F.col("usual"), "above").otherwise("normal")
-    return out.select("agent", half_up(F.col("metric"), 4).alias("metric"), half_up(F.col("usual"), 4).alias("usual"), kind.alias("class"))
+    recent = runs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= depth).groupBy("agent").agg(
+        F.when(F.count("new") >= LEAST_RUNS, F.percentile("new", F.lit(0.5))).alias("usual"))
+    last = runs.where("status = 'ok'").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("agent", "new", "errors", "image_errors")
+    out = last.join(recent, "agent")
+    out = out.join(bands, "agent", "left") if bands is not None else out.withColumn("most", F.lit(None).cast("double"))
+    new, errors = F.col("new"), F.coalesce("errors", F.lit(0))
+    kind = (
+        F.when(new.isNull(), "missing_metrics").when((new == 0) & (errors == 0), "broken_parser").when(new == 0, "network_failure")
+        .when((F.col("usual") > 0) & (new < DRIFT * F.col("usual")), "drift").when(new > F.col("most"), "unusual_volume")
+        .when(F.coalesce("image_errors", F.lit(0)) >= LOST_IMAGES, "lost_images").otherwise("ok")
+    )
+    return out.select("agent", "new", "usual", kind.alias("class"))
+
+
+def all_zero(runs: DataFrame, n: int = 2) -> DataFrame:
+    """Agents whose last n runs all found nothing new. runs: (agent, started_at, event_id, new)."""
+    rows = last_runs(runs, n).groupBy("agent").agg(F.count("*").alias("n"), F.max("new").alias("most"))
+    return rows.where((F.col("n") == n) & (F.col("most") == 0)).select("agent")
+
+
+def problems(findings: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """(agent, kinds, kinds_week, n): distinct kinds of findings (agent, kind, at), those of the last days, and all findings."""
+    recent = F.when(F.col("at") >= as_of - F.expr(f"interval {days} days"), F.col("kind"))
+    return findings.groupBy("agent").agg(F.count_distinct("kind").alias("kinds"), F.count_distinct(recent).alias("kinds_week"), F.count("*").alias("n"))
+
+
+def due(runs: DataFrame, as_of: Column, days: int) -> DataFrame:
+    """(agent, status, last_ok, due): the last run's status, the day of the last good one, and whether `days` have passed."""
+    last = F.max(F.when(F.col("status") == "ok", F.col("started_at")))
+    out = runs.groupBy("agent").agg(F.max_by("status", F.struct("started_at", "event_id")).alias("status"), last.alias("last_ok"))
+    return out.withColumn("due", F.coalesce(F.datediff(as_of, "last_ok") >= days, F.lit(True)))
+
+
+def text_coverage(rows: DataFrame, group: str, field: str) -> DataFrame:
+    """(group, pct, mean_length): how often a text is known, in percent, and its mean length."""
+    return rows.groupBy(group).agg(half_up(F.count(field) / F.count("*") * 100, 1).alias("pct"), half_up(F.avg(F.length(field)), 2).alias("mean_length"))
 
 
 def streak(runs: DataFrame, n: int = 2) -> DataFrame:

@@ -40,11 +40,17 @@ def year_votes(spark, sf):
     return q.year_votes(fx.listings(spark, sf).selectExpr("condo_name", "source", f"cast({VOTE} as int) as year"))
 
 
-@query("agent_duplicates", f"""with {LISTINGS_SQL} select agent_id, khet, deal_type, count(*) as n, array_to_string(list(id order by first_seen, id), ',') as ids from listings
-    where agent_id is not null and khet is not null and deal_type is not null and bedrooms is not null group by agent_id, khet, deal_type, bedrooms, quota having count(*) > 1 and quota is not null""")
+# No two listings of the fixture agree in all keys, so buildings, areas and prices are made coarse.
+COARSE = {"condo_name": "khet", "area_sqm": "floor(area_sqm / 200)", "price": "floor(price / 3e7)"}
+
+
+@query("agent_duplicates", f"""with {LISTINGS_SQL}, c as (select id, first_seen, status, agent_id, deal_type, bedrooms, {", ".join(f"{e} as {n}" for n, e in COARSE.items())} from listings)
+    select agent_id, condo_name, deal_type, bedrooms, area_sqm, price, count(*) as n, array_to_string(list(id order by first_seen, id), ',') as ids, strftime(min(first_seen), '%Y-%m-%d') as oldest
+    from c where status = 'active' and agent_id is not null and condo_name is not null group by all having count(*) > 1""")
 def agent_duplicates(spark, sf):
-    out = q.agent_duplicates(fx.listings(spark, sf), ("agent_id", "khet", "deal_type", "bedrooms", "quota"))
-    return out.select("agent_id", "khet", "deal_type", "n", F.array_join("ids", ",").alias("ids"))
+    rows = fx.listings(spark, sf).select("id", "first_seen", "status", "agent_id", "deal_type", "bedrooms", *[F.expr(e).alias(n) for n, e in COARSE.items()])
+    out = q.agent_duplicates(rows)
+    return out.withColumn("ids", F.array_join("ids", ",")).withColumn("oldest", F.date_format("oldest", "yyyy-MM-dd"))
 
 
 FIELDS = ["area_sqm", "bedrooms", "condo_name", "khet", "street", "quota"]
@@ -139,10 +145,23 @@ def latest_runs(spark, sf):
     return q.last_runs(fx.runs(spark, sf), 10).select("agent", "event_id", "status")
 
 
-@query("source_health", f"""with {RUNS_SQL}, {LAST_SQL}, h as (select agent, max(metric) filter (rn = 1) as m, median(metric) filter (rn > 1 and status = 'ok') as u from o where rn <= 11 group by 1)
-    select agent, floor(m * 1e4 + 0.5) / 1e4 as metric, floor(u * 1e4 + 0.5) / 1e4 as usual, case when m = 0 then 'broken' when m < 0.25 * u then 'drift' when m > 4 * u then 'above' else 'normal' end as class from h""")
+# Scan runs of many sources: what was new, errors, lost images; a part without figures.
+HEALTH = {
+    "event_id": "event_id", "agent": "concat(event_type, '-', cast(user_id % 40 as string))", "started_at": "ts", "status": "case when value < 1e1 then 'failed' else 'ok' end",
+    "new": "case when event_id % 11 = 0 then null when event_id % 13 < 2 then 0e0 else floor(value) end", "errors": "case when event_id % 26 = 0 then 3 else 0 end",
+    "image_errors": "case when event_id % 5 = 0 then 12 when event_id % 5 = 1 then null else 1 end",
+}
+
+
+@query("source_health", f"""with h as (select {", ".join(f"{e} as {n}" for n, e in HEALTH.items())} from events), o as (select *, row_number() over (partition by agent order by started_at desc, event_id desc) as rn from h),
+    u as (select agent, case when count(new) >= 3 then median(new) end as usual from o where rn <= 10 group by 1),
+    l as (select *, row_number() over (partition by agent order by started_at desc, event_id desc) as ok from h where status = 'ok')
+    select agent, new, usual, case when new is null then 'missing_metrics' when new = 0 and errors = 0 then 'broken_parser' when new = 0 then 'network_failure' when usual > 0 and new < 0.25 * usual then 'drift'
+        when new > 90 and agent like 'click%' then 'unusual_volume' when coalesce(image_errors, 0) >= 10 then 'lost_images' else 'ok' end as class from l join u using (agent) where ok = 1""")
 def source_health(spark, sf):
-    return q.health(fx.runs(spark, sf))
+    runs = fx.table(spark, sf, "events").selectExpr(*[f"{e} as {n}" for n, e in HEALTH.items()])
+    bands = runs.select("agent").distinct().where("agent like 'click%'").select("agent", F.lit(90.0).alias("most"))
+    return q.health(runs, bands)
 
 
 @query("failing_streaks", f"with {RUNS_SQL}, {LAST_SQL} select agent from o where rn <= 2 group by 1 having count(*) filter (status = 'failed') = 2")

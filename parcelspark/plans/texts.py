@@ -73,38 +73,11 @@ def page_titles(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", F.regexp_extract(html, "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract(html, '<html lang="([a-z]+)"', 1).alias("lang"))
 
 
-@query("amenity_scan", "select doc_id, concat_ws(',', case when contains(lower(text), 'pool') then 'pool' end, case when contains(lower(text), 'the') then 'the' end, case when contains(lower(text), 'que') then 'que' end) as found from documents")
-def amenity_scan(spark, sf):
-    low = F.lower("text")
-    hits = F.filter(F.array(F.lit("pool"), F.lit("the"), F.lit("que")), lambda a: F.contains(low, a))
-    return fx.table(spark, sf, "documents").select("doc_id", F.array_join(hits, ",").alias("found"))
-
-
 @query("document_search", "select doc_id from documents where contains(lower(concat_ws(' ', text, lang)), 'the') and contains(lower(concat_ws(' ', text, lang)), 'de')")
 def document_search(spark, sf):
     return filters.search(fx.table(spark, sf, "documents"), "The de", ("text", "lang")).select("doc_id")
 
 
-@query("prose_counts")
-def prose_counts(spark, sf):
-    """Floors and units named in prose: one number, 'ambiguous' for several, null for none (look-behind patterns)."""
-    rows = fx.listings(spark, sf).select("id", F.expr("concat('A tower of ', cast(l_linenumber + 20 as string), ' storeys, in all ', cast(l_partkey % 900 + 50 as string), ' units', case when l_linenumber = 2 then ' (or 77 units)' else '' end)").alias("prose"))
-    return rows.select("id", t.unique_or_ambiguous(F.col("prose"), r"(\d+) storeys", 2, 90).alias("floors"), t.unique_or_ambiguous(F.col("prose"), r"(\d+) units", 10, 5000).alias("units"))
-
-
-@query("clean_descriptions")
-def clean_descriptions(spark, sf):
-    """Descriptions from pages, cut where program code begins."""
-    return fx.table(spark, sf, "pages").select("page_id", t.clean_description(F.col("html")).alias("description"))
-
-
-@query("extractor_scores", """select quality, count(*) as n, count(*) filter (toxic = quality) as agreed, count(*) filter (toxic = 0) as silent from labels group by 1""")
-def extractor_scores(spark, sf):
-    rows = fx.table(spark, sf, "labels")
-    of = lambda c: F.count(F.when(c, 1))
-    return rows.groupBy("quality").agg(F.count("*").alias("n"), of(F.col("toxic") == F.col("quality")).alias("agreed"), of(F.col("toxic") == 0).alias("silent"))
-
-
 @query("host_shares", "select regexp_extract(url, '^https?://([^/?#]+)', 1) as host, count(*) as n, floor(count(*) / sum(count(*)) over () * 1e4 + 0.5) / 100 as pct from pages group by 1")
 def host_shares(spark, sf):
     from ..functions.stats import half_up
