@@ -40,7 +40,7 @@ PLACE = np.stack([at_place(np.full(256, i), np.arange(256, dtype=np.uint8)) for
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK + (CHUNK >> 1))
+        size = max(n, CHUNK >> 1)  # a word and the space behind it are two bytes at least
         base = 0xD6E8FEB86659FD93
         inverse = pow(base, -1, 1 << 64)
         _powers[:] = [np.concatenate([np.ones(1, U), np.cumprod(np.full(size, b, U))]) for b in (U(base), U(inverse))]

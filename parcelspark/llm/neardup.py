@@ -73,16 +73,15 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(fp, hashes) per row, hashes the sorted set as bytes."""
+    """(fp, hashes) per row, hashes the sorted set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, w in bh.rows(batches, "text", lower=True):
             sets = list(shingle_sets(batch, w, width))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["fp", "hashes"],
-            )
+            off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["fp", "hashes"])
 
-    return docs.mapInArrow(run, "fp binary, hashes binary")
+    return docs.mapInArrow(run, "fp binary, hashes array<long>")
 
 
 def least_shared(percent: int, k: int) -> int:
@@ -95,20 +94,11 @@ def least_shared(percent: int, k: int) -> int:
     return n
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def verified(pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the rows whose sets, ha and hb, are linked."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ha, hb = batch.column("ha"), batch.column("hb")
-            good = [linked(np.frombuffer(ha[i].as_buffer(), bh.U), np.frombuffer(hb[i].as_buffer(), bh.U), percent) for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return pairs.mapInArrow(run, "a long, b long")
+    both = F.size(F.array_intersect("ha", "hb"))
+    rows = pairs.select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), both.alias("both"))
+    return rows.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
 
 def forest(reps: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -149,7 +139,7 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
     """Links within lists, pair of blocks by pair of blocks. members: (v, i, j, own, rep, hashes)."""
     def run(table: pa.Table) -> pa.Table:
         reps = table.column("rep").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), bh.U) for x in table.column("hashes")]
+        sets = [x.values.to_numpy() for x in table.column("hashes")]
         side = table.column("own").to_numpy() != table.column("i").to_numpy()
         alone = table.column("i")[0].as_py() != table.column("j")[0].as_py() and (side.all() or not side.any())
         edges = [] if alone else forest(reps, sets, side, percent)
@@ -305,11 +295,12 @@ def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 85,
     best = top.groupBy("component").agg(F.min(F.struct("anonymous", "doc_id", "ref")).alias("x")).select("x.ref")
     refs = rows.where("n > 0").groupBy("ref").agg(F.count("*").alias("copies"))
     refs = stage(refs.join(best.withColumn("best", F.lit(True)), "ref", "left").where("best is null or copies > 1"))
-    marked = docs.withColumn("__ref", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    out = keep_ids(marked, refs.select(F.col("ref").alias("__ref")), ["__ref"], "left_anti").drop("__ref")
+    # The input's columns travel as one, so that none of them can clash.
+    marked = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("__ref"))
+    out = keep_ids(marked, refs.select(F.col("ref").alias("__ref")), ["__ref"], "left_anti").select("row.*")
     twice = refs.where("best").select(F.col("ref").alias("__ref"))
     if not twice.head(1):
         return out
     # Rows equal in id and text are combined before the shuffle: a large group of them is not one task.
-    one = keep_ids(marked, twice, ["__ref"], "left_semi").groupBy("__ref").agg(F.min(F.struct(*docs.columns)).alias("x"))
-    return out.union(one.select("x.*"))
+    one = keep_ids(marked, twice, ["__ref"], "left_semi").groupBy("__ref").agg(F.min("row").alias("row"))
+    return out.union(one.select("row.*"))
