@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
     from parcelspark.session import build
 
     conf = {"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")), "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"}
-    session = build("local[4]", 4, **conf)
+    session = build("local[8]", 4, **conf)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
