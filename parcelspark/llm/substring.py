@@ -34,7 +34,7 @@ WINDOW = 35
 EDGE = 8
 LONGEST = 4
 #: Bytes of text for each bucket, so that a bucket's windows fit into a task whatever the input.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 NONE = bh.U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -206,7 +206,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int) ->
     if window < 2 * EDGE + 2 * LONGEST:
         raise ValueError(f"a window has at least {2 * EDGE + 2 * LONGEST} words")
     size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
-    buckets = max(16, -(-size // BUCKET_BYTES))
+    buckets = max(8, -(-size // BUCKET_BYTES))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("ref"), F.col(text_col).alias("text"))
     around = 2 * EDGE + LONGEST  # words, from EDGE before an anchor on, that all of its windows hold
 
