@@ -90,21 +90,19 @@ def leave_one_out(df: DataFrame, group: list[str], value: str, key: str, quantil
     """Add, for each row, interpolated quantiles of its group's other values, and `peers`, their number.
 
     A row that is not a member (value null) sees the whole group. Removing the value of rank r from the sorted list
-    shifts those behind it, so a quantile needs only two of the three ranks at its place: they are aggregated once per
-    group, and no pairs are formed. Quantiles of under `least` peers are null.
+    shifts those behind it, so a quantile needs only two of the three ranks at its place: they come from windows on one
+    partitioning by the group, and no pairs are formed. Quantiles of under `least` peers are null.
     """
-    ranked = df.withColumn("__r", F.when(F.col(value).isNotNull(), F.row_number().over(W.partitionBy(*group).orderBy(F.col(value).asc_nulls_last(), key)) - 1))
-    n = ranked.groupBy(*group).agg(F.count(value).alias("__n"))
-    ranked = ranked.join(n, group)
+    w = W.partitionBy(*group)
+    rank = F.when(F.col(value).isNotNull(), F.row_number().over(w.orderBy(F.col(value).asc_nulls_last(), key)) - 1)
+    ranked = df.withColumn("__r", rank).withColumn("__n", F.count(value).over(w))
     whole, less = F.col("__n") - 1, F.col("__n") - 2  # the last index of the whole list and of the list less one
-    aggs = []
+    at_rank = lambda i: F.max(F.when(F.col("__r") == i, F.col(value))).over(w)
+    points = {}
     for name, q in quantiles.items():
-        for j in range(3):
-            aggs.append(F.max(F.when(F.col("__r") == F.floor(less * q) + j, F.col(value))).alias(f"__{name}{j}"))
-        aggs.append(F.max(F.when(F.col("__r") == F.floor(whole * q), F.col(value))).alias(f"__{name}w0"))
-        aggs.append(F.max(F.when(F.col("__r") == F.ceil(whole * q), F.col(value))).alias(f"__{name}w1"))
-    points = ranked.groupBy(*group).agg(*aggs)
-    out = ranked.join(points, group).withColumn("peers", F.col("__n") - F.when(F.col("__r").isNotNull(), 1).otherwise(0))
+        points |= {f"__{name}{j}": at_rank(F.floor(less * q) + j) for j in range(3)}
+        points |= {f"__{name}w0": at_rank(F.floor(whole * q)), f"__{name}w1": at_rank(F.ceil(whole * q))}
+    out = ranked.withColumns(points).withColumn("peers", F.col("__n") - F.when(F.col("__r").isNotNull(), 1).otherwise(0))
     for name, q in quantiles.items():
         k = F.floor(less * q)
         at = lambda j: F.when(k + j < F.col("__r"), F.col(f"__{name}{j}")).otherwise(F.col(f"__{name}{j + 1}"))  # noqa: B023, E731
@@ -113,8 +111,7 @@ def leave_one_out(df: DataFrame, group: list[str], value: str, key: str, quantil
         low, high = F.col(f"__{name}w0"), F.col(f"__{name}w1")
         other = low + (high - low) * (whole * q - F.floor(whole * q))
         out = out.withColumn(name, F.when(F.col("peers") >= least, F.when(F.col("__r").isNotNull(), own).otherwise(other)))
-    drop = [c for c in out.columns if c.startswith("__")]
-    return out.drop(*drop)
+    return out.drop("__r", "__n", *points)
 
 
 def leave_one_out_window(df: DataFrame, group: str, value: str, key: str, out: str, n: int, least: int) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import half_up, leave_one_out, leave_one_out_window
 from ..functions.text import building_name
+from ..sources.scratch import stage
 
 # Peers that a scope wants, and the quantiles taken.
 MIN_PEERS = 5
@@ -23,18 +22,19 @@ def listing_benchmarks(listings: DataFrame) -> DataFrame:
     rows = listings.where("status = 'active' and price_per_sqm > 0").select(
         "id", "condo_name", "khet", "street", "deal_type", "bedrooms", "area_sqm", "price", "price_per_sqm", "quota"
     )
+    rows = stage(rows)  # read for each scope
     peers = rows.where("area_sqm is not null").select(
         F.col("id").alias("pid"), F.col("condo_name").alias("pc"), F.col("deal_type").alias("pd"), F.coalesce("bedrooms", F.lit(-1)).alias("pb"),
         F.col("area_sqm").alias("pa"), F.col("price_per_sqm").alias("pp"),
     )
-    # Areas fall into bands of a fifth: what lies within 20 % is in the row's own band, the one above or two below.
-    band = lambda c: F.floor(F.log(F.col(c)) / math.log(1.2))
+    # Areas fall into bands of a factor of two: what lies within 20 % is in one or two of them.
+    band = lambda c, by=1.0: F.floor(F.log2(F.col(c) * by))
     peers = peers.where("pa > 0").withColumn("pband", band("pa"))
     near = (
         (F.col("condo_name") == F.col("pc")) & (F.col("deal_type") == F.col("pd")) & (F.coalesce("bedrooms", F.lit(-1)) == F.col("pb"))
         & (F.col("band") == F.col("pband")) & (F.col("id") != F.col("pid")) & (F.col("pa") >= F.col("area_sqm") * 0.8) & (F.col("pa") <= F.col("area_sqm") * 1.2)
     )
-    bands = F.explode(F.sequence(band("area_sqm") - 2, band("area_sqm") + 1)).alias("band")
+    bands = F.explode(F.sequence(band("area_sqm", 0.799), band("area_sqm", 1.201))).alias("band")
     own = rows.where("area_sqm > 0").select("id", "condo_name", "deal_type", "bedrooms", "area_sqm", bands).join(peers, near)
     first = own.groupBy("id").agg(F.count("*").alias("n1"), *[F.percentile("pp", F.lit(q)).alias(f"{k}1") for k, q in QUARTILES.items()]).where(F.col("n1") >= MIN_PEERS)
 
