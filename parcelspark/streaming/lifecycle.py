@@ -22,15 +22,17 @@ def price_changes(events: DataFrame, key: str = "user_id", at: str = "ts", value
     """A row for each observation whose price differs from the listing's last one; the state holds that one alone."""
     def step(ident: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, n = state.get if state.exists else (None, 0)
-        out = []
-        rows = pd.concat(list(batches)).sort_values([at, value])
-        for when, price in zip(rows[at], rows[value], strict=True):
-            n += 1
-            if last is None or price != last:
-                out.append((ident[0], when, price, last, n))
-            last = price
-        state.update((last, n))
-        yield pd.DataFrame(out, columns=["user_id", "observed_at", "price", "previous", "sightings"])
+        rows = pd.concat(list(batches)).sort_values([at, value], ignore_index=True)
+        price = rows[value].astype(float)
+        before = price.shift(1)
+        if last is not None:
+            before.iloc[0] = last
+        changed = (price != before) & ~(price.isna() & before.isna())
+        if not n:
+            changed.iloc[0] = True
+        state.update((float(price.iloc[-1]), n + len(rows)))
+        out = pd.DataFrame({"user_id": ident[0], "observed_at": rows[at], "price": price, "previous": before, "sightings": n + 1 + rows.index})
+        yield out[changed]
 
     return events.groupBy(key).applyInPandasWithState(step, CHANGE, "last double, n long", "append", GroupStateTimeout.NoTimeout)
 
