@@ -139,20 +139,21 @@ LEAD_WORDS = {
 }
 LEAD_NUMBERS = {"price": "prix_vente_thb", "rent_monthly": "loyer_mensuel_thb", "area_sqm": "surface_sqm", "bedrooms": "chambres", "bathrooms": "salles_de_bain"}
 LEAD_PLAIN = {
-    "source_url": "lien", "posted_at": "date", "station": "station_proche", "district_raw": "quartier", "furnished": "meuble", "condo_name": "condo_lowi", "match_score": "condo_score",
+    "source_url": "lien", "posted_at": "date", "station": "station_proche", "district_raw": "quartier", "furnished": "meuble", "match_score": "condo_score",
     "khet": "condo_khet", "lat": "condo_lat", "lng": "condo_lng", "median_rent_condo": "condo_med_loyer", "median_sale_condo": "condo_med_vente", "confidence": "confiance",
 }
 LEAD_FILE = (
     "est_une_annonce boolean, groupe string, nom_immeuble string, texte string, auteur string, ecart_loyer_pct double, ecart_vente_pct double, condo_score double, condo_lat double,"
     " condo_lng double, condo_med_loyer double, condo_med_vente double, meuble boolean, "
     + ", ".join(f"{c} double" for c in LEAD_NUMBERS.values()) + ", " + ", ".join(f"{c} string" for c, _, _ in LEAD_WORDS.values())
-    + ", " + ", ".join(f"{c} string" for c in ("lien", "date", "station_proche", "quartier", "condo_lowi", "condo_khet", "confiance"))
+    + ", " + ", ".join(f"{c} string" for c in ("lien", "date", "station_proche", "quartier", "condo_khet", "confiance"))
 )
 
 
-def leads(rows: DataFrame) -> DataFrame:
+def leads(rows: DataFrame, matched: str | None = None) -> DataFrame:
     """Leads of social groups (LEAD_FILE) as rows: what is no advertisement goes, words are translated, numbers of zero
-    and below are unknown. The id is of the content, so an advertisement posted again has the same."""
+    and below are unknown. The id is of the content, so an advertisement posted again has the same. matched: the column
+    with the name of the building that a lead was matched to, which files name in their own way."""
     rows = rows.where(F.coalesce("est_une_annonce", F.lit(False)))
     whole = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit(0.0)).cast("string"), r"\.0$", "")
     word = lambda c, words, other: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in words.items() for x in p]), F.col(c)), F.lit(other))
@@ -160,7 +161,7 @@ def leads(rows: DataFrame) -> DataFrame:
         "id": F.concat(F.lit("facebook:"), F.coalesce("groupe", F.lit("?")), F.lit(":"), lead_id(F.col("nom_immeuble"), whole("prix_vente_thb"), whole("loyer_mensuel_thb"), F.col("texte"))),
         "source": F.lit("facebook"), "source_group": F.coalesce("groupe", F.lit("")), "author": F.substring(F.coalesce("auteur", F.lit("")), 1, 120),
         "condo_name_raw": F.when(F.col("nom_immeuble") != "", F.col("nom_immeuble")), "deviation_pct": F.coalesce("ecart_loyer_pct", "ecart_vente_pct"),
-        "raw_text": F.substring(F.coalesce("texte", F.lit("")), 1, 4000),
+        "raw_text": F.substring(F.coalesce("texte", F.lit("")), 1, 4000), "condo_name": F.col(matched) if matched else F.lit(None).cast("string"),
     }
     columns |= {n: word(*x) for n, x in LEAD_WORDS.items()} | {n: F.when(F.col(c) > 0, F.col(c)) for n, c in LEAD_NUMBERS.items()} | {n: F.col(c) for n, c in LEAD_PLAIN.items()}
     return rows.select(*[v.alias(k) for k, v in columns.items()])
