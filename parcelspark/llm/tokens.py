@@ -45,11 +45,13 @@ def lengths(tokenizer, texts: list[str]) -> list[int]:
 def frequent_words(docs: DataFrame, tokenizer) -> dict[str, int]:
     """The broadcast table: at most TABLE_WORDS words of SAMPLE_DOCS documents, with their numbers of tokens.
 
-    The documents are those of the least hashes of their ids among those of at most 64 KiB. The table only saves time; its choice cannot change a count.
+    The documents are of the least hashes of their ids; those over 64 KiB are left out. The table only saves time; its
+    choice cannot change a count.
     """
-    sample = docs.select("text", F.xxhash64("doc_id").alias("h")).where("octet_length(text) <= 65536")
+    keyed = docs.select("text", F.xxhash64("doc_id").alias("h"))
+    most = keyed.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]  # without the texts
     counts: Counter[str] = Counter()
-    for row in sample.orderBy("h").limit(SAMPLE_DOCS).toLocalIterator():
+    for row in keyed.where((F.col("h") <= most) & (F.octet_length("text") <= 65_536)).limit(SAMPLE_DOCS).toLocalIterator():
         counts.update((row.text or "").split())
     words = [w for w, _ in counts.most_common(TABLE_WORDS)]
     return dict(zip(words, lengths(tokenizer, words), strict=True))
