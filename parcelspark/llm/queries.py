@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .alignment import align
 from .chat import format_conversations, read_back
 from .decontam import contamination
 from .exact import exact_duplicates
 from .lm import lm_scores
+from .merkle import manifest
 from .mixing import mix
 from .neardup import near_duplicates
 from .quality import quality_scores
@@ -87,6 +89,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    altered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return manifest(table(spark, sf_dir, "documents"), altered)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,7 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_mixing, op2_minhash_near_dedup, op3_lm_scoring, op4_chat_formatting, op5_token_counts, op6_substring_dedup,
-        op7_sharding, op8_decontamination, op9_quality_classifier, op10_exact_dedup, pipeline,
+        op7_sharding, op8_decontamination, op9_quality_classifier, op10_exact_dedup, op11_tokenizer_alignment, op12_merkle_manifest, pipeline,
     )
     return {f.__name__: f for f in own}
 
