@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .alignment import align
+from .bytespans import remove_later_repeats
 from .chat import format_conversations, read_back
 from .decontam import contamination
 from .exact import exact_duplicates
@@ -98,6 +99,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"), altered)
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_later_repeats(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -107,7 +112,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_mixing, op2_minhash_near_dedup, op3_lm_scoring, op4_chat_formatting, op5_token_counts, op6_substring_dedup,
-        op7_sharding, op8_decontamination, op9_quality_classifier, op10_exact_dedup, op11_tokenizer_alignment, op12_merkle_manifest, pipeline,
+        op7_sharding, op8_decontamination, op9_quality_classifier, op10_exact_dedup, op11_tokenizer_alignment, op12_merkle_manifest,
+        op13_suffix_array_dedup, pipeline,
     )
     return {f.__name__: f for f in own}
 
@@ -147,6 +153,66 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
             coalesce(doc_id = min(doc_id) OVER w, false) AS kept, sha256(text) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY text)""",
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE fields AS (
+            SELECT doc_id, lang, n_chars,
+                coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS ahead,
+                coalesce(strlen(text) || ':' || text, '-') AS behind,
+                list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ord(c), 0, 0, 0, 0, 0, 0, 0]))),
+                    lambda crc, b: (xor(crc, b) >> 1) * (1 - (xor(crc, b) & 1)) + xor(xor(crc, b) >> 1, 3988292384) * (xor(crc, b) & 1)) AS crc
+            FROM documents),
+        hashed AS (
+            SELECT doc_id, lang, sha256(ahead || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || behind) AS leaf,
+                CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(ahead || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || behind) END AS other
+            FROM fields),
+        leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM hashed),
+        nodes AS (
+            SELECT tree, 0 AS level, pos, n, leaf AS node FROM leaves
+            UNION ALL
+            SELECT tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 2, n),
+        subroots AS (SELECT tree, node, level FROM nodes WHERE n = 1),
+        upper AS (
+            SELECT 0 AS level, tree AS pos, (SELECT count(*) FROM subroots) AS n, node FROM subroots
+            UNION ALL
+            SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY level, pos // 2, n),
+        steps AS (
+            SELECT l.tree, l.pos, n.level, (l.pos >> n.level) & 1 AS side, s.node AS sibling
+            FROM leaves l JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) n ON l.tree = n.tree
+            LEFT JOIN nodes s ON s.tree = l.tree AND s.level = n.level AND s.pos = xor(l.pos >> n.level, 1)
+            UNION ALL
+            SELECT l.tree, l.pos, r.level + u.level, (l.tree >> u.level) & 1, s.node
+            FROM leaves l JOIN subroots r ON l.tree = r.tree CROSS JOIN (SELECT DISTINCT level FROM upper WHERE n > 1) u
+            LEFT JOIN upper s ON s.level = u.level AND s.pos = xor(l.tree >> u.level, 1)),
+        paths AS (SELECT tree, pos, count(*) AS depth, sha256(coalesce(string_agg(sibling, '' ORDER BY level), '')) AS proof FROM steps GROUP BY tree, pos),
+        folded AS (
+            SELECT tree, pos, 0 AS level, coalesce(other, leaf) AS node FROM leaves
+            UNION ALL
+            SELECT f.tree, f.pos, f.level + 1, sha256(CASE WHEN s.sibling IS NULL THEN f.node WHEN s.side = 1 THEN s.sibling || f.node ELSE f.node || s.sibling END)
+            FROM folded f JOIN steps s ON f.tree = s.tree AND f.pos = s.pos AND f.level = s.level),
+        top AS (SELECT node FROM upper WHERE n = 1)
+        SELECT l.doc_id, l.leaf, r.node AS subroot, top.node AS root, coalesce(p.proof, sha256('')) AS proof_sha256, f.node AS folded_root, f.node = top.node AS verified
+        FROM leaves l JOIN subroots r ON l.tree = r.tree CROSS JOIN top LEFT JOIN paths p ON l.tree = p.tree AND l.pos = p.pos
+        JOIN folded f ON f.tree = l.tree AND f.pos = l.pos AND f.level = coalesce(p.depth, 0)""",
+    "op13_suffix_array_dedup": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        bytes AS (SELECT r, i, substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS byte FROM (SELECT r, h, unnest(range(0, strlen(h) // 2)) AS i FROM d)),
+        windows AS (
+            SELECT r, id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS w
+            FROM (SELECT r, id, h, unnest(range(0, greatest(strlen(h) // 2 - 49, 0))) AS i FROM d)),
+        hits AS (SELECT r, i FROM (SELECT r, i, id > min(id) OVER (PARTITION BY w) AS hit FROM windows) WHERE hit),
+        cover AS (
+            SELECT b.r, b.i, byte, coalesce(max(t.i) OVER (PARTITION BY b.r ORDER BY b.i) >= b.i - 49, false) AS gone
+            FROM bytes b LEFT JOIN hits t ON b.r = t.r AND b.i = t.i),
+        edged AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS opens FROM cover),
+        counted AS (
+            SELECT r, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+                sha256(unhex(coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone), ''))) AS kept_sha256
+            FROM edged GROUP BY r)
+        SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256
+        FROM d LEFT JOIN counted USING (r)""",
 }
 
 
