@@ -3,6 +3,7 @@ extractors, and what scans may skip."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,26 +13,52 @@ from pyspark.sql import functions as F
 from ..functions.pages import AMBIGUOUS, bare
 from ..functions.stats import half_up
 
-# What the scans' logs say.
-LOG_NUMBERS = {
-    "scanned": r"(\d+)\s+scanned", "new": r"(\d+)\s+new", "changed": r"(\d+)\s+changed", "removed": r"(\d+)\s+removed", "purged": r"(\d+)\s+listings purged",
-}
-LOG_TEXTS = {"snapshot": r"snapshot\s*:\s*(\S+)", "report": r"report\s*:\s*(\S+)"}
-LOG_COUNTS = {"http_errors": r"(?i)HTTP\s*(?:error\s*)?(?:4\d\d|5\d\d)", "image_errors": r"(?i)image (?:error|failed)", "tracebacks": r"(?i)traceback|\[error\]", "lines": r"\n"}
-ARCHIVED = r":\s*\d+\s+server rows\s*→\s*(\d+)\s+archived"
+# What the logs of the scans, the study and the replication say.
+SUMMARY = r"(?s)scannées\s*:\s*(\d+).*?nouvelles\s*:\s*(\d+).*?changées\s*:\s*(\d+).*?retirées\s*:\s*(\d+)"
+SNAPSHOT = r"snapshot\s*:\s*(\S+)"
+REPORT = r"rapport\s*:\s*(\S+)"
+ARCHIVED = r":\s*(\d+)\s+lignes serveur\s*→\s*(\d+)\s+en archive"
+PURGED = r"(\d+)\s+annonces purgées"
+PURGE_REFUSED = r"purge ANNULÉE|purge interdite"
+HTTP_ERRORS = r"(?i)HTTP\s*(?:error\s*)?(4\d\d|5\d\d)"
+IMAGE_ERRORS = r"(?iu)upload erreur|échec GET \(bytes\)|echec GET \(bytes\)|erreur image"
+TRACEBACKS = r"(?i)traceback|\[erreur\]"
 OUTAGE_MARKS = ("ConnectionError", "Max retries exceeded", "Name or service not known")
 TAIL, LEAST_MARKS, STALL_MINUTES = 20_000, 3, 10
 
 
-def log_metrics(logs: DataFrame, text: str = "text") -> DataFrame:
-    """`logs` plus the figures that their text states; absent ones null, counted ones 0."""
+@dataclass(frozen=True)
+class LogWords:
+    """The patterns by which log_metrics() reads a log; SUMMARY and ARCHIVED have a group for each figure."""
+
+    summary: str = SUMMARY
+    snapshot: str = SNAPSHOT
+    report: str = REPORT
+    archived: str = ARCHIVED
+    purged: str = PURGED
+    purge_refused: str = PURGE_REFUSED
+    http_errors: str = HTTP_ERRORS
+    image_errors: str = IMAGE_ERRORS
+    tracebacks: str = TRACEBACKS
+
+
+def log_metrics(logs: DataFrame, text: str = "text", words: LogWords = LogWords()) -> DataFrame:
+    """`logs` plus the figures that their text states; absent ones null, counted ones 0.
+
+    The four figures of a scan count only where all stand in its summary, in their order. A purge that was refused is
+    one of no rows, and purge_refused is then true, else null.
+    """
     body = F.col(text)
-    found = lambda p: F.when(F.regexp_extract(body, p, 1) != "", F.regexp_extract(body, p, 1))
-    rows = F.regexp_extract_all(body, F.lit(ARCHIVED), F.lit(1))
-    columns = {k: found(p).cast("long") for k, p in LOG_NUMBERS.items()} | {k: found(p) for k, p in LOG_TEXTS.items()}
-    columns |= {k: F.regexp_count(body, F.lit(p)).cast("long") for k, p in LOG_COUNTS.items()}
-    columns["tables"] = F.when(F.size(rows) > 0, F.size(rows).cast("long"))
-    columns["archived"] = F.when(F.size(rows) > 0, F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a + x.cast("long")))
+    found = lambda p, i=1: F.when(F.regexp_extract(body, p, i) != "", F.regexp_extract(body, p, i))
+    columns = {k: found(words.summary, i + 1).cast("long") for i, k in enumerate(("scanned", "new", "changed", "removed"))}
+    columns |= {"snapshot": found(words.snapshot), "report": found(words.report)}
+    counts = F.regexp_extract_all(body, F.lit(words.archived), F.lit(2))
+    columns["tables"] = F.when(F.size(counts) > 0, F.size(counts).cast("long"))
+    columns["archived"] = F.when(F.size(counts) > 0, F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x.cast("long")))
+    purged = found(words.purged).cast("long")
+    refused = purged.isNull() & body.rlike(words.purge_refused)
+    columns |= {"purged": F.when(refused, 0).otherwise(purged), "purge_refused": F.when(refused, True)}
+    columns |= {k: F.regexp_count(body, F.lit(p)).cast("long") for k, p in (("http_errors", words.http_errors), ("image_errors", words.image_errors), ("tracebacks", words.tracebacks), ("lines", r"\n"))}
     return logs.select("*", *[v.alias(k) for k, v in columns.items()])
 
 
@@ -51,7 +78,7 @@ def stage_times(times: DataFrame, runs: DataFrame) -> DataFrame:
     rest = runs.join(per.groupBy("run").agg(F.sum("s").alias("known")), "run", "left")
     rest = rest.select("run", F.lit("unmeasured").alias("stage"), F.greatest(F.lit(0.0), F.col("seconds") - F.coalesce("known", F.lit(0.0))).alias("s"), F.lit(0).cast("long").alias("calls"))
     out = per.union(rest).join(runs.select("run", F.col("seconds").alias("whole")), "run")
-    return out.select("run", "stage", half_up(F.col("s"), 1).alias("seconds"), "calls", half_up(F.col("s") / F.greatest(F.col("whole"), F.lit(1e-9)) * 100, 1).alias("share_pct"))
+    return out.select("run", "stage", half_up(F.col("s"), 1).alias("seconds"), "calls", (F.floor(F.col("s") * 1000 / F.greatest(F.col("whole"), F.lit(1e-9)) + 0.5) / 10).alias("share_pct"))
 
 
 def interrupted_by(runs: DataFrame, events: DataFrame) -> DataFrame:

@@ -18,10 +18,11 @@ STATE = "id string, scope string, price double, status string, first_seen timest
 def apply_scan(state: DataFrame, scan: DataFrame, at: Column, full: bool = True) -> tuple[DataFrame, DataFrame]:
     """(state, price events) after a scan of (id, scope, price, marker) at a time.
 
-    Seen listings become active and their absences are forgotten; a price is an event when it is new or changed. In a
-    full scan, active listings marked SOLD for a week are sold since the mark, seen or not; then those of the scanned
-    scopes that are absent miss it: the second time in a row they are inactive since the first. A scope in which the scan
-    saw under half as many listings as are active is left alone. A partial scan only adds.
+    Seen listings become active and their absences are forgotten; a price is an event when its listing is new or it differs from the known one. In a
+    full scan, active listings marked SOLD for a week are sold since the mark, seen or not and whatever their scope, once
+    any scanned scope is trusted; then those of the trusted scopes that are absent miss it: the second time in a row they
+    are inactive since the first. A scope in which the scan saw under half as many listings as are active is not trusted,
+    and none of its listings miss the scan. A partial scan only adds.
     """
     s = scan.select("id", F.col("scope").alias("n_scope"), F.col("price").alias("n_price"), F.col("marker").alias("n_marker"), F.lit(True).alias("seen"))
     both = state.join(s, "id", "full_outer").withColumn("seen", F.coalesce("seen", F.lit(False)))
@@ -37,7 +38,8 @@ def apply_scan(state: DataFrame, scan: DataFrame, at: Column, full: bool = True)
     marker_new = F.col("seen") & ~F.col("n_marker").eqNullSafe(F.col("marker"))
     marked = F.when(marker_new, F.when(F.col("n_marker").isNotNull(), at)).otherwise(F.col("marker_since"))
     active = F.col("seen") | (F.col("status") == "active")
-    sold = F.coalesce(trusted & active & (marker == SOLD) & (marked <= at - F.expr(f"interval {SOLD_DAYS} days")), F.lit(False))
+    settled = F.lit(full) & F.coalesce(counts.select(F.max((F.col("__seen") > 0) & (F.col("__seen") >= GUARD * F.col("__active")))).scalar(), F.lit(False))
+    sold = F.coalesce(settled & active & (marker == SOLD) & (marked <= at - F.expr(f"interval {SOLD_DAYS} days")), F.lit(False))
     misses = ~F.col("seen") & trusted & (F.col("status") == "active") & ~sold
     missed = F.when(F.col("seen"), 0).otherwise(F.coalesce("missed", F.lit(0)) + misses.cast("int"))
     out = F.when(missed >= GRACE, True).otherwise(False) & misses
@@ -50,7 +52,8 @@ def apply_scan(state: DataFrame, scan: DataFrame, at: Column, full: bool = True)
         F.when(sold, marked).when(F.col("seen"), None).when(out, since).otherwise(F.col("delisted_at")).alias("delisted_at"),
         marker.alias("marker"), marked.alias("marker_since"),
     )
-    events = both.where(F.col("seen") & ~F.col("n_price").eqNullSafe(F.col("price"))).select("id", F.col("n_price").alias("price"), at.alias("seen_at"))
+    # A price is news for a new listing, or when it differs from a known one.
+    events = both.where(F.col("seen") & F.col("n_price").isNotNull() & (F.col("first_seen").isNull() | (F.col("n_price") != F.col("price")))).select("id", F.col("n_price").alias("price"), at.alias("seen_at"))
     return new_state, events
 
 

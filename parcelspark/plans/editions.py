@@ -147,11 +147,14 @@ def wide_parts(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     return yields.study_stats(rows), study.delisting_by_district(rows, gone(spark, sf)), study.per_1000(rows, people)
 
 
-@query("csv_export", r"""select 'n,x,t' as value from (select 1) union all select p_partkey || ',' || regexp_replace(regexp_replace(printf('%.2f', p_size / 8.0), '0+$', ''), '\.$', '') || ',' || case when p_partkey % 3 > 0 then p_brand else '' end from part
-    union all select 'n;x;t' union all select p_partkey || ';' || replace(regexp_replace(regexp_replace(printf('%.2f', p_size / 8.0), '0+$', ''), '\.$', ''), '.', ',') || ';' || case when p_partkey % 3 > 0 then p_brand else '' end from part""")
+@query("csv_export", r"""select 'n,x,t' as value from (select 1) union all select p_partkey || ',' || regexp_replace(regexp_replace(printf('%.2f', p_size / 8.0), '0+$', ''), '\.$', '') || ',' || case p_partkey % 4 when 1 then p_brand when 2 then '"' || p_brand || ', ""A""; b"' when 3 then ' ' || p_brand || ' ' else '' end from part
+    union all select 'n;x;t' union all select p_partkey || ';' || replace(regexp_replace(regexp_replace(printf('%.2f', p_size / 8.0), '0+$', ''), '\.$', ''), '.', ',') || ';' || case p_partkey % 4 when 1 then p_brand when 2 then '"' || p_brand || ', ""A""; b"' when 3 then ' ' || p_brand || ' ' else '' end from part""")
 def csv_export(spark, sf):
-    """A table in both dialects of CSV, as the lines of the files without their byte-order mark."""
-    rows = fx.table(spark, sf, "part").select(C("p_partkey").alias("n"), (C("p_size") / 8).alias("x"), F.when(C("p_partkey") % 3 > 0, C("p_brand")).alias("t"))
+    """A table in both dialects of CSV, as the lines of the files without their byte-order mark: cells with separators,
+    quotes and blanks at their ends, and nulls."""
+    k, brand = C("p_partkey") % 4, C("p_brand")
+    text = F.when(k == 1, brand).when(k == 2, F.concat(brand, L(', "A"; b'))).when(k == 3, F.concat(L(" "), brand, L(" ")))
+    rows = fx.table(spark, sf, "part").select(C("p_partkey").alias("n"), (C("p_size") / 8).alias("x"), text.alias("t"))
     lines = None
     for comma in (False, True):
         path = scratch(spark, "csv")

@@ -14,22 +14,28 @@ from .registry import query
 C, L = F.col, F.lit
 
 
-@query("log_metrics", """select p_partkey as k, p_partkey as scanned, p_partkey % 7 as new, case when p_partkey % 2 = 0 then 's1' end as snapshot, p_partkey % 3 as http_errors, case when p_partkey % 2 = 0 then 2 end as tables,
-    case when p_partkey % 2 = 0 then p_partkey + 5 end as archived, case when p_partkey % 5 = 0 then 2 else 0 end as tracebacks, p_partkey % 4 = 0 as outage from part""")
+@query("log_metrics", """select p_partkey as k, case when p_partkey % 6 < 4 then p_partkey end as scanned, case when p_partkey % 6 < 4 then p_partkey % 7 end as new, case when p_partkey % 6 < 4 then 1 end as removed,
+    case when p_partkey % 2 = 0 then 's1' end as snapshot, p_partkey % 3 as http_errors, case when p_partkey % 3 = 1 then 2 else 0 end as image_errors, case when p_partkey % 2 = 0 then 2 end as tables,
+    case when p_partkey % 2 = 0 then p_partkey + 5 end as archived, case when p_partkey % 4 = 0 then p_partkey when p_partkey % 4 = 1 then 0 end as purged, case when p_partkey % 4 = 1 then true end as purge_refused,
+    case when p_partkey % 5 = 0 then 2 else 0 end as tracebacks, p_partkey % 4 = 0 as outage from part""")
 def log_metrics(spark, sf):
+    """Logs of scans, some with a summary that breaks off, of replications, and of purges done, refused or not tried."""
     k = C("k")
     text = F.concat(
-        k, L(" scanned, "), k % 7, L(" new\n"), F.when(k % 2 == 0, F.concat(L("snapshot : s1\na: 9 server rows → 5 archived\nb: 8 server rows → "), k, L(" archived\n"))).otherwise(""),
-        F.repeat(L("HTTP error 503\n"), (k % 3).cast("int")), F.when(k % 5 == 0, "Traceback\n[ERROR] x\n").otherwise(""), F.when(k % 4 == 0, F.repeat(L("ConnectionError "), 3)).otherwise("ConnectionError"),
+        L("  scannées : "), k, L(" | nouvelles : "), k % 7, L(" | changées : 3 | inchangées : 9\n"), F.when(k % 6 < 4, "retirées : 1 (4 photos)\n").otherwise(""),
+        F.when(k % 2 == 0, F.concat(L("  snapshot : s1\n  a: 9 lignes serveur → 5 en archive\n  b: 8 lignes serveur → "), k, L(" en archive\n"))).otherwise(""),
+        F.when(k % 4 == 0, F.concat(L("✓ "), k, L(" annonces purgées du serveur\n"))).when(k % 4 == 1, "purge ANNULÉE : archive incomplète\n").otherwise(""),
+        F.repeat(L("HTTP error 503\n"), (k % 3).cast("int")), F.when(k % 3 == 1, "upload erreur x\nÉchec GET (bytes)\n").otherwise(""),
+        F.when(k % 5 == 0, "Traceback\n[ERREUR] x\n").otherwise(""), F.when(k % 4 == 0, F.repeat(L("ConnectionError "), 3)).otherwise("ConnectionError"),
     )
     rows = fx.table(spark, sf, "part").select(C("p_partkey").alias("k")).select("k", text.alias("text"))
     out = ledger.log_metrics(rows)
-    return out.select("k", "scanned", "new", "snapshot", "http_errors", "tables", "archived", "tracebacks", ledger.outage(C("text")).alias("outage"))
+    return out.select("k", "scanned", "new", "removed", "snapshot", "http_errors", "image_errors", "tables", "archived", "purged", "purge_refused", "tracebacks", ledger.outage(C("text")).alias("outage"))
 
 
 @query("stage_times", """with p as (select o_custkey as run, o_orderpriority as stage, cast(o_orderkey % 100 as double) as s from orders), r as (select run, sum(s) + 25.0 as whole from p group by 1),
     g as (select run, stage, sum(s) as s, count(*) as calls from p group by 1, 2 union all select run, 'unmeasured', 25.0, 0 from r)
-    select g.run, stage, floor(s * 10 + 0.5) / 10 as seconds, calls, floor(s / whole * 1000 + 0.5) / 10 as share_pct from g join r using (run)""")
+    select g.run, stage, floor(s * 10 + 0.5) / 10 as seconds, calls, floor(s * 1000 / whole + 0.5) / 10 as share_pct from g join r using (run)""")
 def stage_times(spark, sf):
     times = fx.table(spark, sf, "orders").select(C("o_custkey").alias("run"), C("o_orderpriority").alias("stage"), (C("o_orderkey") % 100).cast("double").alias("seconds"))
     return ledger.stage_times(times, times.groupBy("run").agg((F.sum("seconds") + 25.0).alias("seconds")))

@@ -10,7 +10,9 @@ from ..functions import pages as p
 from ..functions import text as t
 from ..operators import ledger, matching
 from ..session import ship_package
+from ..sources import adapters
 from ..sources import fixture as fx
+from ..sources.scratch import scratch
 from .registry import query
 
 C, L = F.col, F.lit
@@ -42,6 +44,11 @@ def struct(**fields) -> Column:
     p_size + 0.5 as area_sqm, p_brand as district, case when p_partkey % 5 > 0 then 1000.0 * p_partkey end as price from part""")
 def list_page_residences(spark, sf):
     """One list page for each part: its residence in a graph, a broken block, and a card with a price for most."""
+    out = residence_pages(spark, sf).select("k", F.explode(p.residences(C("html"))).alias("r"), p.card_prices(C("html")).alias("prices"))
+    return out.select("k", "r.source_url", "r.source_id", "r.deal_type", "r.condo_name", "r.bedrooms", "r.area_sqm", "r.district", F.try_element_at("prices", C("r.source_url")).alias("price"))
+
+
+def residence_pages(spark, sf) -> DataFrame:
     kind = F.when(C("k") % 2 == 0, "rent").otherwise("sales")
     path = F.concat(L("/property-"), kind, L("/tower-"), C("k"), L("-u"), C("k"))
     residence = struct(
@@ -51,10 +58,7 @@ def list_page_residences(spark, sf):
     other = struct(type_=L("Organization"), url=L("https://x.example"), name=L("Site"), numberOfRooms=L(None).cast("bigint"), floorSize=struct(value=L(None).cast("double")), geo=struct(latitude=L(None).cast("double"), longitude=L(None).cast("double")), address=struct(addressLocality=L(None).cast("string")), image=L(None).cast("string"))
     card = F.concat(L("<div><a class='c' href='https://x.example"), path, L("?b=1'>Tower</a><b>"), F.when(C("k") % 5 > 0, F.concat(L("฿ "), F.format_number(C("k") * 1000, 0))).otherwise("on demand"), L("</b></div><a href='/about'>about</a>"))
     html = F.concat(L("<html>"), block(L("{broken")), block(obj(graph_=F.array(other, residence))), card, L("</html>"))
-    rows = parts(spark, sf).select("k", html.alias("html"))
-    out = rows.select("k", F.explode(p.residences(C("html"))).alias("r"), p.card_prices(C("html")).alias("prices"))
-    out = out.select("k", "r.source_url", "r.source_id", "r.deal_type", "r.condo_name", "r.bedrooms", "r.area_sqm", "r.district", F.try_element_at("prices", C("r.source_url")).alias("price"))
-    return out
+    return parts(spark, sf).select("k", html.alias("html"))
 
 
 @query("state_listings", """select p_partkey as k, 'https://y.example/unit-' || p_partkey as source_url, cast(p_partkey as varchar) as source_id, cast(p_retailprice as double) as price, 'Tower ' || p_partkey as condo_name,
@@ -62,6 +66,11 @@ def list_page_residences(spark, sf):
     strftime(to_timestamp(1000000000 + p_partkey) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as posted_at from part where p_partkey % 3 > 0""")
 def state_listings(spark, sf):
     """Listings out of an embedded state, a third of them of another province, each listed twice."""
+    rows = state_pages(spark, sf).select("k", F.explode(p.state_listings(p.state_block(C("html")))).alias("r"))
+    return rows.select("k", "r.source_url", "r.source_id", "r.price", "r.condo_name", "r.bedrooms", "r.address.street", "r.address.khet", "r.address.province", "r.agent_id", F.date_format("r.posted_at", "yyyy-MM-dd HH:mm:ss").alias("posted_at"))
+
+
+def state_pages(spark, sf) -> DataFrame:
     k = C("k")
     road = F.when(k % 2 == 0, F.concat(k, L(" Road, "))).otherwise("")
     entry = struct(
@@ -71,32 +80,104 @@ def state_listings(spark, sf):
     )
     state = F.to_json(F.struct(F.struct(F.struct(F.array(entry, entry).alias("items")).alias("pageProps")).alias("props")))
     html = F.concat(L("<script id='__NEXT_DATA__' type='application/json'>"), state, L("</script>"))
-    rows = parts(spark, sf).select("k", F.explode(p.state_listings(p.state_block(html))).alias("r"))
-    return rows.select("k", "r.source_url", "r.source_id", "r.price", "r.condo_name", "r.bedrooms", "r.address.street", "r.address.khet", "r.address.province", "r.agent_id", F.date_format("r.posted_at", "yyyy-MM-dd HH:mm:ss").alias("posted_at"))
+    return parts(spark, sf).select("k", html.alias("html"))
 
 
 @query("product_feed", """select p_partkey as k, cast(p_partkey as varchar) as source_id, cast(p_retailprice as double) as price, p_size + 0.5 as area_sqm, p_partkey % 3 + 1 as bedrooms, case when p_partkey % 2 = 0 then 2 end as bathrooms,
     case when p_partkey % 2 = 0 then 'Tower ' || p_partkey else 'Sky Tower' end as condo_name, 'bangkok-brand-' || p_partkey % 5 as place_slug from part where p_partkey % 4 > 0""")
 def product_feed(spark, sf):
     """Products out of a feed, a quarter of them of another city."""
+    out = product_pages(spark, sf).select("k", F.explode(p.products(C("html"))).alias("r"))
+    return out.select("k", "r.source_id", "r.price", "r.area_sqm", "r.bedrooms", "r.bathrooms", "r.condo_name", "r.place_slug")
+
+
+def product_pages(spark, sf) -> DataFrame:
     k = C("k")
     name = F.concat((k % 3 + 1).cast("string"), L(" Bedroom "), F.when(k % 2 == 0, "2 Bathroom ").otherwise(""), F.format_string("%.1f", C("p_size") + 0.5), L(" Sq.m "),
                     F.when(k % 2 == 0, F.concat(L("Luxury Condo for Sale on 5th floor at Tower "), k)).otherwise("Brand new Sky Tower for rent"), L(", Bangkok"))
     city = F.when(k % 4 > 0, "bangkok").otherwise("phuket")
     product = struct(type_=L("Product"), name=name, sku=k, description=L("short"), offers=struct(url=F.concat(L("https://z.example/property/"), city, L("-brand-"), k % 5, L("/x-"), k, L("?u=1")), price=C("p_retailprice")))
     html = block(F.to_json(F.struct(F.array(F.struct(product.alias("item"))).alias("list"))))
-    out = parts(spark, sf).select("k", F.explode(p.products(html)).alias("r"))
-    return out.select("k", "r.source_id", "r.price", "r.area_sqm", "r.bedrooms", "r.bathrooms", "r.condo_name", "r.place_slug")
+    return parts(spark, sf).select("k", html.alias("html"))
 
 
 @query("item_list", """select p_partkey as k, 'https://w.example/u' || p_partkey as source_url, cast(p_retailprice as double) as price, p_name as condo_name, cast(p_partkey % 4 as int) as bedrooms, p_brand as district, 13.5 as lat from part where p_partkey % 6 > 0""")
 def item_list(spark, sf):
+    out = item_pages(spark, sf).select("k", F.explode(p.listed_items(C("html"))).alias("r"))
+    return out.select("k", "r.source_url", "r.price", "r.condo_name", "r.bedrooms", "r.district", "r.lat")
+
+
+def item_pages(spark, sf) -> DataFrame:
     k = C("k")
     about = struct(numberOfBedrooms=k % 4, address=struct(addressLocality=C("p_brand")), geo=struct(latitude=L("13.5"), longitude=L("100.5")), containedInPlace=struct(name=C("p_name")))
     item = struct(type_=F.when(k % 6 > 0, "RealEstateListing").otherwise("Offer"), url=F.concat(L("https://w.example/u"), k, L("#a")), name=L("t"), offers=struct(price=C("p_retailprice").cast("string")), about=about)
     html = F.concat(block(L('{"@type":"WebSite"}')), block(obj(type_=L("ItemList"), itemListElement=F.array(F.struct(item.alias("item"))))))
-    out = parts(spark, sf).select("k", F.explode(p.listed_items(html)).alias("r"))
-    return out.select("k", "r.source_url", "r.price", "r.condo_name", "r.bedrooms", "r.district", "r.lat")
+    return parts(spark, sf).select("k", html.alias("html"))
+
+
+# All sites by their adapters
+
+ADAPTED = """select 'residences' as source, 'https://x.example/property-' || case when p_partkey % 2 = 0 then 'rent' else 'sales' end || '/tower-' || p_partkey || '-u' || p_partkey as source_url, cast(p_partkey as varchar) as source_id,
+        'Tower ' || p_partkey as condo_name, null as price, p_size + 0.5 as area_sqm, cast(case when p_partkey % 7 > 0 then p_partkey % 7 end as int) as bedrooms, p_brand as district from part
+    union all select 'state', 'https://y.example/unit-' || p_partkey, cast(p_partkey as varchar), 'Tower ' || p_partkey, cast(p_retailprice as double), null, cast(case when p_partkey % 4 > 0 then p_partkey % 4 end as int), p_brand from part where p_partkey % 3 > 0
+    union all select 'products', 'https://z.example/property/bangkok-brand-' || p_partkey % 5 || '/x-' || p_partkey, cast(p_partkey as varchar), null, cast(p_retailprice as double), p_size + 0.5, cast(p_partkey % 3 + 1 as int), null from part where p_partkey % 4 > 0
+    union all select 'items', 'https://w.example/u' || p_partkey, 'https://w.example/u' || p_partkey, p_name, cast(p_retailprice as double), null, cast(p_partkey % 4 as int), p_brand from part where p_partkey % 6 > 0"""
+KEPT = ("source", "source_url", "source_id", "case when source <> 'products' then condo_name end as condo_name", "price", "area_sqm", "bedrooms", "district")
+
+
+def site_pages(spark, sf) -> DataFrame:
+    """(source, url, html): the pages of all sites, with blocks that are nested too deep, that are no JSON, and none."""
+    made = {"residences": residence_pages, "state": state_pages, "products": product_pages, "items": item_pages}
+    out = None
+    for source, pages in made.items():
+        deep = block(F.concat(F.repeat(L("["), 50_000), F.repeat(L("]"), 50_000)))
+        html = F.when(C("k") % 50 == 1, F.concat(deep, C("html"))).otherwise(C("html"))
+        rows = pages(spark, sf).select(L(source).alias("source"), F.concat(L("https://"), L(source), L("/page/"), C("k")).alias("url"), html.alias("html"))
+        out = rows if out is None else out.union(rows)
+    return out.union(fx.table(spark, sf, "pages").select(L("items"), "url", "html"))
+
+
+@query("page_table_function", ADAPTED)
+def page_table_function(spark, sf):
+    """Pages to their listings by a lateral join with a table function."""
+    adapters.register(spark)
+    site_pages(spark, sf).createOrReplaceTempView("site_pages")
+    return spark.sql("select p.source, l.* from site_pages p, lateral page_listings(p.source, p.html) l").selectExpr(*KEPT)
+
+
+@query("page_source", ADAPTED)
+def page_source(spark, sf):
+    """Pages in a folder of each site as a data source."""
+    return spark.read.format("listing_pages").load(page_folder(spark, sf)).selectExpr(*KEPT)
+
+
+def page_folder(spark, sf, only: str = "true") -> str:
+    adapters.register(spark)
+    path = scratch(spark, "pages")
+    site_pages(spark, sf).where(only).write.partitionBy("source").json(path)
+    return path
+
+
+@query("page_source_stream", ADAPTED)
+def page_source_stream(spark, sf):
+    """The same as a stream into a table: a second run over the same folder finds nothing new."""
+    path, out = page_folder(spark, sf), scratch(spark, "listings")
+    for _ in range(2):
+        stream = spark.readStream.format("listing_pages").load(path)
+        stream.writeStream.option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).format("parquet").option("path", out).start().awaitTermination()
+    return spark.read.parquet(out).selectExpr(*KEPT)
+
+
+@query("adapter_probes", """select * from (values ('residences', true, ''), ('products', true, ''), ('items', true, ''), ('state', true, ''), ('other', false, 'no such adapter')) t(source, ok, reason) where (select count(*) from part) > 0
+    union all select 'state', false, 'no embedded state: the site''s structure has changed, or the page is none of its lists' from part where p_partkey = 7""")
+def adapter_probes(spark, sf):
+    """Whether each site's first page is as its adapter expects, before a scan; once with a site that has changed."""
+    path, changed = page_folder(spark, sf, "url like '%/page/5'"), scratch(spark, "pages")
+    one = parts(spark, sf).where("k = 7").select("k", F.concat(L("https://a/"), C("k")).alias("url"), L("<p>new design</p>").alias("html"))
+    one.select(L("state").alias("source"), "url", "html").coalesce(1).write.partitionBy("source").json(changed)
+    one.select(L("other").alias("source"), "url", "html").coalesce(1).write.mode("append").partitionBy("source").json(path)
+    probe = lambda x: spark.read.format("listing_pages").option("probe", True).load(x)
+    return probe(path).union(probe(changed)).select("source", "ok", F.when(C("ok"), "").otherwise(C("reason")).alias("reason"))
 
 
 @query("page_records", """select p_partkey as k, case p_partkey % 3 when 0 then 'Blue Hill' when 1 then 'Green Town' end as district, cast(p_retailprice as double) as price, cast(p_partkey as varchar) as source_id,
@@ -132,7 +213,7 @@ def description_cascade(spark, sf):
     return parts(spark, sf).select("k", p.description(html, state).alias("description"))
 
 
-SQL_LINES = """array_to_string([trim(x) for x in string_split(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'),
+SQL_LINES = """array_to_string([trim(x) for x in string_split(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'),
     '[ \\t]+', ' ', 'g'), '\\n{3,}', '\n\n', 'g'), chr(10))], chr(10))"""
 CODE = t.CODE_MARK.replace("'", "''")
 

@@ -183,9 +183,13 @@ def csv_text(df: DataFrame, comma: bool = False) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, comma: bool = False) -> None:
-    """Write a table as CSV with a byte-order mark and a header: ',' and decimal points, or ';' and decimal commas."""
+    """Write a table as CSV with a byte-order mark and a header: ',' and decimal points, or ';' and decimal commas.
+
+    Cells are bare, but those with a separator, a quote or a line break, which are quoted with their quotes doubled.
+    """
     out = csv_text(df, comma)
-    out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0]).write.option("header", True).option("sep", ";" if comma else ",").option("emptyValue", "").option("quote", "").csv(path)
+    dialect = {"sep": ";" if comma else ",", "emptyValue": "", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0]).write.options(header=True, **dialect).csv(path)
 
 
 def write_edition(edition: DataFrame, path: str) -> None:
