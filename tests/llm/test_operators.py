@@ -302,27 +302,41 @@ def test_lm_scores_are_the_models(spark, corpus, monkeypatch, contexts, bucket,
     assert np.isfinite([r.score for r in got.values()]).all()
 
 
-def test_gibbs_sweeps_keep_the_law_of_tables():
-    """Tables of c customers at one dish have the weights S_d(c, t) new^t, S_d: generalised Stirling numbers."""
+@pytest.mark.parametrize(("c", "new", "d"), [(1, 0.5, 0.4), (7, 0.8, 0.4), (100, 3.0, 0.7), (lm.EXACT, 0.3, 0.9), (1500, 0.1, 0.7), (1500, 200.0, 0.8), (3000, 40.0, 0.3), (10_000, 2.0, 0.5)])
+def test_a_sweep_keeps_the_law_of_tables(c, new, d):
+    """Tables of c customers at one dish have the weights S(c, t) new^t, S: generalised Stirling numbers, from the first
+    sweep on, as all customers are seated anew."""
     import numpy as np
 
-    c, d, new, n = 7, 0.4, 0.8, 4000
-    s = np.zeros((c + 1, c + 1))
-    s[0, 0] = 1
-    for i in range(1, c + 1):
-        for t in range(1, i + 1):
-            s[i, t] = s[i - 1, t - 1] + (i - 1 - d * t) * s[i - 1, t]
-    law = s[c] * new ** np.arange(c + 1)
+    row = np.zeros(1)
+    with np.errstate(divide="ignore"):
+        for n in range(2, c + 1):
+            row = np.logaddexp(np.append(-np.inf, row), np.append(row + np.log(n - 1 - d * np.arange(1, len(row) + 1)), -np.inf))[:1200]
+    law = row + np.arange(1, len(row) + 1) * np.log(new)
+    law = np.exp(law - law.max())
     law /= law.sum()
-    rng = np.random.default_rng(4)
-    sizes, t = lm.begun(np.full(n, c), np.full(n, new), d)
-    for _ in range(12):
-        sizes, t = lm.reseated(sizes, t, np.full(n, c), np.full(n, new), d, rng, 4)
-    assert sizes.sum() == c * n and len(sizes) == t.sum()
-    assert abs(np.bincount(t, minlength=c + 1) / n - law).max() < 0.03
-    # Customers that came or left between sweeps are seated or taken out.
-    sizes, t = lm.reseated(sizes, t, np.where(np.arange(n) % 2, 3, 11), np.full(n, new), d, rng, 1)
-    assert (np.add.reduceat(sizes, np.cumsum(t) - t) == np.where(np.arange(n) % 2, 3, 11)).all() and sizes.min() == 1
+    n = 20_000
+    t = lm.seated(np.full(n, c), np.full(n, new), d, np.random.default_rng(4))
+    assert t.min() >= 1 and t.max() <= c
+    seen = np.bincount(t, minlength=len(law) + 1)[1 : len(law) + 1] / n
+    noise = np.sqrt(2 / np.pi * law * (1 - law) / n).sum()
+    assert abs(seen - law).sum() < 1.5 * noise + 0.02
+    assert abs((seen * np.arange(1, len(law) + 1)).sum() / (law * np.arange(1, len(law) + 1)).sum() - 1) < 0.01
+
+
+def test_seating_depends_on_nothing_but_its_draw():
+    import numpy as np
+
+    c, new = np.array([0, 1, 2, 5000, 3, 2, 900]), np.array([1.0, 1.0, 1e9, 1e-9, 1e-12, 1e9, 1e9])
+    t = lm.seated(c, new, 0.5, np.random.default_rng(1))
+    assert t.tolist()[:6] == [0, 1, 2, 1, 1, 2] and t[6] > 890
+
+
+def test_contexts_are_cut_exactly(spark):
+    texts = [" ".join(f"w{i}" for i in range(300)), "often often"]
+    for most in (0, 1, 120, 400):
+        words = lm.frequent(lm.vocabulary(docs(spark, texts)), 2, most)
+        assert words.contexts == 1 + min(most, 301) and (most == 0 or words.count[1] == 2)
 
 
 def test_lm_knows_word_order(spark):
