@@ -1,6 +1,6 @@
 """A uniform shuffle into shards of exact sizes by a hypergeometric communication matrix, in DataFrame operations only.
 
-Rows lie in partitions (by a hash of the row). How many rows of partition p go to shard s is drawn exactly as a uniform
+Rows lie in partitions (by a hash of the row, copies of a row told apart by numbers). How many rows of partition p go to shard s is drawn exactly as a uniform
 permutation would have it: the matrix is split recursively, halves of the partitions against all shards, each cell by a
 hypergeometric draw. Then each partition is permuted locally and dealt out by its row of the matrix (the exchange), and
 each shard is permuted again. Nothing is sorted over the whole input.
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_ROWS, stage
+
 ROWS_PER_PARTITION = 1024
 MOST_PARTITIONS = 65_536
 
@@ -118,13 +120,34 @@ def matrix(counts: DataFrame, partitions: int, shards: int, seed: int) -> DataFr
     return node.select(F.col("lo").alias("part"), ends.alias("ends"))
 
 
+def dealt(rows: DataFrame, partitions: int) -> DataFrame:
+    """`rows` (row, h) with their partition `part`. Copies of a row meet in one, to be numbered there; those that alone
+    would fill it are numbered by shares here, their numbers hashed into h, and so lie in any partition. Which copy has
+    which number makes no difference, as they are equal."""
+    heavy = stage(rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > ROWS_PER_PARTITION).select("h"))
+    if heavy.head(1):
+        n_heavy = heavy.limit(BROADCAST_ROWS + 1).count()  # a thousandth of the rows at most
+        known = heavy.select(F.col("h").alias("heavy"))
+        marked = rows.join(F.broadcast(known) if n_heavy <= BROADCAST_ROWS else known, F.col("h") == F.col("heavy"), "left")
+        # Written, so that a task run again finds each copy in the share that it had.
+        own = stage(marked.where("heavy is not null").drop("heavy").withColumn("share", F.pmod(F.monotonically_increasing_id(), F.lit(partitions)).cast("int")))
+        before = W.partitionBy("h").orderBy("share").rowsBetween(W.unboundedPreceding, -1)
+        starts = own.groupBy("h", "share").agg(F.count("*").alias("n")).select("h", "share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
+        place = F.row_number().over(W.partitionBy("h", "share").orderBy(F.lit(0)))
+        numbered = own.withColumn("place", place).join(starts, ["h", "share"])
+        numbered = numbered.select("row", F.xxhash64("h", F.col("from") + F.col("place")).alias("h"))
+        rows = marked.where("heavy is null").drop("heavy").union(numbered)
+    return rows.withColumn("part", F.pmod("h", F.lit(partitions)).cast("int"))
+
+
 def shard_rows(docs: DataFrame, shards: int, seed: int = 20, by: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """Every input row with its `shard` and `slot`: a uniform shuffle whose shards differ by one row at most.
 
     The draw depends on the seed, the columns named in `by` and the number of rows, not on how the input lies, so a
-    task run again gives the same rows. Rows equal in all of `by` are interchangeable. Slots of a shard are gapless
-    from 0. Nulls are values like any other and an empty table gives an empty result; columns named shard or slot are
-    replaced, all others are carried, whatever their names.
+    task run again gives the same rows. Rows equal in all of `by` are interchangeable, and each copy lies anywhere as
+    rows that differ do. Slots of a shard are gapless from 0. Nulls are values like any other and an empty table gives
+    an empty result; very long texts are carried as they are; columns named shard or slot are replaced, all others are
+    carried, whatever their names.
     """
     n = docs.count()
     partitions = 1
@@ -133,16 +156,19 @@ def shard_rows(docs: DataFrame, shards: int, seed: int = 20, by: tuple[str, ...]
     docs = docs.drop("shard", "slot")
     # The input's columns travel as one, so that none of them can clash with those used here.
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(*[F.col(c) for c in by], F.lit(seed)).alias("h"))
-    rows = rows.withColumn("part", F.pmod("h", F.lit(partitions)).cast("int"))
-    deal = matrix(rows.groupBy("part").agg(F.count("*").alias("n")), partitions, shards, seed)
     ties = [F.col("row")[c] for c in by]
-    local = W.partitionBy("part").orderBy(F.xxhash64("h", F.lit(1)), "h", *ties)
+    rows = dealt(rows, partitions)
+    deal = matrix(rows.groupBy("part").agg(F.count("*").alias("n")), partitions, shards, seed)
+    # Both windows lie on this one exchange. Copies differ by their numbers from here on.
+    rows = rows.repartition("part").withColumn("copy", F.row_number().over(W.partitionBy("part", "h", *ties).orderBy(F.lit(0))))
+    local = W.partitionBy("part").orderBy(F.xxhash64("h", "copy", F.lit(1)), "h", "copy", *ties)
     rows = rows.withColumn("rank", F.row_number().over(local) - 1).join(deal, "part")
     rows = rows.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
     # The second permutation: a shard's rows lie in sub-blocks in the order of a new hash, each ranked on its own.
     blocks = max(1, partitions // shards)
-    rows = rows.select("row", "shard", "h", F.xxhash64("h", F.lit(2)).alias("again"), F.floor(unit(F.col("h"), F.lit(3)) * blocks).cast("int").alias("block"))
-    ranked = rows.withColumn("at", F.row_number().over(W.partitionBy("shard", "block").orderBy("again", "h", *ties)) - 1)
+    block = F.floor(unit(F.col("h"), F.col("copy"), F.lit(3)) * blocks).cast("int").alias("block")
+    rows = rows.select("row", "shard", "h", "copy", F.xxhash64("h", "copy", F.lit(2)).alias("again"), block)
+    ranked = rows.withColumn("at", F.row_number().over(W.partitionBy("shard", "block").orderBy("again", "h", "copy", *ties)) - 1)
     if blocks == 1:
         return ranked.select("row.*", "shard", F.col("at").cast("long").alias("slot"))
     sizes = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))

@@ -458,6 +458,27 @@ def test_shards_are_exact_and_uniform(spark):
     assert sorted((r.doc_id, r.shard, r.slot) for r in rows) == sorted((r.doc_id, r.shard, r.slot) for r in again)
 
 
+@pytest.mark.parametrize("most", [1024, 16])
+def test_copies_of_rows_lie_anywhere(spark, monkeypatch, most):
+    monkeypatch.setattr(sharding, "ROWS_PER_PARTITION", most)
+    one = spark.range(4000).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("copy").alias("text"), F.col("id").alias("extra"))
+    thrice = spark.range(2400).select((F.col("id") % 800).alias("doc_id"), F.lit("t").alias("text"), F.col("id").alias("extra"))
+    rows = sharding.shard_rows(one.union(thrice), 40).collect()
+    assert sorted(Counter(r.shard for r in rows).values()) == [160] * 40 and len({r.extra + 10_000 * (r.doc_id < 0) for r in rows}) == 6400
+    assert len({(r.shard, r.slot) for r in rows}) == 6400
+    copies = Counter(r.shard for r in rows if r.doc_id < 0)
+    chi = sum((copies[s] - 100) ** 2 / (100 * (1 - 4000 / 6400)) for s in range(40))  # of 160 places each, 39 degrees of freedom
+    assert 10 < chi < 90
+    at = {(r.shard, r.slot): r.doc_id for r in rows}
+    together = sum(at.get((s, i + 1), -2) == d for (s, i), d in at.items() if d >= 0)
+    assert together <= 12  # neighbours in a shard that are copies: 2400 * 2 / 6400 by chance
+    shards = {}
+    for r in rows:
+        if r.doc_id >= 0:
+            shards.setdefault(r.doc_id, []).append(r.shard)
+    assert sum(len(set(x)) == 1 for x in shards.values()) <= 6 and sum(len(set(x)) == 3 for x in shards.values()) > 680
+
+
 def test_hypergeometric_draws(spark):
     n, good, drawn = 40, 12, 15
     got = Counter(r[0] for r in spark.range(20000).select(sharding.hypergeometric(F.lit(n), F.lit(good), F.lit(drawn), (F.col("id") + 0.5) / 20000)).collect())
