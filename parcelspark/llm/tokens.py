@@ -1,6 +1,8 @@
 """Token counts by a map-side two-tier lookup: no word is ever shuffled.
 
-Texts fall apart at white space, which the tokenizer drops, so a document's tokens are the sum over its words. The
+Texts fall apart at white space where the tokenizer drops it, or in front of single spaces where its pre-tokenizer begins
+a pre-token there, so a document's tokens are the sum over its words; texts of any other tokenizer go to the library
+whole. The
 first tier is a compact hash table, broadcast: the most frequent words of a bounded sample of documents with their
 numbers of tokens. The second is a cache in each worker of the words that the
 library has encoded there. Documents in which white space and the tokenizer might disagree go to the library whole.
@@ -8,6 +10,7 @@ library has encoded there. Documents in which white space and the tokenizer migh
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import Counter
@@ -19,11 +22,15 @@ from pyspark.sql import functions as F
 
 #: Words of a worker's cache before it is emptied.
 CACHE_WORDS = 400_000
+#: Characters of the longest word that is kept.
+CACHE_CHARS = 64
 SAMPLE_DOCS = 512
 TABLE_WORDS = 20_000
 #: A special string may lie in the text, or a control character that only Python takes for white space.
 WHOLE = re.compile("<\\||[\x1c-\x1f]")
 
+AHEAD = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
+
 _workers: dict[str, tuple] = {}
 
 
@@ -38,11 +45,32 @@ def load(path: str):
     return tokenizer
 
 
+def cut_of(tokenizer) -> str:
+    """Where texts may be cut for a tokenizer: "space" if its normaliser makes white space one space and its
+    pre-tokenizer drops it, "ahead" if it is byte-level by the usual pattern, which begins a pre-token with a space that
+    stands between visible characters, else "no"."""
+    said = json.loads(tokenizer.to_str())
+    steps = lambda x, many: [] if x is None else x[many] if x["type"] == "Sequence" else [x]
+    normalisers, first = steps(said["normalizer"], "normalizers"), (steps(said["pre_tokenizer"], "pretokenizers") or [{}])[0]
+    squeezed = any(n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " " for n in normalisers)
+    known = all(n["type"] in ("NFC", "Lowercase", "Replace") for n in normalisers) and sum(n["type"] == "Replace" for n in normalisers) == squeezed
+    pattern = (first.get("pattern") or {}).get("Regex", "")
+    if known and squeezed and first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and " " not in pattern and "\\s" not in pattern.replace("[^\\s", ""):
+        return "space"
+    if not normalisers and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space"):
+        return "ahead"
+    return "no"
+
+
+def words_of(text: str, cut: str) -> list[str]:
+    return text.split() if cut == "space" else AHEAD.split(text) if cut == "ahead" else [text]
+
+
 def lengths(tokenizer, texts: list[str]) -> list[int]:
     return [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def frequent_words(docs: DataFrame, tokenizer) -> dict[str, int]:
+def frequent_words(docs: DataFrame, tokenizer, cut: str) -> dict[str, int]:
     """The broadcast table: at most TABLE_WORDS words of SAMPLE_DOCS documents, with their numbers of tokens.
 
     The documents are of the least hashes of their ids; those over 64 KiB are left out. The table only saves time; its
@@ -52,7 +80,7 @@ def frequent_words(docs: DataFrame, tokenizer) -> dict[str, int]:
     most = keyed.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]  # without the texts
     counts: Counter[str] = Counter()
     for row in keyed.where((F.col("h") <= most) & (F.octet_length("text") <= 65_536)).limit(SAMPLE_DOCS).toLocalIterator():
-        counts.update((row.text or "").split())
+        counts.update(w for w in words_of(row.text or "", cut) if len(w) <= CACHE_CHARS)
     words = [w for w, _ in counts.most_common(TABLE_WORDS)]
     return dict(zip(words, lengths(tokenizer, words), strict=True))
 
@@ -61,10 +89,13 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     Counts are those of the library for the file at `path` (which every executor has), without begin, end or added
-    special tokens. Null texts are empty. Other columns are ignored; rows that repeat are counted each.
+    special tokens. Null texts are empty, very long ones are counted whole; other columns are ignored; rows that repeat are
+    counted each; an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    table = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, load(path)))
+    tokenizer = load(path)
+    cut = cut_of(tokenizer)
+    table = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, tokenizer, cut) if cut != "no" else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _workers:
@@ -75,11 +106,11 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             texts = [t or "" for t in batch.column("text").to_pylist()]
             n_tokens = [0] * len(texts)
             for i, text in enumerate(texts):
-                if WHOLE.search(text):
+                if cut == "no" or WHOLE.search(text):
                     n_tokens[i] = lengths(tokenizer, [text])[0]
                     continue
                 total, missed = 0, []
-                for word in text.split():
+                for word in words_of(text, cut):
                     n = first.get(word)
                     if n is None and (n := cache.get(word)) is None:
                         missed.append(word)
@@ -91,7 +122,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     total += sum(new[w] * n for w, n in counts.items())
                     if len(cache) + len(new) > CACHE_WORDS:
                         cache.clear()
-                    cache.update(new)
+                    cache.update((w, n) for w, n in new.items() if len(w) <= CACHE_CHARS)
                 n_tokens[i] = total
             n_bytes = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays(

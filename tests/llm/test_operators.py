@@ -387,6 +387,25 @@ def test_format_conversations(spark):
 # 5 token counts
 
 
+@pytest.mark.parametrize(("name", "cut"), [("word_bpe_49k.json", "space"), ("byte_bpe_50k.json", "ahead")])
+def test_token_counts_are_the_librarys_for_each_file(spark, name, cut):
+    path = pytest.importorskip("public_tokenizers").path(name)
+    tokenizer = tokens.load(path)
+    assert tokens.cut_of(tokenizer) == cut
+    texts = [None, "", " ", "a  b\n\tc ", "it's  'll 12 345!  ", "x\u00a0y \u00a0 z", "é é  ç\r\n", "<|endoftext|> a <|endoftext|>", "a" * 300 + " b", "日本 語 x", "tab\there \x1c odd", "don 't", "a " * 50_000]
+    got = {r.doc_id: r.n_tokens for r in tokens.token_counts(docs(spark, texts), path).collect()}
+    assert [got[i] for i in range(len(texts))] == tokens.lengths(tokenizer, [t or "" for t in texts])
+
+
+def test_unknown_tokenizers_are_never_cut():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    own = Tokenizer(models.BPE())
+    assert tokens.cut_of(own) == "no"
+    own.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    assert tokens.cut_of(own) == "no"
+
+
 def test_token_counts(spark, corpus):
     public = pytest.importorskip("public_tokenizers")
     path = public.path("word_bpe_49k.json")
@@ -622,6 +641,15 @@ def test_exact_duplicates_with_colliding_identifiers(spark, monkeypatch, most):
     assert got == {0: 0, 1: 1, 2: 0, 3: 3}
 
 
+def test_chunks_of_scripts_without_spaces(spark):
+    rng = random.Random(3)
+    chinese = "".join(chr(rng.choice([0x7684, 0x4E00, 0x662F, *range(0x4E00, 0x4F00)])) for _ in range(20_000))
+    korean = " ".join("".join(chr(rng.randrange(0xAC00, 0xAD00)) for _ in range(3)) for _ in range(5_000))
+    rows = [(t, t[:100] + "x" + t[100:]) for t in (chinese, korean)]
+    for r in spark.createDataFrame(rows, "a string, b string").select(exact.chunks(F.col("a")).alias("a"), exact.chunks(F.col("b")).alias("b")).collect():
+        assert "".join(r.a) in (chinese, korean) and len(set(r.a) - set(r.b)) <= 2 and len(r.a) > 20
+
+
 def test_exact_duplicates_edges(spark):
     assert exact.exact_duplicates(docs(spark, [])).count() == 0
     rows = exact.exact_duplicates(docs(spark, ["a", "a", None, ""], ids=[None, 4, None, None])).collect()
