@@ -2,8 +2,9 @@
 
 Items and documents are lower-cased (A-Z) and cut into words. The windows of the items make a hash set that is broadcast
 when its counted size is bounded, and joined by shuffle otherwise. A document's windows are scanned segment by segment,
-so a very long text is never expanded at once. Where the set is broadcast, a filter of a byte a slot, made of the first
-words of all its windows, is in the plan: only places that pass it become windows. A window matches by its characters,
+so a very long text is never expanded at once. A filter of a byte a slot, made of the first words of all windows of the
+items, is in the plan: only places that pass it become windows, whether these then meet the set by broadcast or by
+shuffle. A window matches by its characters,
 so a hit is verified as it is found.
 """
 
@@ -22,6 +23,11 @@ BROADCAST_WINDOWS = 300_000
 SEGMENT = 2048
 #: First words of a window (all, if it has fewer) that the filter looks at, and slots of the filter for each window.
 LEAD, SLOTS = 3, 16
+#: The filter's slots at most, a byte each; beyond a million windows more places pass it.
+MOST_SLOTS = 1 << 24
+
+
+_BITS = [bytes(x >> k & 1 for k in range(8)) for x in range(256)]
 
 
 def words(text: Column) -> Column:
@@ -40,13 +46,16 @@ def slot(word_at, lead: int, slots: int) -> Column:
 
 
 def lead_filter(windows: DataFrame, slots: int) -> bytes:
-    """A byte for each slot, 1 where a window's first words fall."""
+    """A byte for each slot, 1 where a window's first words fall. Slots come to the driver as bitmaps of 32,768."""
     ws = F.split("gram", " ")
     lead = F.least("len", F.lit(LEAD))
     own = F.coalesce(*[F.when(lead == n, slot(lambda k: ws[k], n, slots)) for n in range(1, LEAD + 1)])
+    rows = windows.select(own.cast("long").alias("slot"))
+    maps = rows.groupBy(F.shiftright("slot", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % 32_768).alias("bits")).collect()
     out = bytearray(slots)
-    for row in windows.select(own.alias("slot")).distinct().collect():  # at most `slots` of them
-        out[row.slot] = 1
+    for row in maps:
+        begin = row.part << 15
+        out[begin : begin + 32_768] = b"".join([_BITS[x] for x in row.bits])[: slots - begin]
     return bytes(out)
 
 
@@ -89,8 +98,8 @@ def contamination(
     )
     found = none = F.array().cast("array<struct<at:int,gram:string>>")
     ws = F.col("seg.ws")
-    if few:
-        slots = 1 << max(10, (SLOTS * n_windows - 1).bit_length())
+    if lengths:
+        slots = min(MOST_SLOTS, 1 << max(10, (SLOTS * (n_windows if few else grams_.count()) - 1).bit_length()))
         passes = F.lit(lead_filter(grams_, slots))
         for lead in sorted({min(n, LEAD) for n in lengths}):
             last = F.size(ws) - lead
@@ -101,7 +110,7 @@ def contamination(
             rows = rows.withColumn(f"lead{lead}", F.when(last >= 0, hit).otherwise(F.array().cast("array<int>")))
     for n in lengths:
         last = F.least(F.size(ws) - n, F.lit(SEGMENT - 1))
-        places = F.filter(f"lead{min(n, LEAD)}", lambda i: i <= last) if few else F.sequence(F.lit(0), F.greatest(last, F.lit(0)))  # noqa: B023
+        places = F.filter(f"lead{min(n, LEAD)}", lambda i: i <= last)  # noqa: B023
         every = F.transform(places, lambda i: F.struct((i + F.col("seg.at")).cast("int").alias("at"), F.array_join(F.slice(ws, i + 1, n), " ").alias("gram")))  # noqa: B023
         found = F.concat(found, F.when(last >= 0, every).otherwise(none))
     # One more row per document, without a window, keeps documents that nothing hits.
