@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, stage
 
-#: A chunk has at least 128 characters, ends after a word that ends in one of these, and has at most 2,048 characters.
-CHUNK = r"(?s).{128,2047}?[dnstr]\x20|.{1,2048}"
+#: A chunk has at least 128 and at most 2,048 characters. It ends after a word that ends in one of a few letters or in one
+#: beyond ASCII, or, in scripts that have no spaces, after a mark or one of their commonest characters.
+CHUNK = r"(?s).{128,2046}?(?:(?:[dnstr]|[^\x00-\x7F])\x20|[。．，、！？；：…的一是了不のはをにがでกานรา])|.{1,2048}"
 #: Most colliding identifiers that go into the plan as values; beyond, all texts are compared by their characters too.
 MOST_COLLIDING = 10_000
 
