@@ -264,7 +264,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
 def frequent_bound(counts: DataFrame, most: int) -> int:
     """The least power of two such that at most `most` pairs are counted as often; 0 if all pairs are no more than that."""
     rows = counts.groupBy(F.length(F.bin("count")).alias("digits")).count().collect()  # 64 rows at most
-    total, bound = 0, 1 << 63
+    total, bound = 0, (1 << 63) - 1
     for r in sorted(rows, key=lambda r: -r["digits"]):
         total += r["count"]
         if total > most:
