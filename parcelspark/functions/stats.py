@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,29 +35,66 @@ def middle_start(count: Column, n: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.floor(count / 2).cast("int") - n // 2, count - n))
 
 
-def with_middle(df: DataFrame, group: list[str], value: Column, out: str, n: int = 3) -> DataFrame:
-    """Add `out`: the value where it is one of the n about the middle of its group's values over zero, else null. Its
-    mean over the group is the mean of the n middle values; ranks come from a window, no group is collected."""
-    w = W.partitionBy(*group)
-    v = positive(value)
-    ranked = df.withColumn(out, v).withColumn("__n", F.count(v).over(w)).withColumn("__r", F.row_number().over(w.orderBy(v.asc_nulls_last())) - 1)
-    start = middle_start(F.col("__n"), n)
-    inner = (F.col("__r") >= start) & (F.col("__r") < start + n) & (F.col("__r") < F.col("__n"))
-    return ranked.withColumn(out, F.when(inner, F.col(out))).drop("__n", "__r")
+def value_range(v: Column) -> Column:
+    """A number for the range in which a value lies, greater for greater values: 64 to a doubling, and both signs."""
+    return (F.signum(v) * (F.floor(F.log2(F.abs(v)) * 64) + 100_000)).cast("long")
 
 
-def winsorised(df: DataFrame, group: list[str], value: str, out: str, low: float = 0.05, high: float = 0.95, least_n: int = 20) -> DataFrame:
-    """Add `out`: value, clamped to its group's quantiles s[min(n - 1, floor(p n))] where the group has `least_n` values.
+def order_statistics(df: DataFrame, group: list[str], value: str, ranks: Callable[[Column], Column]) -> DataFrame:
+    """(key, n, at) per group with values: the struct of `group`, how many values are not null, and a map from each rank
+    (from 0) of the array ranks(n) to the value there.
 
-    Ranks come from one window on the group; no group is collected.
+    Selection without sorting a group anywhere: equal values are counted together, the counts of value ranges say in
+    which range a rank lies, and only such ranges are put in order, each on its own. However many rows a group has, no
+    task holds more than one range of its distinct values.
     """
-    w = W.partitionBy(*group)
-    n = F.count(value).over(w)
-    rank = F.row_number().over(w.orderBy(value)) - 1
-    at = lambda p: F.max(F.when(F.col("__r") == F.least(F.col("__n") - 1, F.floor(F.col("__n") * p)), F.col(value))).over(w)
-    ranked = df.withColumn("__n", n).withColumn("__r", rank)
-    clamped = F.when(F.col("__n") >= least_n, F.least(at(high), F.greatest(at(low), F.col(value)))).otherwise(F.col(value))
-    return ranked.withColumn(out, clamped).drop("__n", "__r")
+    v = F.col(value).cast("double")
+    counts = df.where(v.isNotNull()).groupBy(F.struct(*group).alias("key"), (v + F.lit(0.0)).alias("v")).agg(F.count("*").alias("c"))
+    counts = counts.withColumn("range", F.when(F.col("v") == 0, 0).otherwise(value_range(F.col("v"))))
+    per = counts.groupBy("key", "range").agg(F.sum("c").alias("c"))
+    w = W.partitionBy("key")
+    per = per.withColumns({"n": F.sum("c").over(w), "below": F.coalesce(F.sum("c").over(w.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
+    wanted = per.withColumn("k", F.filter(F.array_distinct(ranks(F.col("n"))), lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("c"))))
+    found = counts.join(wanted.where(F.size("k") > 0).select("key", "range", "n", "below", "k"), ["key", "range"])
+    ahead = F.sum("c").over(W.partitionBy("key", "range").orderBy("v").rowsBetween(W.unboundedPreceding, -1))
+    found = found.withColumn("from", F.col("below") + F.coalesce(ahead, F.lit(0)))
+    hit = F.filter("k", lambda r: (r >= F.col("from")) & (r < F.col("from") + F.col("c")))
+    found = found.select("key", "n", "v", F.explode(hit).alias("rank"))
+    return found.groupBy("key").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct(F.col("rank").cast("long"), "v"))).alias("at"))
+
+
+def beside(df: DataFrame, group: list[str], found: DataFrame) -> DataFrame:
+    """`df` with __n and __at of its groups from order_statistics(); 0 and null where a group has no values."""
+    named = found.select(F.col("key").alias("__key"), F.col("n").alias("__n"), F.col("at").alias("__at"))
+    return df.join(named, F.struct(*group) == F.col("__key"), "left").withColumn("__n", F.coalesce("__n", F.lit(0).cast("long"))).drop("__key")
+
+
+def there(rank: Column) -> Column:
+    return F.try_element_at(F.col("__at"), rank.cast("long"))
+
+
+def total(first: Column, last: Column) -> Column:
+    """The sum of the values at the ranks from first to last; null without one."""
+    return F.when(last >= first, F.aggregate(F.sequence(first.cast("long"), last.cast("long")), F.lit(0.0), lambda acc, r: acc + there(r)))
+
+
+def middle_means(df: DataFrame, group: list[str], value: Column, out: str, n: int = 3) -> DataFrame:
+    """(*group, out): the mean of the n values about the middle of each group's values over zero."""
+    start = lambda c: middle_start(c, n)
+    end = lambda c: F.least(c, start(c) + n) - 1
+    found = order_statistics(df.withColumn("__v", positive(value)), group, "__v", lambda c: F.sequence(start(c).cast("long"), end(c).cast("long")))
+    c = F.col("__n")
+    rows = found.select("key.*", F.col("n").alias("__n"), F.col("at").alias("__at"))
+    return rows.select(*group, (total(start(c), end(c)) / (end(c) - start(c) + 1)).alias(out))
+
+
+def winsorised(df: DataFrame, group: list[str], value: str, out: str, low: float = 0.05, high: float = 0.95, least_n: int = 20) -> DataFrame:
+    """Add `out`: value, clamped to its group's quantiles s[min(n - 1, floor(p n))] where the group has `least_n` values."""
+    at = lambda c, p: F.least(c - 1, F.floor(c * p))
+    rows = beside(df, group, order_statistics(df, group, value, lambda c: F.array(at(c, low), at(c, high))))
+    clamped = F.least(there(at(F.col("__n"), high)), F.greatest(there(at(F.col("__n"), low)), F.col(value)))
+    clamped = F.when(F.col("__n") >= least_n, clamped).otherwise(F.col(value))
+    return rows.withColumn(out, clamped).drop("__n", "__at")
 
 
 def mid_rank(value: Column, group: list[Column] | None = None) -> Column:

@@ -12,9 +12,13 @@ from ..functions.geo import DEGREE_M, EARTH_M, FLAT_AT, haversine, inside_polygo
 from ..functions.text import district_key
 from ..sources.scratch import stage
 
-#: Cell sizes in degrees, tried in turn; and those of the blocks of places in the search for what is left, each ten times
+#: Sides of cells in degrees, each a quarter of the next: a point is looked for in the smallest about which places are
+#: dense enough, DENSE times as many as are wanted.
+GRID = (0.000625, 0.0025, 0.01, 0.04)
+DENSE = 8
+#: Cell sizes in degrees, tried in turn for what is left; and those of the blocks of places in the search for what is left, each ten times
 #: the next, so that the cells of one lie in those of another.
-CELLS = (0.04, 0.4)
+CELLS = (0.4,)
 BLOCKS = (40.0, 4.0, 0.4)
 
 
@@ -22,8 +26,9 @@ def nearest(points: DataFrame, pois: DataFrame, k: int | Column, by: tuple[str,
     """(lat, lng, *by, rank, poi, metres): the k nearest of `pois` (poi, poi_lat, poi_lng, *by) to each distinct point.
 
     Points have the columns of `by` too, and k may depend on them. They meet what lies in their own and the eight cells
-    about it, on equal keys. A point whose k-th candidate may not be among the nearest, being further than a cell, is
-    tried again with larger cells, and in the end at any distance by far(). Ties go to the lower name.
+    about it, on equal keys; where places are dense, cells are small, so that a point meets few of them however many lie
+    about. A point whose k-th candidate may not be among the nearest, being further than a cell, is tried again with
+    larger cells, and in the end at any distance by far(). Ties go to the lower name.
     """
     k = F.lit(k) if isinstance(k, int) else k
     at = ["lat", "lng", *by]
@@ -31,24 +36,45 @@ def nearest(points: DataFrame, pois: DataFrame, k: int | Column, by: tuple[str,
     metres = haversine(F.col("lat"), F.col("lng"), F.col("poi_lat"), F.col("poi_lng"))
     pois = stage(pois.where("poi_lat is not null and poi_lng is not null").select("poi", "poi_lat", "poi_lng", *by))
     left, out = stage(points.select(*at).where("lat is not null and lng is not null").distinct()), None
-    for size in cells:
-        cx, cy = F.floor(F.col("lat") / size), F.floor(F.col("lng") / size)
-        steps = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-        near = left.withColumn("s", F.explode(steps)).select(*at, (cx + F.col("s.x")).alias("cx"), (cy + F.col("s.y")).alias("cy"))
-        own = pois.withColumns({"cx": F.floor(F.col("poi_lat") / size), "cy": F.floor(F.col("poi_lng") / size)})
-        found = near.join(own, ["cx", "cy", *by]).withColumn("metres", metres)
+    steps = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+
+    def cell(c: str, size: Column) -> Column:
+        return F.floor(F.col(c) / size)
+
+    def settled(left: DataFrame, near: DataFrame, own: DataFrame, size: Column) -> DataFrame:
+        """The k nearest of those points whose k nearest are sure to be in the cells met."""
+        found = near.join(own, ["level", "cx", "cy", *by]).withColumn("metres", metres)
         # What lies outside is a cell's size further north or south at least, or beyond the meridians a cell's size away.
-        reach = EARTH_M * (1 - 1e-9) * F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.lit(size))))
+        reach = EARTH_M * (1 - 1e-9) * F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(size)))
         inner = (F.abs("lat") <= 90) & (F.abs("lng") <= 180 - size)
         ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         sure = F.max((F.col("rank") == k) & inner & (F.col("metres") < reach)).over(W.partitionBy(*at))
-        ranked = stage(ranked.withColumn("sure", sure).where("sure").select(*at, "rank", "poi", "metres"))
+        return stage(ranked.withColumn("sure", sure).where("sure").select(*at, "rank", "poi", "metres"))
+
+    def around(rows: DataFrame, size: Column) -> DataFrame:
+        return rows.withColumn("s", F.explode(steps)).select(*at, "level", (cell("lat", size) + F.col("s.x")).alias("cx"), (cell("lng", size) + F.col("s.y")).alias("cy"))
+
+    # Cells of all sizes with their places; how many lie in a cell and the eight about it says which size a point takes.
+    size = F.element_at(F.array(*[F.lit(x) for x in GRID]), F.col("level") + 1)
+    levels = F.explode(F.array(*[F.lit(i) for i in range(len(GRID))])).alias("level")
+    own = pois.select("*", levels).withColumns({"cx": cell("poi_lat", size), "cy": cell("poi_lng", size)})
+    held = own.groupBy("level", "cx", "cy", *by).agg(F.count("*").alias("n")).withColumn("s", F.explode(steps))
+    held = held.groupBy("level", (F.col("cx") + F.col("s.x")).alias("cx"), (F.col("cy") + F.col("s.y")).alias("cy"), *by).agg(F.sum("n").alias("n"))
+    sized = left.select(*at, levels).withColumns({"cx": cell("lat", size), "cy": cell("lng", size)}).join(held, ["level", "cx", "cy", *by])
+    dense = F.min(F.when(F.col("n") >= DENSE * k, F.col("level")))
+    sized = sized.groupBy(*at).agg(F.coalesce(dense, F.lit(len(GRID) - 1)).alias("level"))
+    rounds = [(around(sized, size), own, size)]
+    for wide in cells:
+        fixed = F.lit(wide)
+        rounds.append((None, pois.withColumns({"level": F.lit(0), "cx": cell("poi_lat", fixed), "cy": cell("poi_lng", fixed)}), fixed))
+    for near, places, side in rounds:
+        near = around(left.withColumn("level", F.lit(0)), side) if near is None else near
+        ranked = settled(left, near, places, side)
         left = stage(left.join(ranked.select(*at).distinct(), at, "left_anti"))
         out = ranked if out is None else out.union(ranked)
         if not left.head(1):
             return out
-    last = far(left, pois, k, by)
-    return last if out is None else out.union(last)
+    return out.union(far(left, pois, k, by))
 
 
 def far(points: DataFrame, pois: DataFrame, k: Column, by: tuple[str, ...] = ()) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import half_up, mid_rank, shrunk, slope, weighted, with_middle
+from ..functions.stats import half_up, mid_rank, shrunk, slope, weighted, middle_means
 from ..functions.text import building_name
 
 WEIGHTS = {"absorption": 35.0, "pressure": 25.0, "stock": 20.0, "momentum": 20.0}
@@ -27,13 +27,12 @@ def raw_measures(listings: DataFrame, group: str, as_of: Column, since: Column |
     age, life = days(F.col("first_seen"), as_of), days(F.col("first_seen"), F.col("delisted_at"))
     name = building_name(F.col("condo_name"))
     rows = listings.where(F.col(group).isNotNull() & (F.col(group) != ""))
-    rows = with_middle(rows, [group], F.when(active, age), "__age")
-    rows = with_middle(rows, [group], F.when(gone, life), "__life")
+    ages, lives = middle_means(rows, [group], F.when(active, age), "age"), middle_means(rows, [group], F.when(gone, life), "tom_any")
     out = rows.groupBy(group).agg(
         F.count(F.when(active, 1)).alias("n_active"), F.count(F.when(gone, 1)).alias("n_delisted"),
         F.count_distinct(F.when(active & (name != ""), name)).alias("n_condos"),
-        F.avg("__age").alias("age"), F.avg("__life").alias("tom_any"), F.count(F.when(gone & (life >= 0), 1)).alias("n_lives"),
-    )
+        F.count(F.when(gone & (life >= 0), 1)).alias("n_lives"),
+    ).join(ages, group, "left").join(lives, group, "left")
     return out.select(
         group, "n_active", "n_delisted", "n_condos",
         F.when(F.col("n_condos") >= MIN_BUILDINGS, F.col("n_active") / F.col("n_condos")).alias("pressure"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import half_up, mid_rank, slope, with_middle
+from ..functions.stats import half_up, mid_rank, slope, middle_means
 from ..functions.text import building_name, cohort_key, cohort_name, repost_key, study_name
 from ..operators import benchmarks, matching, study, tension, yields
 from ..sources import fixture as fx
@@ -384,7 +384,8 @@ def slopes(spark, sf):
     select khet, {s4("(select avg(x) from (select unnest(v[greatest(0, least(len(v) // 2 - 5, len(v) - 10)) + 1 : greatest(0, least(len(v) // 2 - 5, len(v) - 10)) + 10]) as x))")} as avg_middle from l""")
 def median_avg(spark, sf):
     rows = active(spark, sf).where("khet is not null")
-    return with_middle(rows, ["khet"], F.col("price_per_sqm"), "m", 10).groupBy("khet").agg(half_up(F.avg("m"), 4).alias("avg_middle"))
+    means = middle_means(rows, ["khet"], F.col("price_per_sqm"), "m", 10)
+    return rows.select("khet").distinct().join(means, "khet", "left").select("khet", half_up(F.col("m"), 4).alias("avg_middle"))
 
 
 ENRICH_SQL = f"""{ACTIVE_SQL}, b as (select *, {N2} as building from act where price_per_sqm > 0 and {N2} <> ''), sales as (select * from b where deal_type = 'sale'),

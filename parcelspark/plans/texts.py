@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import details as d
+from ..functions import sql
 from ..functions import text as t
 from ..operators import filters
 from ..sources import fixture as fx
 from ..sources.fixture import LISTINGS_SQL
+from .market import N1, N2, N3, N4
 from .registry import query
 
 #: A description with every label, its values from the listing's own columns.
@@ -90,3 +92,15 @@ def host_shares(spark, sf):
 @query("balanced_sample")
 def balanced_sample(spark, sf):
     return filters.sample_balanced(fx.table(spark, sf, "labels"), "quality", "doc_id", 20)
+
+
+KEYS_SQL = {"building_name": N1, "study_name": N2, "cohort_name": N3, "repost_key": N4, "district_key": "trim(regexp_replace(trim(regexp_replace(lower(coalesce(condo_name, '')), '\\s+', ' ', 'g')), '\\s*district$', ''))"}
+ODD_NAME = "case l_linenumber when 1 then condo_name || '  Condominium, B' when 2 then 'Thé  ' || condo_name || ' District ' when 3 then 'โครงการ ' || l_partkey else condo_name end"
+
+
+@query("sql_functions", f"with {LISTINGS_SQL}, r as (select id, {ODD_NAME} as condo_name from listings) select id, {', '.join(f'{sql} as {name}' for name, sql in KEYS_SQL.items())} from r")
+def sql_functions(spark, sf):
+    """The keys of names by the functions that a session's SQL knows."""
+    sql.register(spark)
+    fx.listings(spark, sf).selectExpr("id", f"{ODD_NAME} as condo_name").createOrReplaceTempView("odd_names")
+    return spark.sql(f"select id, {', '.join(f'{name}(condo_name) as {name}' for name in KEYS_SQL)} from odd_names")

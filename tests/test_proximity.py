@@ -58,3 +58,16 @@ def test_screen_by_car_and_far_lines(spark):
     got = {r.id: (r.metro, r.line) for r in school_transit_screen(rows, schools, metros, lines(13.7), by_car=by_car).collect()}
     assert got == {1: (None, "l"), 3: ("m", None)}
     assert {r.id for r in school_transit_screen(rows, schools, metros, lines(14.2), by_car=by_car).collect()} == {3}
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_a_dense_cell_meets_few_places(spark, k):
+    """Thousands of points and places in one large cell, some of them far from all others."""
+    rng = random.Random(k)
+    at = lambda: (13.70 + rng.random() * 0.038, 100.52 + rng.random() * 0.038)
+    places = [(f"p{i:04}", *at()) for i in range(3000)] + [("edge", 13.7399, 100.5599), ("away", 13.2, 100.1)]
+    points = [at() for _ in range(300)] + [(13.739, 100.52), (13.3, 100.2), places[0][1:]]
+    df = spark.createDataFrame(places, "poi string, poi_lat double, poi_lng double")
+    got = nearest(spark.createDataFrame(points, "lat double, lng double"), df, k).collect()
+    want = {(*p, i + 1): name for p in points for i, (_, name) in enumerate(sorted((metres(*p, a, b), name) for name, a, b in places)[:k])}
+    assert {(r.lat, r.lng, r.rank): r.poi for r in got} == want and len(got) == len(want)

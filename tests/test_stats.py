@@ -54,20 +54,40 @@ def test_mid_rank_and_median(spark):
     assert sorted(r.p is None for r in one) == [False, True] and {r.p for r in one} == {50.0, None}
     zeros = spark.createDataFrame([(0.0,), (-1.0,), (3.0,), (5.0,)], "v double")
     assert zeros.select(stats.median_positive(F.col("v"))).first()[0] == median([3.0, 5.0])
-    assert stats.with_middle(zeros.withColumn("g", F.lit("x")), ["g"], F.col("v"), "m", 3).agg(F.avg("m")).first()[0] == 4.0
+    assert stats.middle_means(zeros.withColumn("g", F.lit("x")), ["g"], F.col("v"), "m", 3).first().m == 4.0
 
 
 def test_middle_values_of_groups(spark):
     rng = random.Random(8)
     data = [(g, float(rng.randrange(-2, 30))) for g in "abcd" for _ in range({"a": 1, "b": 2, "c": 7, "d": 40}[g])] + [("e", None)]
-    df = stats.with_middle(spark.createDataFrame(data, "g string, v double"), ["g"], F.col("v"), "m", 3)
-    got = {r.g: r.m for r in df.groupBy("g").agg(F.avg("m").alias("m")).collect()}
+    df = stats.middle_means(spark.createDataFrame(data, "g string, v double"), ["g"], F.col("v"), "m", 3)
+    got = {r.g: r.m for r in df.collect()}
     for g in "abcde":
         values = [v for h, v in data if h == g and v is not None and v > 0]
-        assert got[g] is None if not values else abs(got[g] - middle(values, 3)) < 1e-9
+        assert got.get(g) is None if not values else abs(got[g] - middle(values, 3)) < 1e-9
 
 
 def test_weighted_shares_out_missing_weight(spark):
     a, b = F.lit(80.0), F.lit(None).cast("double")
     assert spark.range(1).select(stats.weighted([(a, 35.0), (b, 25.0)])).first()[0] == 80.0
     assert spark.range(1).select(stats.weighted([(b, 35.0)])).first()[0] is None
+
+
+def test_order_statistics_of_a_group_with_all_rows(spark):
+    """A null group, ties, zeros, both signs; values spread over many ranges and over one."""
+    rng = random.Random(2)
+    data = [("hot", rng.choice([-3.0, 0.0, -0.0, 0.001, 1e9, float(rng.randrange(1000, 1010)), rng.uniform(-1e6, 1e6)])) for _ in range(20_000)]
+    data += [(None, float(i)) for i in range(5)] + [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(6)
+    ranks = [0, 1, 4, 777, 9_999, 19_999]
+    found = stats.order_statistics(df, ["g"], "v", lambda n: F.array(*[F.lit(r).cast("long") for r in ranks], n, F.lit(-1).cast("long")))
+    got = {r.key.g: (r.n, r["at"]) for r in found.collect()}
+    for g in ("hot", None, "one"):
+        values = sorted(v for h, v in data if h == g and v is not None)
+        assert got[g] == (len(values), {r: values[r] for r in ranks if r < len(values)})
+    assert "none" not in got
+    out = stats.winsorised(df, ["g"], "v", "w")
+    values = sorted(v for h, v in data if h == "hot")
+    low, high = values[1000], values[19_000]
+    assert sorted(r.w for r in out.where("g = 'hot'").collect()) == sorted(min(high, max(low, v)) for v in values)
+    assert out.where("g is null").count() == 5

@@ -137,3 +137,16 @@ def test_deals_in_scope(spark):
 def test_search_needs_words(spark):
     df = spark.createDataFrame([("Sky Tower", "X", None, "s")], "condo_name string, khet string, street string, source string")
     assert filters.search(df, "tower SKY").count() == 1 and filters.search(df, "  ").count() == 0 and filters.search(df, "sky river").count() == 0
+
+
+def test_sql_functions_are_the_columns(spark):
+    from parcelspark.functions import sql
+
+    sql.register(spark)
+    names = ["Life One, Bangkok", " The  Condo\tProject  Ünï 9 ", "โครงการ 1, x", None, "", "Bang Rak District", "a,b", "Residences at X' Y"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    df.createOrReplaceTempView("names_to_read")
+    for f in (t.building_name, t.study_name, t.cohort_name, t.repost_key, t.district_key):
+        want = [r[0] for r in df.select(f(F.col("name"))).collect()]
+        assert [r[0] for r in spark.sql(f"select {f.__name__}(name) from names_to_read").collect()] == want
+    assert "Python" not in spark.sql("select building_name(name) from names_to_read")._jdf.queryExecution().toString()
