@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import geoprep, proximity, study, summary, yields
@@ -11,7 +12,7 @@ from ..sources import files
 from ..sources import fixture as fx
 from ..sources.fixture import LISTINGS_SQL
 from ..sources.scratch import scratch, stage
-from .market import ACTIVE_SQL, GONE_SQL, N2, STUDY_SQL, active, gone, r4, s4
+from .market import ACTIVE_SQL, GONE_SQL, N2, STUDY_SQL, UNIT_SQL, active, gone, r4, s4
 from .places import CELL_SQL, polygons
 from .registry import query
 
@@ -215,9 +216,23 @@ def map_polygons(spark, sf):
     return rows.join(proximity.locate(rows, read), ["lat", "lng"], "left").select("id", "district")
 
 
-@query("district_boundaries", "select 'cell ' || i || '-' || j as district, case when (i * 5 + j) % 3 = 0 then 'MultiPolygon' else 'Polygon' end as kind from range(5) a(i), range(5) b(j) where (i * 5 + j) % 2 = 0")
+@query("district_boundaries", """select case when n_nationkey % 2 = 0 then n_name else 'Local ' || n_name end as district, case when n_nationkey % 3 = 0 then 'MultiPolygon' else 'Polygon' end as kind, n_regionkey + 0.5 as lng, n_nationkey + 0.5 as lat
+    from nation where n_nationkey % 5 > 0""")
 def district_boundaries(spark, sf):
-    return files.districts(files.features(spark, map_file(spark, district_features(spark)))).select("district", "kind")
+    """Districts out of a map file with a square for each nation, a fifth of them of another administrative level."""
+    k, x, y = C("n_nationkey"), C("n_regionkey").cast("double"), C("n_nationkey").cast("double")
+    ring = F.array(*[F.array(x + i, y + j) for i, j in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0))])
+    many = k % 3 == 0
+    names = F.create_map(L("name"), F.when(k % 2 == 0, C("n_name")).otherwise(F.concat(L("Local "), "n_name")), L("name_en"), F.when(k % 2 == 0, C("n_name")), L("admin_level"), F.when(k % 5 == 0, "4").otherwise("6"))
+    rows = fx.table(spark, sf, "nation").select(
+        k.alias("place"), names.alias("properties"), F.when(many, "MultiPolygon").otherwise("Polygon").alias("kind"),
+        F.when(many, F.to_json(F.array(F.array(ring)))).otherwise(F.to_json(F.array(ring))).alias("coordinates"),
+    )
+    path = map_file(spark, rows)
+    read = files.districts(files.features(spark, path)).select("district", "kind")
+    middle = files.polygons(files.features(spark, path))
+    mean = lambda i: F.round(F.aggregate(F.slice(C("rings")[0], 1, 4), L(0.0), lambda a, p: a + p[i]) / 4, 3)
+    return read.join(middle.select("district", mean(0).alias("lng"), mean(1).alias("lat")), "district")
 
 
 @query("choropleth", f"""with {ACTIVE_SQL}, v as (select {CELL_SQL} as district, count(*) as n from act where {CELL_SQL} like 'cell 0-%' group by 1)
@@ -346,23 +361,25 @@ def detail_cards(spark, sf):
     return summary.card(rows.withColumn("bedrooms", C("bedrooms").cast("int"))).select("id", "name", "price", "area", "deal", "quota", "beds", "school1", "school2", "metro1", "cbd")
 
 
-@query("sale_table", f"""with {ACTIVE_SQL} select id, price from act where deal_type = 'sale' order by price desc nulls last, id limit 100""")
+@query("sale_table", f"""with {UNIT_SQL}, page as (select id, price from act where deal_type = 'sale' order by price desc nulls last, id limit 100)
+    select row_number() over (order by page.price desc nulls last, page.id) as place, page.id, page.price, counterpart_id, annual_yield_pct from page left join matches using (id)""")
 def sale_table(spark, sf):
-    """The sale table's first page by price, with the matches of the units on it."""
+    """The sale table's first page by price, in its order, with the matches of the units on it."""
     from ..operators.filters import sorted_page
 
     rows = active(spark, sf)
     page = sorted_page(rows.where("deal_type = 'sale'"), "price", True, 0, 100)
-    return page.join(unit_matches(rows).select("id", "counterpart_id"), "id", "left").select("id", "price")
+    out = page.join(unit_matches(rows).select("id", "counterpart_id", "annual_yield_pct"), "id", "left")
+    place = F.row_number().over(W.partitionBy(L(1)).orderBy(C("price").desc_nulls_last(), "id"))  # of a page of a hundred
+    return out.select(place.alias("place"), "id", "price", "counterpart_id", "annual_yield_pct")
 
 
-@query("lite_matches", f"""with {ACTIVE_SQL}, u as (select id from act where deal_type = 'sale' and l_partkey % 10 = 0) select count(*) as n from u""")
+@query("lite_matches", f"""with {UNIT_SQL} select id, counterpart_price from matches where id in (select id from act where deal_type = 'sale' and l_partkey % 10 = 0)""")
 def lite_matches(spark, sf):
     """The matches of a few listings only, as few columns."""
     rows = active(spark, sf)
     ids = rows.where("deal_type = 'sale' and l_partkey % 10 = 0").select("id")
-    lite = unit_matches(rows).join(ids, "id", "left_semi").select("id", "counterpart_price")
-    return ids.join(lite, "id", "left").agg(F.count("*").alias("n"))
+    return unit_matches(rows).join(ids, "id", "left_semi").select("id", "counterpart_price")
 
 
 @query("whitelisted_stats", f"with f as ({STUDY_SQL.replace('from act where', "from act where khet in ('Brand#11 District', 'Brand#22 District') and")}) select * from f")

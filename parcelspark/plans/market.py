@@ -280,12 +280,15 @@ def best_discounts_by_district(spark, sf):
     return benchmarks.best_by_district(deals(spark, sf), "market_discount_pct", "4+").select("khet", "rank", "id", "market_discount_pct")
 
 
-@query("unit_matches", f"""with {ACTIVE_SQL}, u as (select {N1} || '|' || coalesce(khet, '') || '|' || coalesce(cast(bedrooms as varchar), '?') as unit, * from act where condo_name is not null),
+UNIT_SQL = f"""{ACTIVE_SQL}, u as (select {N1} || '|' || coalesce(khet, '') || '|' || coalesce(cast(bedrooms as varchar), '?') as unit, * from act where condo_name is not null),
     p as (select a.id, b.id as counterpart_id, b.price as counterpart_price, case when a.deal_type = 'sale' then a.price else b.price end as s, case when a.deal_type = 'rent' then a.price else b.price end as r,
         row_number() over (partition by a.id order by case when coalesce(a.area_sqm, 0) = 0 then 0 else coalesce(abs(a.area_sqm - b.area_sqm), 1e300) end, b.id) as rn
         from u a join u b on a.unit = b.unit and a.deal_type <> b.deal_type
-        and (coalesce(a.area_sqm, 0) = 0 or coalesce(b.area_sqm, 0) = 0 or abs(a.area_sqm - b.area_sqm) / greatest(a.area_sqm, b.area_sqm) <= 0.07))
-    select id, counterpart_id, counterpart_price, floor(r * 12 / s * 1000 + 0.5) / 10 as annual_yield_pct from p where rn = 1""")
+        and (coalesce(a.area_sqm, 0) = 0 or coalesce(b.area_sqm, 0) = 0 or abs(a.area_sqm - b.area_sqm) / greatest(a.area_sqm, b.area_sqm) <= 0.07)),
+    matches as (select id, counterpart_id, counterpart_price, floor(r * 12 / s * 1000 + 0.5) / 10 as annual_yield_pct from p where rn = 1)"""
+
+
+@query("unit_matches", f"with {UNIT_SQL} select * from matches")
 def unit_matches(spark, sf):
     return matching.unit_matches(active(spark, sf))
 

@@ -164,9 +164,11 @@ def source_health(spark, sf):
     return q.health(runs, bands)
 
 
-@query("failing_streaks", f"with {RUNS_SQL}, {LAST_SQL} select agent from o where rn <= 2 group by 1 having count(*) filter (status = 'failed') = 2")
+@query("failing_streaks", f"with runs as (select event_id, user_id as agent, ts as started_at, case when event_id % 3 = 0 then 'ok' else 'failed' end as status from events), {LAST_SQL} select agent from o where rn <= 2 group by 1 having count(*) filter (status = 'failed') = 2")
 def failing_streaks(spark, sf):
-    return q.streak(fx.runs(spark, sf))
+    """Users as agents, two thirds of whose events are failures."""
+    rows = fx.table(spark, sf, "events").selectExpr("event_id", "user_id as agent", "ts as started_at", "case when event_id % 3 = 0 then 'ok' else 'failed' end as status")
+    return q.streak(rows)
 
 
 @query("dependency_gate", f"""with {RUNS_SQL}, {LAST_SQL}, n as (select distinct a.agent, b.agent as needs from runs a, runs b where a.agent < b.agent)
@@ -209,9 +211,12 @@ def backup_check(spark, sf):
     return q.backup_verdict(live.select("name"), count("orders", "o_orderkey % 2 = 0").union(count("part")), live)
 
 
-@query("report_contracts", "select event_id, case when contains(props, '\"k\"') then 'n' else 'k,n' end as missing, false as honoured from events")
+@query("report_contracts", """select event_id, case event_id % 4 when 0 then '' when 1 then '' when 2 then 'n' else 'k,n' end as missing, event_id % 4 = 0 as honoured from events""")
 def report_contracts(spark, sf):
-    rows = fx.table(spark, sf, "events").select(F.col("event_id").alias("key"), F.col("props").alias("body"), F.lit("ok").alias("status"))
+    """Reports that are whole, whole but of a failed run, without a field, and no JSON."""
+    k, props = F.col("event_id") % 4, F.col("props")
+    body = F.when(k < 2, F.concat(F.lit('{"n": null, '), F.substr(props, F.lit(2)))).when(k == 2, props).otherwise("n: 1")
+    rows = fx.table(spark, sf, "events").select(F.col("event_id").alias("key"), body.alias("body"), F.when(k == 1, "failed").otherwise("ok").alias("status"))
     return q.contract(rows, ["k", "n"]).withColumnRenamed("key", "event_id")
 
 
