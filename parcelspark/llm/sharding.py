@@ -158,7 +158,8 @@ def shard_rows(docs: DataFrame, shards: int, seed: int = 20, by: tuple[str, ...]
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(*[F.col(c) for c in by], F.lit(seed)).alias("h"))
     ties = [F.col("row")[c] for c in by]
     rows = dealt(rows, partitions)
-    deal = matrix(rows.groupBy("part").agg(F.count("*").alias("n")), partitions, shards, seed)
+    # Written, as the plan of its recursion would stand in all that follows; a row a partition.
+    deal = stage(matrix(rows.groupBy("part").agg(F.count("*").alias("n")), partitions, shards, seed))
     # Both windows lie on this one exchange. Copies differ by their numbers from here on.
     rows = rows.repartition("part").withColumn("copy", F.row_number().over(W.partitionBy("part", "h", *ties).orderBy(F.lit(0))))
     local = W.partitionBy("part").orderBy(F.xxhash64("h", "copy", F.lit(1)), "h", "copy", *ties)
