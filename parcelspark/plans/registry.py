@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import editions, ledger, market, places, quality, sites, texts, timeline  # noqa: E402, F401
+from . import editions, ledger, market, places, quality, replicas, sites, texts, timeline  # noqa: E402, F401
