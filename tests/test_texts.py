@@ -150,3 +150,9 @@ def test_sql_functions_are_the_columns(spark):
         want = [r[0] for r in df.select(f(F.col("name"))).collect()]
         assert [r[0] for r in spark.sql(f"select {f.__name__}(name) from names_to_read").collect()] == want
     assert "Python" not in spark.sql("select building_name(name) from names_to_read")._jdf.queryExecution().toString()
+
+
+def test_amounts_round_by_the_doubles_own_value(spark):
+    values = [135_795_000.0, 1_005_000.0, 1_015_000.0, 1_125_000.0, 1_375_000.0, 2_675_000.0, 1_234_567_890_125_000.0]
+    got = [r.a for r in spark.createDataFrame([(x,) for x in values], "x double").select(t.amount_text(F.col("x")).alias("a")).collect()]
+    assert got == [f"{x / 1e6:.2f} M".replace(".", ",") for x in values] and got[0] == "135,79 M"
