@@ -95,6 +95,10 @@ def test_full_texts_decode_what_the_sql_does(spark, tmp_path):
     pages_against_sql(spark, tmp_path, "full_texts")
 
 
+def test_clean_descriptions_decode_what_the_sql_does(spark, tmp_path):
+    pages_against_sql(spark, tmp_path, "clean_descriptions")
+
+
 def test_developers_of_any_script(spark):
     df = spark.createDataFrame([("Developed by Siamésé Développement Groupe located at the park. 12 floors",)], "t string")
     assert df.select(pages.prose(F.col("t")).alias("p")).first().p.developer == "Siamésé Développement Groupe"
