@@ -168,12 +168,17 @@ def csv_export(spark, sf):
 # Map files
 
 
+#: Features of one map file: files are made and read whole, each by one task.
+FEATURES_A_FILE = 10_000
+
+
 def map_file(spark, features: DataFrame) -> str:
-    """A GeoJSON file of features (place, properties, kind, coordinates as JSON)."""
+    """GeoJSON files of features (place, properties, kind, coordinates as JSON): one of them for each run of 10,000 places."""
     one = F.concat(L('{"type":"Feature","properties":'), F.to_json("properties"), L(',"geometry":{"type":"'), C("kind"), L('","coordinates":'), C("coordinates"), L("}}"))
-    rows = features.select("place", one.alias("f")).groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "f"))), lambda x: x.f), ",").alias("f"))
+    run = F.floor(C("place") / FEATURES_A_FILE).alias("run")
+    rows = features.select(run, "place", one.alias("f")).groupBy("run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "f"))), lambda x: x.f), ",").alias("f"))
     path = scratch(spark, "map")
-    rows.select(F.concat(L('{"type":"FeatureCollection","features":['), "f", L("]}")).alias("value")).write.text(path)
+    rows.select("run", F.concat(L('{"type":"FeatureCollection","features":['), "f", L("]}")).alias("value")).write.partitionBy("run").text(path)
     return path
 
 
