@@ -18,3 +18,13 @@ def test_map_files_hold_a_run_of_features_each(spark):
     assert len(list(Path(path).rglob("*.txt"))) == 3
     got = files.points(files.features(spark, path))
     assert got.count() == 25_000 and got.select("poi").distinct().count() == 25_000
+
+
+def test_parts_are_dealt_out_and_texts_cleaned_once(spark):
+    from parcelspark.functions import text
+    from parcelspark.plans.sites import parts
+    from tests.conftest import DATA
+
+    assert parts(spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    df = spark.createDataFrame([("<p>a</p>",)], "t string").select(text.clean_description(F.col("t")).alias("d"))
+    assert str(df._jdf.queryExecution().optimizedPlan()).count("<[^>]+>") == 1
