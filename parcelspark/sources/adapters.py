@@ -146,7 +146,7 @@ def row(listing: dict) -> tuple:
 # Page by page
 
 
-@udtf(returnType=LISTING, useArrow=True)
+@udtf(returnType=LISTING, useArrow=False)
 class PageListings:
     """page_listings(source, html): the listings of a page; of an unknown source or a null page none."""
 
