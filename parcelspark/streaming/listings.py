@@ -24,6 +24,7 @@ FEED = "kind string, at timestamp, scope string, id string, price double, marker
 KNOWN = "scope string, price double, status string, first_seen long, last_seen long, missed long, first_missed long, delisted_at long, marker string, marker_since long"
 CHANGE = f"at long, event string, id string, {KNOWN}"
 WAITING = "at long, kind string, id string, scope string, price double, marker string, full boolean, trusted boolean"
+BUCKET_LISTINGS = 10_000
 TIMES = ("first_seen", "last_seen", "first_missed", "delisted_at", "marker_since")
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -129,6 +130,11 @@ class Runs(StatefulProcessor):
         yield pd.DataFrame({"run": [key[0]], "status": ["interrupted"], "at": [expiredTimerInfo.getExpiryTimeInMs() * 1000]})
 
 
+def buckets_for(listings: int) -> int:
+    """Buckets for so many listings: a worker holds one bucket at a time. A checkpoint keeps to the number it began with."""
+    return max(16, -(-listings // BUCKET_LISTINGS))
+
+
 def life_of_listings(feed: DataFrame, late: str = "0 seconds", buckets: int = 16, keep_days: int = 365) -> DataFrame:
     """The change log of a stream of FEED rows; scans count in the order of their times, rows up to `late` late."""
     own = F.array(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
@@ -181,11 +187,14 @@ def run_feed(spark: SparkSession, feed: str, out: str, late: str = "0 seconds",
 
 
 def run_state(spark: SparkSession, changes: DataFrame, out: str) -> None:
-    """Runs a stream with keyed state over what is there now, into Parquet at `out`."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, ROCKS)
+    """Runs a stream with keyed state over what is there now, into Parquet at `out`; the stores of an executor share one
+    bound of memory."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         changes.writeStream.option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).format("parquet").option("path", out).outputMode("append").start().awaitTermination()
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -28,3 +28,10 @@ def test_parts_are_dealt_out_and_texts_cleaned_once(spark):
     assert parts(spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     df = spark.createDataFrame([("<p>a</p>",)], "t string").select(text.clean_description(F.col("t")).alias("d"))
     assert str(df._jdf.queryExecution().optimizedPlan()).count("<[^>]+>") == 1
+
+
+def test_a_bucket_of_the_stream_holds_so_many_listings_only():
+    from parcelspark.streaming import listings
+
+    assert listings.buckets_for(0) == listings.buckets_for(100_000) == 16
+    assert all(n / listings.buckets_for(n) <= 10_000 for n in (600_000, 36_000_000, 216_000_001))
