@@ -35,3 +35,10 @@ def test_a_bucket_of_the_stream_holds_so_many_listings_only():
 
     assert listings.buckets_for(0) == listings.buckets_for(100_000) == 16
     assert all(n / listings.buckets_for(n) <= 10_000 for n in (600_000, 36_000_000, 216_000_001))
+
+
+def test_a_label_is_searched_for_once(spark):
+    from parcelspark.functions import details
+
+    df = spark.createDataFrame([("Min. Rental Duration 6 Months",)], "t string").select(details.lease_months(F.col("t")).alias("d"))
+    assert str(df._jdf.queryExecution().optimizedPlan()).count("regexp_extract(t#") == 1 and df.first().d == 6
