@@ -91,7 +91,10 @@ def middle_means(df: DataFrame, group: list[str], value: Column, out: str, n: in
 def winsorised(df: DataFrame, group: list[str], value: str, out: str, low: float = 0.05, high: float = 0.95, least_n: int = 20) -> DataFrame:
     """Add `out`: value, clamped to its group's quantiles s[min(n - 1, floor(p n))] where the group has `least_n` values."""
     at = lambda c, p: F.least(c - 1, F.floor(c * p))
-    rows = beside(df, group, order_statistics(df, group, value, lambda c: F.array(at(c, low), at(c, high))))
+    # Groups under `least_n` need no order at all: their rows are only counted.
+    full = df.groupBy(F.struct(*group).alias("__key")).agg(F.count(value).alias("__c")).where(F.col("__c") >= least_n).select("__key")
+    ordered = df.join(full, F.struct(*group) == F.col("__key"), "left_semi")
+    rows = beside(df, group, order_statistics(ordered, group, value, lambda c: F.array(at(c, low), at(c, high))))
     clamped = F.least(there(at(F.col("__n"), high)), F.greatest(there(at(F.col("__n"), low)), F.col(value)))
     clamped = F.when(F.col("__n") >= least_n, clamped).otherwise(F.col(value))
     return rows.withColumn(out, clamped).drop("__n", "__at")

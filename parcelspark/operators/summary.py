@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import half_up
 from ..functions.text import study_name
+from ..sources.scratch import stage
 
 # Bounds and limits of the summary of a run.
 AREA, PRICES = (15, 500), {"sale": (800_000, 100_000_000), "rent": (3_000, 500_000)}
@@ -80,23 +81,39 @@ def totals(actives: DataFrame) -> DataFrame:
 # Editions
 
 
-def edition(totals_: DataFrame, stats: DataFrame, tension: DataFrame, buildings: DataFrame, date: str, version: int, least_delisted: int = 3) -> DataFrame:
-    """One row of sources.files.EDITION: the document of an edition. The tables have a row for each district or building;
-    they end as maps in the one document, as its readers want it."""
-    def as_map(df: DataFrame, key: str, fields: dict[str, str], name: str) -> DataFrame:
+#: Buildings of one document: a document is made, written and read whole, each by one task.
+BUILDINGS_A_PIECE = 10_000
+
+
+def edition(totals_: DataFrame, stats: DataFrame, tension: DataFrame, buildings: DataFrame, date: str, version: int, least_delisted: int = 3, a_piece: int = BUILDINGS_A_PIECE) -> DataFrame:
+    """Rows of sources.files.EDITION: the document of an edition, where the tables' rows are maps, as its readers want it,
+    and `piece`, a number. The first document has all but the buildings that are too many for one: they lie in
+    further ones of about `a_piece` buildings each, with `piece_of` in place of the date and nothing but the buildings."""
+    buildings = stage(buildings)
+    pieces = max(1, -(-buildings.count() // a_piece))
+
+    def as_map(df: DataFrame, key: str, fields: dict[str, str], name: str, by: tuple[Column, ...] = ()) -> DataFrame:
         entry = F.struct(F.col(key), F.struct(*[F.col(c).cast(k).alias(n) for n, (c, k) in fields.items()]))
-        return df.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name))
+        return df.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name))
 
     stat = {n: (n, k) for n, k in (("sale_psqm", "double"), ("rent_psqm", "double"), ("yield_wc", "double"), ("paired", "bigint"), ("sale_condos", "bigint"), ("rent_condos", "bigint"))}
     parts = [
         totals_.select(F.struct("*").alias("totals")), as_map(stats, "khet", stat, "khet_stats_01"),
         as_map(tension.where((F.col("n_delisted") >= least_delisted) & F.col("khet").isNotNull()), "khet", {"rate": ("delist_rate_pct", "double"), "n": ("n_delisted", "bigint")}, "tension_by_khet"),
-        as_map(buildings, "building", {"khet": ("khet", "string"), "sale_m2": ("sale_m2", "double"), "rent_m2": ("rent_m2", "double")}, "condo_medians"),
     ]
-    out = parts[0]
+    head = parts[0]
     for part in parts[1:]:
-        out = out.join(F.broadcast(part))  # one row each
-    return out.select(F.lit(date).alias("date"), F.lit(version).alias("config_version"), "totals", "khet_stats_01", "tension_by_khet", "condo_medians")
+        head = head.join(F.broadcast(part))  # one row each
+    piece = F.pmod(F.xxhash64("building"), F.lit(pieces)).alias("piece")
+    medians = as_map(buildings, "building", {"khet": ("khet", "string"), "sale_m2": ("sale_m2", "double"), "rent_m2": ("rent_m2", "double")}, "condo_medians", (piece,))
+    none = F.map_from_arrays(F.array(), F.array()).cast(medians.schema["condo_medians"].dataType)
+    # The first document is there without buildings too.
+    out = buildings.sparkSession.range(1).select(F.col("id").alias("piece")).join(F.broadcast(head)).join(medians, "piece", "full")
+    first, of = F.col("piece") == 0, F.lit(date)
+    return out.select(
+        "piece", F.when(first, of).alias("date"), F.when(~first, of).alias("piece_of"), F.lit(version).alias("config_version"), "totals", "khet_stats_01", "tension_by_khet",
+        F.coalesce("condo_medians", none).alias("condo_medians"),
+    )
 
 
 def plain_district(name: str | Column) -> Column:
@@ -114,7 +131,7 @@ def wide_table(stats: DataFrame, tension: DataFrame, population: DataFrame) -> D
 
 def tidy_series(editions: DataFrame) -> DataFrame:
     """(date, district, sale_psqm, rent_psqm, yield_wc, paired, delist_rate_pct, config_version): all editions, all districts."""
-    rows = editions.select("date", "config_version", "tension_by_khet", F.explode("khet_stats_01").alias("khet", "s"))
+    rows = editions.where("piece_of is null").select("date", "config_version", "tension_by_khet", F.explode("khet_stats_01").alias("khet", "s"))
     rate = F.try_element_at("tension_by_khet", F.col("khet")).rate
     return rows.select("date", plain_district("khet").alias("district"), "s.sale_psqm", "s.rent_psqm", "s.yield_wc", "s.paired", rate.alias("delist_rate_pct"), "config_version")
 
@@ -133,7 +150,7 @@ def evolution(editions: DataFrame, transfers: DataFrame | None = None) -> DataFr
     they move figures without the market.
     """
     w = W.orderBy(F.desc("date"), F.desc("file"))  # one row for each edition
-    last = editions.withColumn("rn", F.row_number().over(w)).where("rn <= 2")
+    last = editions.where("piece_of is null").withColumn("rn", F.row_number().over(w)).where("rn <= 2")
     a, b = (last.where(F.col("rn") == n).select(*[F.col(c).alias(f"{c}_{s}") for c in ("date", "totals", "khet_stats_01", "tension_by_khet")]) for n, s in ((2, "a"), (1, "b")))
     as_text = lambda c: F.to_json(F.col(c)) if c.startswith("totals") else F.to_json(F.array_sort(F.map_entries(c)))
     both = a.join(b).where(~((as_text("totals_a") == as_text("totals_b")) & (as_text("khet_stats_01_a") == as_text("khet_stats_01_b"))))

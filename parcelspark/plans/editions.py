@@ -69,16 +69,20 @@ def study_totals(spark, sf):
 # Editions
 
 
+def edition_listings(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The active listings with what an edition is made of, and the tension: both computed once, however many editions."""
+    rows = stage(active(spark, sf).select("id", "source", "deal_type", "price", "price_per_sqm", "bedrooms", "condo_name", "khet", "first_seen"))
+    return rows, stage(study.delisting_by_district(rows, gone(spark, sf)).where("khet is not null"))
+
+
 def edition_rows(spark, sf) -> DataFrame:
     """Two editions, of the early listings and of all, written as files with a broken one beside them and read back."""
-    rows, path = active(spark, sf), scratch(spark, "editions")
-    tension = study.delisting_by_district(rows, gone(spark, sf)).where("khet is not null")
+    (rows, tension), path = edition_listings(spark, sf), scratch(spark, "editions")
     for date, part in (("1997-01-01", rows.where(EARLY)), ("2001-12-01", rows)):
-        stats = yields.study_stats(part)
-        one = summary.edition(summary.totals(part), stats, tension, study.building_prices(part), date, 2)
+        one = summary.edition(summary.totals(part), yields.study_stats(part), tension, study.building_prices(part), date, 2)
         files.write_edition(one, f"{path}/{date}")
-    spark.createDataFrame([("{broken",)], "value string").write.text(f"{path}/broken")
-    return files.editions(spark, f"{path}/*/*.txt")
+    spark.createDataFrame([("{broken",)], "value string").write.text(f"{path}/broken/piece=0")
+    return files.editions(spark, f"{path}/*/*/*.txt")
 
 
 def study_sql(where: str, name: str) -> str:
@@ -121,11 +125,11 @@ def edition_changes(spark, sf):
 @query("unchanged_edition", "select 1 as n where false")
 def unchanged_edition(spark, sf):
     """Two editions that agree show no changes at all."""
-    rows = active(spark, sf)
-    stats, tension = stage(yields.study_stats(rows)), stage(study.delisting_by_district(rows, gone(spark, sf)).where("khet is not null"))
+    rows, tension = edition_listings(spark, sf)
+    stats, buildings = stage(yields.study_stats(rows)), stage(study.building_prices(rows))
     docs = None
     for date in ("2001-11-01", "2001-12-01"):
-        one = summary.edition(summary.totals(rows), stats, tension, study.building_prices(rows), date, 2).withColumn("file", L(f"{date}.json"))
+        one = summary.edition(summary.totals(rows), stats, tension, buildings, date, 2).withColumn("file", L(f"{date}.json"))
         docs = one if docs is None else docs.union(one)
     return summary.evolution(stage(docs)).select(L(1).alias("n"))
 

@@ -90,14 +90,15 @@ def districts(rows: DataFrame, level: str = "6") -> DataFrame:
 # Editions and logs
 
 EDITION = (
-    "date string, config_version int, totals struct<actives:bigint,sales:bigint,rents:bigint,condos:bigint>,"
+    "date string, piece_of string, config_version int, totals struct<actives:bigint,sales:bigint,rents:bigint,condos:bigint>,"
     " khet_stats_01 map<string,struct<sale_psqm:double,rent_psqm:double,yield_wc:double,paired:bigint,sale_condos:bigint,rent_condos:bigint>>,"
     " tension_by_khet map<string,struct<rate:double,n:bigint>>, condo_medians map<string,struct<khet:string,sale_m2:double,rent_m2:double>>"
 )
 
 
 def editions(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each JSON file of an edition, with its file name; files that are no JSON are skipped."""
+    """One row for each JSON file of an edition, with its file name; files that are no JSON are skipped. Files with further
+    buildings of an edition have its date as `piece_of`, and no date."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     good = raw.where(F.try_parse_json("value").isNotNull())
     return good.select("file", F.from_json("value", EDITION).alias("e")).select("file", "e.*")
@@ -193,5 +194,5 @@ def write_csv(df: DataFrame, path: str, comma: bool = False) -> None:
 
 
 def write_edition(edition: DataFrame, path: str) -> None:
-    """Write editions as JSON files, one for each row."""
-    edition.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    """Write the documents of an edition as JSON files, one for each `piece`."""
+    edition.select("piece", F.to_json(F.struct(*[c for c in edition.columns if c != "piece"])).alias("value")).write.partitionBy("piece").text(path)

@@ -42,3 +42,30 @@ def test_a_label_is_searched_for_once(spark):
 
     df = spark.createDataFrame([("Min. Rental Duration 6 Months",)], "t string").select(details.lease_months(F.col("t")).alias("d"))
     assert str(df._jdf.queryExecution().optimizedPlan()).count("regexp_extract(t#") == 1 and df.first().d == 6
+
+
+def test_an_edition_of_many_buildings_lies_in_pieces(spark, tmp_path):
+    from parcelspark.operators import summary
+
+    totals = spark.createDataFrame([(9, 4, 5, 3)], "actives bigint, sales bigint, rents bigint, condos bigint")
+    stats = spark.createDataFrame([("A District", 2.0, 1.0, 3.0, 5, 6, 7)], "khet string, sale_psqm double, rent_psqm double, yield_wc double, paired bigint, sale_condos bigint, rent_condos bigint")
+    tension = spark.createDataFrame([("A District", 3, 10.0)], "khet string, n_delisted bigint, delist_rate_pct double")
+    buildings = spark.range(95).select(F.concat(F.lit("b"), "id").alias("building"), F.lit("A District").alias("khet"), F.col("id").cast("double").alias("sale_m2"), F.lit(1.0).alias("rent_m2"))
+    for name, n, a_piece in (("many", 95, 10), ("one", 95, 100), ("none", 0, 10)):
+        path = str(tmp_path / name)
+        files.write_edition(summary.edition(totals, stats, tension, buildings.limit(n), "2001-12-01", 2, a_piece=a_piece), path)
+        docs = files.editions(spark, f"{path}/*/*.txt").collect()
+        assert [d.totals.actives for d in docs if d.piece_of is None] == [9] and {d.piece_of for d in docs} <= {None, "2001-12-01"}
+        held = [b for d in docs for b in d.condo_medians or ()]
+        assert len(held) == len(set(held)) == n
+        assert (len(docs) > 5 and max(len(d.condo_medians) for d in docs) < 25) if name == "many" else len(docs) == 1
+        assert [r.district for r in summary.tidy_series(files.editions(spark, f"{path}/*/*.txt")).collect()] == ["A"]
+
+
+def test_groups_without_enough_values_are_not_put_in_order(spark):
+    from parcelspark.functions import stats
+
+    df = spark.range(40).select("id", F.when(F.col("id") < 25, "big").otherwise("small").alias("g"), (F.col("id") * 1.0).alias("v"))
+    out = stats.winsorised(df, ["g"], "v", "w")
+    assert {r.id: r.w for r in out.collect()} == {i: float(min(max(i, 1), 23)) if i < 25 else float(i) for i in range(40)}
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
