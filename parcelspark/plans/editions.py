@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import geoprep, proximity, study, summary, yields
-from ..operators.matching import unit_matches
+from ..operators.matching import same_units, unit_matches
 from ..sources import files
 from ..sources import fixture as fx
 from ..sources.fixture import LISTINGS_SQL
@@ -376,9 +376,9 @@ def sale_table(spark, sf):
     """The sale table's first page by price, in its order, with the matches of the units on it."""
     from ..operators.filters import sorted_page
 
-    rows = active(spark, sf)
-    page = sorted_page(rows.where("deal_type = 'sale'"), "price", True, 0, 100)
-    out = page.join(unit_matches(rows).select("id", "counterpart_id", "annual_yield_pct"), "id", "left")
+    rows = stage(active(spark, sf).select("id", "deal_type", "price", "area_sqm", "bedrooms", "condo_name", "khet"))
+    page = stage(sorted_page(rows.where("deal_type = 'sale'"), "price", True, 0, 100))
+    out = page.join(unit_matches(same_units(rows, page)).select("id", "counterpart_id", "annual_yield_pct"), "id", "left")
     place = F.row_number().over(W.partitionBy(L(1)).orderBy(C("price").desc_nulls_last(), "id"))  # of a page of a hundred
     return out.select(place.alias("place"), "id", "price", "counterpart_id", "annual_yield_pct")
 
