@@ -41,8 +41,9 @@ def sane_listings(spark, sf):
 
 @query("norm_names", f"with {LISTINGS_SQL} select distinct condo_name, {N1} as n1, {N2} as n2, {N3} as n3, {N4} as n4 from listings")
 def norm_names(spark, sf):
+    """Each name once, then its keys: only names are held while they are told apart."""
     c = F.col("condo_name")
-    return fx.listings(spark, sf).select("condo_name", building_name(c).alias("n1"), study_name(c).alias("n2"), cohort_name(c).alias("n3"), repost_key(c).alias("n4")).distinct()
+    return fx.listings(spark, sf).select("condo_name").distinct().select("condo_name", building_name(c).alias("n1"), study_name(c).alias("n2"), cohort_name(c).alias("n3"), repost_key(c).alias("n4"))
 
 
 BUCKET = "cast(case when area_sqm > 0 then floor(area_sqm / 5 + 0.5) * 5 else 0 end as int)"

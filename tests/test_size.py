@@ -1,5 +1,6 @@
 """What grows with the tables is shared out: no one file, task or group holds it all."""
 
+import re
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -69,3 +70,37 @@ def test_groups_without_enough_values_are_not_put_in_order(spark):
     out = stats.winsorised(df, ["g"], "v", "w")
     assert {r.id: r.w for r in out.collect()} == {i: float(min(max(i, 1), 23)) if i < 25 else float(i) for i in range(40)}
     assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_and_histories_read_listings_once(spark):
+    from parcelspark.plans.registry import QUERIES
+    from parcelspark.sources import fixture as fx
+    from tests.conftest import DATA
+
+    optimized = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    history = fx.history(spark, DATA)
+    assert optimized(history).count("Union") == 0 and optimized(history).count("l_orderkey#") > 0
+    older = fx.listings(spark, DATA).where("l_discount > 0.05e0").count()
+    assert history.count() == fx.listings(spark, DATA).count() + older
+    # Names are told apart before their keys are made.
+    assert re.match(r"(Project|Aggregate \[[^,\]]+\],)", optimized(QUERIES["norm_names"](spark, DATA)).strip())
+
+
+def test_a_page_is_matched_within_its_units(spark):
+    from parcelspark.operators import matching
+
+    schema = "id string, condo_name string, khet string, bedrooms int, deal_type string, price double, area_sqm double"
+    rows = [(f"{u}{d}{k}", f"Tower {u}", "k", 1, d, 100.0 + k, 30.0 + k) for u in range(20) for d in ("sale", "rent") for k in range(3)] + [("x", None, "k", 1, "sale", 1.0, 30.0)]
+    df = spark.createDataFrame(rows, schema)
+    page = df.where("id in ('3sale1', '7sale0', 'x')")
+    near = matching.same_units(df, page)
+    assert near.count() == 12
+    want = {r for r in matching.unit_matches(df).collect() if r.id in ("3sale1", "7sale0", "x")}
+    assert {r for r in matching.unit_matches(near).collect() if r.id in ("3sale1", "7sale0", "x")} == want and len(want) == 2
+
+
+def test_listings_near_places_are_made_once(spark):
+    from parcelspark.plans.registry import QUERIES
+    from tests.conftest import DATA
+
+    assert not [f for f in QUERIES["yields_near_metro"](spark, DATA).inputFiles() if "lineitem" in f]
