@@ -9,6 +9,7 @@ from ..functions.geo import haversine
 from ..functions.stats import half_up
 from ..operators import filters, proximity, study, yields
 from ..sources import fixture as fx
+from ..sources.scratch import stage
 from .market import ACTIVE_SQL, ENRICH_SQL, active, yield_sql
 from .registry import query
 
@@ -151,10 +152,11 @@ NEAR_SQL = f"{POINTS_SQL}, near as (select lat, lng from d group by 1, 2 having
 
 @query("yields_near_metro", yield_sql("khet", "true", f"with {NEAR_SQL}", "act join near using (lat, lng)"))
 def yields_near_metro(spark, sf):
-    rows = active(spark, sf)
-    for name, most in (("metro_station", 3000), ("school", 5000)):
-        near = proximity.nearest_distance(rows, category(spark, sf, name), name).where(F.col(f"{name}_m") <= most)
-        rows = rows.join(near.select("lat", "lng"), ["lat", "lng"], "left_semi")
+    rows = stage(active(spark, sf).select("id", "deal_type", "price_per_sqm", "bedrooms", "condo_name", "khet", "lat", "lng"))
+    points = rows.select("lat", "lng").distinct()
+    for name, most in (("metro_station", 3000), ("school", 5000)):  # of the places alone: listings are met once
+        points = proximity.nearest_distance(points, category(spark, sf, name), name).where(F.col(f"{name}_m") <= most).select("lat", "lng")
+    rows = rows.join(points, ["lat", "lng"], "left_semi")
     out = yields.yields(rows, "khet")
     return out.withColumns({c: half_up(F.col(c), 4) for c in ("sale_median_psqm", "rent_median_psqm")})
 
