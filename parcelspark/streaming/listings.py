@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,80 +24,152 @@ DAY = 86_400_000_000  # microseconds
 FEED = "kind string, at timestamp, scope string, id string, price double, marker string, full boolean, trusted boolean"
 KNOWN = "scope string, price double, status string, first_seen long, last_seen long, missed long, first_missed long, delisted_at long, marker string, marker_since long"
 CHANGE = f"at long, event string, id string, {KNOWN}"
-WAITING = "at long, kind string, id string, scope string, price double, marker string, full boolean, trusted boolean"
+STATE = [c.split()[0] for c in KNOWN.split(", ")]
+WAITING = ["kind", "id", "scope", "price", "marker", "full", "trusted"]
 BUCKET_LISTINGS = 10_000
 TIMES = ("first_seen", "last_seen", "first_missed", "delisted_at", "marker_since")
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def none(x):
-    return None if x is None or x != x else x
+TYPES = {c: {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "boolean": pa.bool_()}[k] for c, k in (x.split() for x in f"{KNOWN}, {FEED}".split(", ") if "timestamp" not in x)}
+
+
+def frame(rows: list[tuple]) -> pd.DataFrame:
+    """Rows of an id and a listing's state, by id."""
+    return pd.DataFrame(rows, columns=["id", *STATE]).astype({"price": float} | {c: "Int64" for c in ("missed", *TIMES)}).set_index("id")
+
+
+def told(df: pd.DataFrame, columns: list[str]) -> list[tuple]:
+    """The rows as tuples of Python's values, None for null."""
+    return list(zip(*[[None if x is None or x is pd.NA or x != x else x for x in df[c].tolist()] for c in columns], strict=True))
+
+
+def packed(df: pd.DataFrame, columns: list[str]) -> bytes:
+    """Rows as one compressed Arrow stream."""
+    table = pa.Table.from_pandas(df[columns], schema=pa.schema([(c, TYPES[c]) for c in columns]), preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pd.DataFrame:
+    table = pa.ipc.open_stream(pa.py_buffer(bytes(data))).read_all()
+    return table.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+
+
+def differs(x: pd.Series, y: pd.Series) -> pd.Series:
+    """Where values differ; two nulls do not."""
+    return ~((x == y).fillna(False).astype(bool) | (x.isna() & y.isna()))
 
 
 class Listings(StatefulProcessor):
-    """The listings of a bucket; those that left the market longer than `keep_days` ago are forgotten."""
+    """The listings of a bucket; those that left the market longer than `keep_days` ago are forgotten.
+
+    Rows wait, and a scan is applied, as frames: a bucket is small enough to be held as one.
+    """
 
     def __init__(self, keep_days: int) -> None:
         self.keep = keep_days * DAY
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getMapState("known", "id string", KNOWN)
-        self.waiting = handle.getListState("waiting", WAITING)
+        self.waiting = handle.getListState("waiting", "at long, rows binary")
+        self.open()
+
+    def open(self) -> None:
+        self.known = self.handle.getMapState("known", "id string", KNOWN)
+
+    def load(self, ids: list | None) -> pd.DataFrame:
+        """The listings known, by id: all, or at least those of `ids`."""
+        found = ((k[0], *v) for k, v in self.known.iterator()) if ids is None else ((i, *self.known.getValue((i,))) for i in ids if self.known.containsKey((i,)))
+        return frame(list(found))
+
+    def save(self, after: pd.DataFrame, changed: pd.Series, forgotten: pd.Series) -> None:
+        for row in told(after[changed], ["id", *STATE]):
+            self.known.updateValue((row[0],), row[1:])
+        for ident in after.index[forgotten]:
+            self.known.removeKey((ident,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed, new = timerValues.getCurrentWatermarkInMs(), []
-        for df in rows:
-            for r in df.itertuples(index=False):
-                if r.kind != "tick" and r.at_us // 1000 > passed:  # else too late: its scan has been applied
-                    new.append((int(r.at_us), r.kind, none(r.id), r.scope, none(r.price), none(r.marker), bool(none(r.full)), bool(none(r.trusted))))
+        passed = timerValues.getCurrentWatermarkInMs()
+        # Else too late: its scan has been applied.
+        new = [d for df in rows if len(d := df[(df["kind"] != "tick") & (df["at_us"] // 1000 > passed)])]
         if new:
-            self.waiting.appendList(new)
-        for ms in {r[0] // 1000 for r in new}:
-            self.handle.registerTimer(int(ms))
+            scans = [(int(at), d) for at, d in pd.concat(new, ignore_index=True).groupby("at_us")]
+            self.waiting.appendList([(at, packed(d, WAITING)) for at, d in scans])
+            for ms in {at // 1000 for at, _ in scans}:
+                self.handle.registerTimer(ms)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto, due, rest, out = expiredTimerInfo.getExpiryTimeInMs(), {}, [], []
-        for row in map(tuple, self.waiting.get()):
-            due.setdefault(row[0], []).append(row) if row[0] // 1000 <= upto else rest.append(row)
+        upto, due, rest = expiredTimerInfo.getExpiryTimeInMs(), {}, []
+        for at, rows in self.waiting.get():
+            due.setdefault(at, []).append(unpacked(rows)) if at // 1000 <= upto else rest.append((at, rows))
         if not due:
             return
         self.waiting.put(rest) if rest else self.waiting.clear()
         for at in sorted(due):
-            out += self.settle(at, due[at])
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGE.split(", ")]).astype({c: "Int64" for c in ("at", "missed", *TIMES)})
-
-    def settle(self, at: int, rows: list) -> list[tuple]:
-        seen = {r[2]: r[3:6] for r in rows if r[1] == "seen"}
-        closed = {r[3] for r in rows if r[1] == "closed" and r[6] and r[7]}
-        before = {k[0]: tuple(v) for k, v in self.known.iterator()} if closed else {i: tuple(self.known.getValue((i,))) for i in seen if self.known.containsKey((i,))}
-        after, out = dict(before), []
-        for ident, (scope, price, marker) in seen.items():
-            old = before.get(ident)
-            since = old[9] if old and old[8] == marker else at if marker is not None else None
-            had = old[1] if old else None
-            after[ident] = (scope, price if price is not None else had, "active", old[3] if old else at, at, 0, None, None, marker, since)
-            if price is not None and (old is None or had is not None and price != had):  # news as in apply_scan
-                out.append((at, "price", ident, *after[ident]))
-        if closed:
-            for ident, s in after.items():
-                if s[2] != "active":
-                    continue
-                if s[8] == SOLD and s[9] is not None and s[9] <= at - SOLD_DAYS * DAY:  # wherever it is listed
-                    after[ident] = (*s[:2], "sold", *s[3:7], s[9], *s[8:])
-                elif s[0] in closed and ident not in seen:
-                    missed, first = s[5] + 1, s[6] if s[6] is not None else at
-                    gone = missed >= GRACE
-                    after[ident] = (*s[:2], "inactive" if gone else s[2], *s[3:5], missed, first, first if gone else s[7], *s[8:])
-        for ident, s in after.items():
-            if s != before.get(ident):
-                self.known.updateValue((ident,), s)
-                out.append((at, "state", ident, *s))
-            elif s[2] != "active" and s[7] is not None and s[7] < at - self.keep:
-                self.known.removeKey((ident,))
-        return out
+            out = self.settle(at, pd.concat(due[at], ignore_index=True))
+            if len(out):
+                yield out
+
+    def settle(self, at: int, rows: pd.DataFrame) -> pd.DataFrame:
+        """The changes that a scan at a time makes, which are then known."""
+        new = rows[rows["kind"] == "seen"].drop_duplicates("id", keep="last").set_index("id")
+        flag = lambda c: rows[c].eq(True).fillna(False).astype(bool)
+        closed = rows.loc[(rows["kind"] == "closed") & flag("full") & flag("trusted"), "scope"].unique()
+        old = self.load(None if len(closed) else list(new.index))
+        was, index = old.index, old.index.append(new.index.difference(old.index, sort=False))
+        old, new, seen = old.reindex(index), new.reindex(index), pd.Series(index.isin(new.index), index)
+        known = pd.Series(index.isin(was), index)
+        after, priced = old.copy(), seen & new["price"].notna()
+        marked = seen & (~known | differs(old["marker"], new["marker"]))
+        after.loc[seen, ["scope", "marker"]] = new.loc[seen, ["scope", "marker"]]
+        after.loc[priced, "price"] = new.loc[priced, "price"]
+        after.loc[seen, ["status", "last_seen", "missed"]] = ["active", at, 0]
+        after.loc[seen, ["first_missed", "delisted_at"]] = pd.NA
+        after.loc[~known, "first_seen"] = at
+        after.loc[marked, "marker_since"] = pd.NA
+        after.loc[marked & after["marker"].notna(), "marker_since"] = at
+        news = priced & (~known | (old["price"].notna() & (old["price"] != new["price"])))  # as in apply_scan
+        prices = after[news].copy()
+        forgotten = pd.Series(False, index)
+        if len(closed):
+            active = after["status"] == "active"
+            sold = active & (after["marker"] == SOLD) & (after["marker_since"] <= at - SOLD_DAYS * DAY).fillna(False).astype(bool)  # wherever it is listed
+            after.loc[sold, "status"] = "sold"
+            after.loc[sold, "delisted_at"] = after.loc[sold, "marker_since"]
+            misses = active & ~sold & ~seen & after["scope"].isin(closed)
+            after.loc[misses, "missed"] += 1
+            after.loc[misses & after["first_missed"].isna(), "first_missed"] = at
+            gone = misses & (after["missed"] >= GRACE).fillna(False).astype(bool)
+            after.loc[gone, "status"] = "inactive"
+            after.loc[gone, "delisted_at"] = after.loc[gone, "first_missed"]
+        changed = ~known
+        for c in STATE:
+            changed |= differs(old[c], after[c])
+        if len(closed):
+            forgotten = ~changed & (after["status"] != "active") & (after["delisted_at"] < at - self.keep).fillna(False).astype(bool)
+        after["id"] = prices["id"] = None
+        after["id"], prices["id"] = after.index, prices.index
+        self.save(after, changed, forgotten)
+        out = pd.concat([prices.assign(event="price"), after[changed].assign(event="state")], ignore_index=True)
+        return out.assign(at=at)[[c.split()[0] for c in CHANGE.split(", ")]].astype({c: "Int64" for c in ("at", "missed", *TIMES)})
+
+
+class PackedListings(Listings):
+    """The same with the bucket's listings as one value: a scan costs a call for each bucket, and none for each listing."""
+
+    def open(self) -> None:
+        self.known = self.handle.getValueState("known", "rows binary")
+
+    def load(self, ids: list | None) -> pd.DataFrame:
+        return unpacked(self.known.get()[0]).set_index("id") if self.known.exists() else frame([])
+
+    def save(self, after: pd.DataFrame, changed: pd.Series, forgotten: pd.Series) -> None:
+        if changed.any() or forgotten.any():
+            self.known.update((packed(after[~forgotten], ["id", *STATE]),))
 
 
 class Runs(StatefulProcessor):
@@ -135,11 +208,14 @@ def buckets_for(listings: int) -> int:
     return max(16, -(-listings // BUCKET_LISTINGS))
 
 
-def life_of_listings(feed: DataFrame, late: str = "0 seconds", buckets: int = 16, keep_days: int = 365) -> DataFrame:
-    """The change log of a stream of FEED rows; scans count in the order of their times, rows up to `late` late."""
+def life_of_listings(feed: DataFrame, late: str = "0 seconds", buckets: int = 16, keep_days: int = 365, pack: bool = False) -> DataFrame:
+    """The change log of a stream of FEED rows; scans count in the order of their times, rows up to `late` late.
+
+    The state store has an entry for each listing, or with `pack` one for each bucket: no listing can then be looked up
+    in it from outside, but a scan no longer costs calls for each. A checkpoint keeps to what it began with."""
     own = F.array(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
     rows = feed.withWatermark("at", late).withColumn("bucket", F.explode(F.when(F.col("kind") == "seen", own).otherwise(F.sequence(F.lit(0), F.lit(buckets - 1)))))
-    out = rows.withColumn("at_us", F.unix_micros("at")).groupBy("bucket").transformWithStateInPandas(Listings(keep_days), CHANGE, "Append", "EventTime")
+    out = rows.withColumn("at_us", F.unix_micros("at")).groupBy("bucket").transformWithStateInPandas((PackedListings if pack else Listings)(keep_days), CHANGE, "Append", "EventTime")
     return out.withColumns({c: F.timestamp_micros(c) for c in ("at", *TIMES)} | {"missed": F.col("missed").cast("int")})
 
 

@@ -96,3 +96,58 @@ def test_stale_runs_as_a_stream(spark, tmp_path):
         out[r.run] = r.status
     batch = life.unfinished(spark.createDataFrame([(1, "running", T0), (2, "ok", T0), (3, "running", T0 + timedelta(hours=9))], "run long, status string, started_at timestamp"), F.lit(T0 + timedelta(hours=14)))
     assert {k: v for k, v in out.items() if k < 9} == {r.run: r.status for r in batch.collect()}
+
+
+def test_packed_buckets_take_late_rows_and_a_restart(spark, feed, tmp_path):
+    feeds, state, prices = feed
+    end = lambda day: streams.tick(spark, F.lit(T0 + timedelta(days=day)).cast("timestamp"))
+    parts = [a.union(b) for a, b in feeds]
+    parts[1], parts[2] = parts[2], parts[1]
+    run = lambda: streams.run_feed(spark, f"{tmp_path}/feed", f"{tmp_path}/out", late="10 days", files=1, buckets=2, pack=True)
+    for i, df in enumerate([*parts, end(27)]):
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/feed")
+        if i in (3, len(parts)):
+            run()
+    changes = spark.read.parquet(f"{tmp_path}/out")
+    assert told(streams.latest(changes)) == told(state)
+    assert sorted((r.id, r.price) for r in changes.where("event = 'price'").collect()) == sorted(prices)
+
+
+class Store:
+    """A state variable that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.held = 0, None
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name in ("put", "update"):
+                self.held = args[0]
+            elif name == "appendList":
+                self.held = (self.held or []) + args[0]
+            elif name == "clear":
+                self.held = None
+            return self.held is not None if name == "exists" else self.held
+
+        return call
+
+
+def test_packed_buckets_are_read_and_written_at_once():
+    from types import SimpleNamespace as Of
+
+    import pandas as pd
+
+    stores = {"waiting": Store(), "known": Store()}
+    bucket = streams.PackedListings(30)
+    bucket.init(Of(getListState=lambda name, _: stores[name], getValueState=lambda name, _: stores[name], registerTimer=lambda ms: None))
+    n, day = 5_000, streams.DAY
+    for at in (day, 2 * day, 40 * day, 80 * day):
+        ids = [f"i{k}" for k in range(n if at == day else n // 2)]
+        seen = pd.DataFrame({"kind": "seen", "id": ids, "scope": "s", "price": 1.0 * (at // day), "marker": None, "full": None, "trusted": None, "at_us": at})
+        closed = pd.DataFrame([("closed", None, "s", None, None, True, True, at)], columns=seen.columns)
+        list(bucket.handleInputRows((0,), iter([seen, closed]), Of(getCurrentWatermarkInMs=lambda: 0)))
+        out = pd.concat(bucket.handleExpiredTimer((0,), None, Of(getExpiryTimeInMs=lambda at=at: at // 1000)))
+        assert (out["event"] == "price").sum() == len(ids)
+    assert len(bucket.load(None)) == n // 2  # the others left 78 days ago
+    assert sum(s.calls for s in stores.values()) < 30
