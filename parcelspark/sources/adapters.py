@@ -2,7 +2,7 @@
 
 An adapter says by which marker a site's list pages are known and which objects of their structured data are listings.
 `spark.read.format("listing_pages").load(folder)` reads the JSON lines (url, html) of `folder/source=<adapter>/`, a
-partition a file; the same format streams, with the files read so far as its offset. `page_listings(source, html)` is
+partition a file, plain or compressed as its name's ending says; the same format streams, with the files read so far as its offset. `page_listings(source, html)` is
 the same as a table function, for lateral joins.
 """
 
@@ -196,7 +196,7 @@ class Folder:
 
     def pages(self, path: str) -> Iterator[dict]:
         system, _ = self.open()
-        with system.open_input_stream(path) as f:
+        with system.open_input_stream(path, compression="detect") as f:
             rest = b""
             while chunk := f.read(1 << 20):
                 *lines, rest = (rest + chunk).split(b"\n")

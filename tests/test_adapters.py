@@ -102,3 +102,18 @@ def test_clean_descriptions_decode_what_the_sql_does(spark, tmp_path):
 def test_developers_of_any_script(spark):
     df = spark.createDataFrame([("Developed by Siamésé Développement Groupe located at the park. 12 floors",)], "t string")
     assert df.select(pages.prose(F.col("t")).alias("p")).first().p.developer == "Siamésé Développement Groupe"
+
+
+def test_page_folders_are_compressed_and_read_whole(spark):
+    from pathlib import Path
+
+    from parcelspark.plans import sites
+    from tests.conftest import DATA
+
+    folder = sites.page_folder(spark, DATA)
+    made = [f for f in Path(folder).rglob("*") if f.is_file() and f.name[0] not in "._"]
+    pages = sites.site_pages(spark, DATA)
+    plain = pages.agg(F.sum(F.octet_length("html"))).first()[0]
+    assert sum(f.stat().st_size for f in made) * 4 < plain
+    read = adapters.PageReader(folder)
+    assert sum(len(list(read.pages(p.path))) for p in read.partitions()) == pages.count()
