@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -95,3 +96,21 @@ def test_polygon_with_a_hole(spark):
     polys = spark.createDataFrame([("x", 0, [square(0.0, 1.0), square(0.4, 0.6)])], "district string, place int, rings array<array<array<double>>>")
     pts = spark.createDataFrame([(0.5, 0.5), (0.2, 0.2), (2.0, 2.0), (None, 1.0)], "lat double, lng double")
     assert [(r.lat, r.district) for r in proximity.locate(pts, polys).collect()] == [(0.2, "x")]
+
+
+def test_scans_together_are_as_one_by_one_and_move_no_rows(spark):
+    rng = random.Random(5)
+    rows = [(f"i{k}", rng.choice("st"), *[rng.choice([None, True, True, False]) for _ in range(5)], *[rng.choice([None, 1.0, 2.0]) for _ in range(5)], *[rng.choice([None, "sold", "sold", "reserved"]) for _ in range(5)]) for k in range(200)]
+    names = [f"{c}{i}" for c in ("seen", "price", "mark") for i in range(5)]
+    df = spark.createDataFrame(rows, "id string, scope string, " + ", ".join(f"{n} {'boolean' if n[0] == 's' else 'double' if n[0] == 'p' else 'string'}" for n in names))
+    days = [F.lit(f"2026-01-{1 + 6 * i:02}").cast("timestamp") for i in range(5)]
+    state, prices = spark.createDataFrame([], life.STATE), []
+    for i, at in enumerate(days):
+        state, new = life.apply_scan(state, df.where(f"seen{i}").select("id", "scope", F.col(f"price{i}").alias("price"), F.col(f"mark{i}").alias("marker")), at)
+        state, new = state.localCheckpoint(), new.localCheckpoint()
+        prices += [tuple(r) for r in new.collect()]
+    after, events = life.apply_scans(df, [(at, F.col(f"seen{i}"), F.col(f"price{i}"), F.col(f"mark{i}")) for i, at in enumerate(days)])
+    key = lambda x: tuple(map(str, x))
+    assert after.columns == state.columns and sorted(map(key, map(tuple, after.collect()))) == sorted(map(key, map(tuple, state.collect())))
+    assert sorted(map(key, map(tuple, events.collect()))) == sorted(map(key, prices)) and len(prices) > 100
+    assert "hashpartitioning" not in events._jdf.queryExecution().executedPlan().toString()
